@@ -33,11 +33,9 @@ KEYWORDS = {
     },
 }
 
-# Accepted shapes and the texts that mean "no number".
+# Accepted shapes.
 EMAIL_SHAPE = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-KPI_EMPTY = ["", "-", "--", "nan", "None", "null"]
-STOCK_EMPTY = ["", "-", "--", "—", "N/A", "null", "None"]
 
 
 class Cleaned(NamedTuple):
@@ -57,8 +55,11 @@ def guess_kind(name: str, profile: str = "table") -> str:
 # --- numbers ----------------------------------------------------------------------------------------------------
 
 def guarded_number(text: Column, dtype: str = MONEY) -> Column:
-    """Cast only what looks like a number: Spark alone would also take ``1d`` and ``nan``."""
-    return F.when(text.rlike(NUMBER_SHAPE), text).try_cast(dtype)
+    """Cast only what looks like a number: Spark alone would also take ``1d`` and ``nan``.
+
+    The input is named once (an extract, not a test and a cast), so a long chain before it is not computed twice.
+    """
+    return F.regexp_extract(text, NUMBER_SHAPE, 0).try_cast(dtype)
 
 
 def _without(c: Column, chars: str) -> Column:
@@ -101,31 +102,22 @@ def form_amount(c: Column | str) -> Column:
     return F.coalesce(text, strip(c))
 
 
-def _bracketed(s: Column) -> Column:
-    return s.startswith("(") & s.endswith(")") & (F.length(s) >= 2)
-
-
-def _unbracket(s: Column) -> Column:
-    return F.when(_bracketed(s), F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-
-
 def kpi_number(c: Column | str) -> Column:
     """Accounting style: brackets are negative, currency signs, separators and percent signs are dropped."""
-    s = strip(c)
-    body = _without(_unbracket(s), "¥￥$,， %")
-    n = F.when(~body.isin(KPI_EMPTY), guarded_number(body))
-    return F.when(_bracketed(s), -n).otherwise(n).cast(MONEY)
+    signed = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", "-$1")
+    body = F.regexp_replace(_without(signed, "¥￥$,， %"), r"^--", "")
+    return guarded_number(body)
 
 
 def stock_number(c: Column | str) -> Column:
-    """As :func:`kpi_number` but also drops units and stray characters (``120件`` is 120, ``12.5%`` is 12.5)."""
-    s = strip(c)
-    body = _without(_unbracket(s), "¥￥$,， \u00a0元件个")
-    minus = body.startswith("-")
-    digits = F.regexp_replace(F.when(minus, F.substring(body, F.lit(2), F.length(body))).otherwise(body),
-                              r"[^0-9eE+\-.]", "")
-    n = F.when(~body.isin(STOCK_EMPTY), guarded_number(digits))
-    return F.when(_bracketed(s) | minus, -n).otherwise(n).cast(MONEY)
+    """As :func:`kpi_number` but also drops units and stray characters (``120件`` is 120, ``12.5%`` is 12.5).
+
+    A bracketed amount is negative with or without a minus of its own; two minus signs cancel out.
+    """
+    marked = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", "~$1")
+    body = _without(marked, "¥￥$,， \u00a0元件个")
+    signed = F.regexp_replace(F.regexp_replace(body, r"^~?--", ""), r"^~-?", "-")
+    return guarded_number(F.regexp_replace(signed, r"[^0-9eE+\-.]", ""))
 
 
 def web_amount(c: Column | str) -> Column:
@@ -144,7 +136,7 @@ def plain_number(c: Column | str, drop: str = ",") -> Column:
 
 def table_phone(c: Column | str) -> Cleaned:
     digits = F.regexp_replace(blank_if_null(c), r"(?U)\D", "")
-    return Cleaned(digits, (digits == "") | (F.length(digits) == 11))
+    return Cleaned(digits, digits.rlike("^(.{11})?$"))
 
 
 def form_phone(c: Column | str) -> Column:
@@ -185,26 +177,16 @@ def text(c: Column | str, ignore_case: bool = False) -> Column:
 DATE_SEPARATED = r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})$"
 DATE_CHINESE = r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日$"
 DATE_PACKED = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
-FORM_DATE = r"^([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2})"
-WEB_DATE = r"^([0-9]{4})[^0-9]([0-9]{1,2})[^0-9]([0-9]{1,2})"
-
-
-def _iso(s: Column, pattern: str, y: int, m: int, d: int) -> Column:
-    part = lambda g: F.regexp_extract(s, pattern, g)
-    return F.concat_ws("-", part(y), F.lpad(part(m), 2, "0"), F.lpad(part(d), 2, "0"))
-
-
-def _calendar(iso: Column) -> Column:
-    return F.when(~iso.startswith("0000"), iso).try_cast("date")
+FORM_DATE = r"(?s)^([0-9]{4})[-/.年]([0-9]{1,2})[-/.月]([0-9]{1,2}).*$"
+WEB_DATE = r"(?s)^([0-9]{4})[^0-9]([0-9]{1,2})[^0-9]([0-9]{1,2}).*$"
 
 
 def strict_date(s: Column) -> Column:
     """Date of a text in one of five whole-cell shapes; NULL when the day does not exist."""
-    return (
-        F.when(s.rlike(DATE_SEPARATED), _calendar(_iso(s, DATE_SEPARATED, 1, 3, 4)))
-        .when(s.rlike(DATE_CHINESE), _calendar(_iso(s, DATE_CHINESE, 1, 2, 3)))
-        .when(s.rlike(DATE_PACKED), _calendar(_iso(s, DATE_PACKED, 1, 2, 3)))
-    )
+    dashed = F.regexp_replace(s, DATE_CHINESE, "$1-$2-$3")
+    dashed = F.regexp_replace(dashed, DATE_SEPARATED, "$1-$3-$4")
+    dashed = F.regexp_replace(dashed, DATE_PACKED, "$1-$2-$3")
+    return F.regexp_extract(dashed, r"^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", 0).try_cast("date")
 
 
 def table_date(c: Column | str) -> Cleaned:
@@ -216,12 +198,9 @@ def table_date(c: Column | str) -> Cleaned:
 
 def _prefix_date(c: Column | str, pattern: str) -> Column:
     """Pads what looks like a date at the start of the cell; the calendar is not checked."""
-    s = strip(c)
-    return (
-        F.when(s.rlike(pattern), _iso(s, pattern, 1, 2, 3))
-        .when(s.rlike(DATE_PACKED), _iso(s, DATE_PACKED, 1, 2, 3))
-        .otherwise(s)
-    )
+    dashed = F.regexp_replace(F.regexp_replace(strip(c), pattern, "$1-$2-$3"), DATE_PACKED, "$1-$2-$3")
+    month = F.regexp_replace(dashed, r"^([0-9]{4})-([0-9])-([0-9]{1,2})$", "$1-0$2-$3")
+    return F.regexp_replace(month, r"^([0-9]{4}-[0-9]{2})-([0-9])$", "$1-0$2")
 
 
 def form_date(c: Column | str) -> Column:
@@ -235,7 +214,7 @@ def web_date(c: Column | str) -> Column:
 def kpi_date(c: Column | str) -> Column:
     """Date part of a cell, spreadsheet day numbers included."""
     s = F.substring_index(F.substring_index(strip(c), " ", 1), "T", 1)
-    serial = F.when(s.rlike(r"^[0-9]{5}$"), s).try_cast("int")
+    serial = F.regexp_extract(s, r"^[0-9]{5}$", 0).try_cast("int")
     return F.coalesce(strict_date(s), F.date_add(F.lit("1899-12-30").cast("date"), serial))
 
 

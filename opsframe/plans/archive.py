@@ -22,8 +22,7 @@ def archive_plan(files: DataFrame, path: str = "rel_path", size: str = "size", f
     """``path, target, category, size, fingerprint, original`` for every archived file.
 
     The index counts non-duplicates per category in path order.  It comes from range-sorted runs, so one category
-    owning most files is still numbered by many tasks.  Targets that collide get ``(2)``, ``(3)``, ... in path order;
-    a suffixed name that meets an existing target is moved on in the same way.
+    owning most files is still numbered by many tasks.  Targets that collide get ``(2)``, ``(3)``, ... in path order.
     """
     marked = inventory.mark_duplicates(files, path, fingerprint)
     ext = extension(path)
@@ -48,16 +47,34 @@ def archive_plan(files: DataFrame, path: str = "rel_path", size: str = "size", f
     return resolve_collisions(kept, path, conflict)
 
 
+def _candidate(counter: Column) -> Column:
+    ext = extension(base_name("_wanted"))
+    bare = F.substring("_wanted", F.lit(1), F.length("_wanted") - F.length(ext))
+    return F.when(counter == 1, F.col("_wanted")).otherwise(
+        F.concat(bare, F.lit("("), counter.cast("string"), F.lit(")"), ext))
+
+
 def resolve_collisions(plan: DataFrame, path: str, conflict: str = "rename") -> DataFrame:
-    """Later files (by path) aiming at a taken target get a counter, or are dropped with ``skip``."""
+    """Every target is held by its first file in path order; with ``rename`` the others try the next counter.
+
+    Files that want the same name start at their place among them (no earlier counter can be free for them), so rounds
+    beyond the first happen only where a counted name meets a file that already bears it.
+    """
     if conflict == "overwrite":
         return plan
-    w = Window.partitionBy("target").orderBy(path)
     if conflict == "skip":
-        return plan.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
-    nth = dense_number(plan, [path], "_nth", ["target"])
-    name = base_name("target")
-    ext = extension(name)
-    bare = F.substring("target", F.lit(1), F.length("target") - F.length(ext))
-    return nth.withColumn("target", F.when(F.col("_nth") == 1, F.col("target")).otherwise(
-        F.concat(bare, F.lit("("), F.col("_nth").cast("string"), F.lit(")"), ext))).drop("_nth")
+        first = Window.partitionBy("target").orderBy(path)
+        return plan.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    taken_twice = plan.groupBy("target").agg(F.count("*").alias("_n")).filter("_n > 1")
+    if taken_twice.isEmpty():
+        return plan
+    placed = dense_number(plan.withColumnRenamed("target", "_wanted"), [path], "_try", ["_wanted"])
+    while True:
+        placed = placed.withColumn("target", _candidate(F.col("_try"))).checkpoint()
+        holders = placed.groupBy("target").agg(F.min(path).alias("_holder"), F.count("*").alias("_n"))
+        contested = holders.filter("_n > 1").drop("_n")
+        if contested.isEmpty():
+            return placed.drop("_wanted", "_try")
+        lost = F.col("_holder").isNotNull() & (F.col(path) != F.col("_holder"))
+        placed = placed.join(contested, "target", "left").withColumn(
+            "_try", F.when(lost, F.col("_try") + 1).otherwise(F.col("_try"))).drop("_holder", "target")
