@@ -120,16 +120,21 @@ def _(t):
     return reconcile.diffs(_pairs(t, ["store_a", "store_b"]), chosen, NUMERIC)
 
 
+given("store_lower", """
+SELECT row_key, CASE WHEN row_key % 2 = 0 THEN lower(sku) ELSE sku END AS sku, price, stock, CASE WHEN row_key % 7 = 0 THEN title || '!' ELSE upper(title) END AS title, status FROM store_b
+UNION ALL SELECT row_key + 2000000, lower(sku), price, stock, title || ' again', status FROM store_b WHERE row_key % 10 = 5""")
+
+
 @query("reconcile_ignore_case", f"""
-WITH lowered AS (SELECT 'store_a' AS s, row_key, lower(key) AS key, key AS exact, title FROM {_uniq('store_a')}
-  UNION ALL SELECT 'store_b', row_key, lower(key), key, title FROM {_uniq('store_b')}),
+WITH lowered AS (SELECT 'store_a' AS s, row_key, lower(key) AS key, title FROM {_uniq('store_a')}
+  UNION ALL SELECT 'store_lower', row_key, lower(key), title FROM {_uniq('store_lower')}),
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s, key ORDER BY row_key DESC) AS rn FROM lowered) WHERE rn = 1)
-SELECT 'store_a' AS base_store, 'store_b' AS other_store, a.key, 'title' AS field, '文本不一致' AS kind, a.title AS base, b.title AS other,
+SELECT 'store_a' AS base_store, 'store_lower' AS other_store, a.key, 'title' AS field, '文本不一致' AS kind, a.title AS base, b.title AS other,
   CAST(NULL AS DOUBLE) AS delta, CAST(NULL AS DOUBLE) AS pct
-FROM last a JOIN last b ON a.key = b.key AND a.s = 'store_a' AND b.s = 'store_b'
+FROM last a JOIN last b ON a.key = b.key AND a.s = 'store_a' AND b.s = 'store_lower'
 WHERE lower({sql_squeeze('a.title')}) <> lower({sql_squeeze('b.title')})""")
 def _(t):
-    return reconcile.diffs(_pairs(t, ["store_a", "store_b"], ignore_case=True), ["title"], ignore_case=True)
+    return reconcile.diffs(_pairs(t, ["store_a", "store_lower"], ignore_case=True), ["title"], ignore_case=True)
 
 
 @query("key_sets", f"""

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from opsframe.functions.text import blank_if_null
 
 
+# Control characters whose escape has a letter digit and no short form.
+LETTER_CODES = ["0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"]
+
+
 def is_valid(c: Column | str) -> Column:
     """Strict check.  The parser alone accepts trailing text, so the value must also fit inside ``[ ]`` and ``{ }``."""
     s = blank_if_null(c)
@@ -50,9 +54,15 @@ def canonical(c: Column | str) -> Column:
 
 
 def escape(c: Column | str) -> Column:
-    """Body of a JSON string literal."""
+    """Body of a JSON string literal, control characters with lower-case hex digits."""
     quoted = F.to_json(F.array(blank_if_null(c)))
-    return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+    body = F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+    lowered = body
+    for code in LETTER_CODES:
+        # an even number of backslashes before the escape belongs to the text itself
+        lowered = F.regexp_replace(lowered, r"(?<!\\)((?:\\\\)*)\\u00" + code, "$1" + r"\\u00" + code.lower())
+    return F.when(F.col(c).rlike(r"[\x0B\x0E\x0F\x1A-\x1F]") if isinstance(c, str) else c.rlike(
+        r"[\x0B\x0E\x0F\x1A-\x1F]"), lowered).otherwise(body)
 
 
 def unescape(c: Column | str) -> Column:

@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsframe.functions.text import fold_lines, lines
 
 MAX_CELLS = 4_000_000  # fixed value: larger middles are replaced as a whole
-OPS = "array<struct<op:string,a:int,b:int>>"
+OPS = T.ArrayType(T.StructType([
+    T.StructField("op", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
 
 def _suffix_lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
