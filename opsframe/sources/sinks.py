@@ -12,17 +12,24 @@ from opsframe.operators import kpi
 from opsframe.operators.summary import BLANK_GROUP, archive_manifest, split_manifest
 
 
+# Cells keep their outer spaces, and quotes are doubled.
+CSV_OPTIONS = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _options(writer, fmt: str, **extra: str):
+    return writer.options(**CSV_OPTIONS, **extra) if fmt == "csv" else writer
+
+
 def save_table(df: DataFrame, path: str, columns: Sequence[str] | None = None, fmt: str = "parquet",
-               mode: str = "overwrite") -> None:
-    """Write the declared columns in their order; other columns are dropped."""
+               mode: str = "overwrite", **options: str) -> None:
+    """Write the declared columns in their order; other columns are dropped.  ``options`` go to a CSV writer."""
     out = df.select(*columns) if columns else df
-    writer = out.write.mode(mode).format(fmt)
-    (writer.option("header", "true").option("escape", '"') if fmt == "csv" else writer).save(path)
+    _options(out.write.mode(mode).format(fmt), fmt, **options).save(path)
 
 
 def _write_parts(df: DataFrame, path: str, part_columns: Sequence[str], fmt: str, max_records: int) -> None:
     writer = df.write.mode("overwrite").format(fmt).option("maxRecordsPerFile", max_records).partitionBy(*part_columns)
-    (writer.option("header", "true").option("escape", '"') if fmt == "csv" else writer).save(path)
+    _options(writer, fmt).save(path)
 
 
 def split_by(df: DataFrame, by: str, path: str, fmt: str = "csv", blank: str = BLANK_GROUP,

@@ -31,8 +31,7 @@ def ingest_stream(rows: DataFrame, columns: Sequence[str], required: Sequence[st
     tagged = rules.route(quality.tag_required(cleaned, required), routing)
     if not keys:
         return tagged
-    marked = tagged.withColumns({f"_k{i}": strip(k) for i, k in enumerate(keys)})
-    marked = marked.withColumn("_reject", F.when(F.col("reason") != "", F.monotonically_increasing_id()))
-    names = [f"_k{i}" for i in range(len(keys))] + ["_reject"]
-    once = marked.withWatermark(at, late).dropDuplicatesWithinWatermark(names) if at else marked.dropDuplicates(names)
-    return once.drop(*names)
+    names = [f"_k{i}" for i in range(len(keys))]
+    valid = tagged.filter("reason = ''").withColumns({n: strip(k) for n, k in zip(names, keys)})
+    once = valid.withWatermark(at, late).dropDuplicatesWithinWatermark(names) if at else valid.dropDuplicates(names)
+    return once.drop(*names).unionByName(tagged.filter("reason <> ''"))
