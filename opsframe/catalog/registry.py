@@ -49,6 +49,20 @@ def _with_inputs(sql: str) -> str:
         f"WITH {parts}, {sql.strip()[5:]}")
 
 
+
+
+ROW_WORK = ("documents", "pages", "orders", "lineitem", "events")  # tables whose rows get costly cell work
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores (a file of one row group cannot be split).
+
+    Real tables have far more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """The given tables and derived inputs of one scale-factor folder."""
 
@@ -57,7 +71,8 @@ class Tables:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in ROW_WORK else df
 
     def input(self, name: str) -> DataFrame:
         sql = INPUTS[name]
@@ -95,7 +110,12 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: plain(fn(Tables(spark, folder)))
         if sql is not None:
-            ORACLES[name] = _with_inputs(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """The SQL twins with the derived inputs they name; put together once every input is known."""
+    return {name: _with_inputs(sql) for name, sql in ORACLES.items()}

@@ -110,8 +110,7 @@ FROM (SELECT *, num IS NULL AS is_text, CASE WHEN num IS NULL THEN trim(cell) EN
 
 
 def _positions(t, descending=False, locale=None):
-    keys = [*summary.sort_keys("cell", descending, locale), F.col("row_key")]
-    return order.dense_number(t.mixed_cells, keys, "position")
+    return summary.number_mixed(t.mixed_cells, "cell", "row_key", "position", descending, locale)
 
 
 @query("sort_mixed", _position_sql(""))

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opsframe.functions.text import blank_if_null, squeeze, strip
+from opsframe.functions.text import blank_if_null, is_blank, squeeze, strip
 
 MONEY = "decimal(28,8)"
 
@@ -239,6 +239,11 @@ def show_number(c: Column | str, missing: str = "-") -> Column:
 
 # --- by kind ----------------------------------------------------------------------------------------------------
 
+def blank_after_clean(c: Column | str, kind: str) -> Column:
+    """Whether cleaning a cell leaves nothing, told from the raw cell at the price of one short search."""
+    return ~blank_if_null(c).rlike(r"(?U)\d") if kind == "phone" else is_blank(c)
+
+
 def clean_cell(c: Column | str, kind: str, profile: str = "table") -> Cleaned:
     """Cleaned value and validity of one cell; only the table profile judges validity."""
     fine = F.lit(True)

@@ -22,6 +22,9 @@ PATTERN_LIBRARY = {
     "url": r"https?://[\w./?=&%-]+",
 }
 
+# Text without which a pattern cannot match: a plain search is far cheaper than starting the pattern at every character.
+PATTERN_NEEDS = {"email": "@", "date": "-", "brackets": "(", "url": "http"}
+
 # How a price is written on a page (currency prefix, or a yuan suffix).
 PRICE_PATTERN = (
     r"(?:[¥￥$]\s?(\d{1,3}(?:,\d{3})*(?:\.\d{1,2})?|\d+(?:\.\d{1,2})?))"
@@ -55,9 +58,17 @@ def blank_if_null(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+# Unicode white space, as a set of characters to trim.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029"
+               "\u202f\u205f\u3000")
+
+
 def strip(c: Column | str) -> Column:
-    """Trim Unicode white space, which ``trim`` does not (full-width space, no-break space, tabs)."""
-    return F.regexp_replace(blank_if_null(c), r"(?U)^\s+|\s+$", "")
+    """Trim Unicode white space, which plain ``trim`` leaves (full-width space, no-break space, tabs).
+
+    A character-set trim only looks at the two ends; a regular expression would scan every cell.
+    """
+    return F.btrim(blank_if_null(c), F.lit(WHITE_SPACE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -66,7 +77,8 @@ def squeeze(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    return strip(c) == ""
+    """Nothing but white space.  The search ends at the first other character."""
+    return ~blank_if_null(c).rlike(r"(?U)\S")
 
 
 def or_label(c: Column | str, label: str) -> Column:
@@ -147,8 +159,13 @@ def price_hits(c: Column | str, pattern: str | Column | None = None, group: int
 def pattern_census(df, key: str, c: str, patterns: dict[str, str] | None = None):
     """Long table ``key, pattern, n`` of match counts; the patterns are counted in one pass over the text."""
     table = PATTERN_LIBRARY if patterns is None else patterns
-    counted = F.array(*[F.struct(F.lit(n).alias("pattern"), count_matches(c, p).cast("bigint").alias("n"))
-                        for n, p in table.items()])
+    needs = PATTERN_NEEDS if patterns is None else {}
+
+    def count(name: str, pattern: str) -> Column:
+        n = count_matches(c, pattern).cast("bigint")
+        return F.when(col(c).contains(needs[name]), n).otherwise(0) if name in needs else n
+
+    counted = F.array(*[F.struct(F.lit(n).alias("pattern"), count(n, p).alias("n")) for n, p in table.items()])
     return df.select(key, F.inline(counted))
 
 
@@ -156,11 +173,10 @@ def pattern_census(df, key: str, c: str, patterns: dict[str, str] | None = None)
 
 def lines(c: Column | str) -> Column:
     """Lines of a text: CRLF and CR count as line ends, one trailing empty line is dropped, no text has no lines."""
-    text = F.regexp_replace(blank_if_null(c), "\r\n?", "\n")
-    parts = F.split(text, "\n", -1)
-    trailing = (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
-    body = F.when(trailing, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(body)
+    raw = blank_if_null(c)
+    text = F.replace(F.replace(raw, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    body = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    return F.when(raw == "", F.array().cast("array<string>")).otherwise(body)
 
 
 def fold_lines(arr: Column, ignore_case: bool = False, ignore_space: bool = False) -> Column:

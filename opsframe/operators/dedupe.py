@@ -26,16 +26,15 @@ def dedupe_composite(df: DataFrame, keys: Sequence[str], order_by: str, keep: st
                      position: str = "position") -> DataFrame:
     """One row per key combination, blanks included; the survivor takes the place of the first row.
 
-    Only the first and last ordinal per key are aggregated (map-side combined, hash based); the wide row is fetched by
-    its unique ordinal, so a key with very many copies never gathers in one task.
+    One aggregation over the rows: it combines on the map side, so a key with very many copies sends one row per task
+    and never gathers in one place.
     """
-    cols = [strip(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    ends = df.select(*cols, F.col(order_by).alias("_o")).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(
-        F.min("_o").alias(position), F.max("_o").alias("_last")
-    )
-    chosen = F.col("_last") if keep == "last" else F.col(position)
-    picks = ends.select(chosen.alias(order_by), position)
-    return df.join(picks, order_by)
+    ids = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[strip(k).alias(i) for i, k in zip(ids, keys)], F.col(order_by).alias("_o"),
+                     F.struct(*df.columns).alias("_row"))
+    pick = F.max_by if keep == "last" else F.min_by
+    kept = rows.groupBy(*ids).agg(pick("_row", "_o").alias("_row"), F.min("_o").alias(position))
+    return kept.select("_row.*", position)
 
 
 def duplicate_keys(df: DataFrame, key: str, order_by: str) -> DataFrame:

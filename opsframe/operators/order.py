@@ -25,6 +25,8 @@ def dense_number(df: DataFrame, order_by: Sequence[Column | str], out: str,
                  partition_by: Sequence[str] = ()) -> DataFrame:
     """1, 2, 3, ... in the given (unique) order, over the table or per group, without a one-task window.
 
+    Order by columns, not by costly expressions: a sort computes its keys anew for every comparison.
+
     The rows are range-sorted once, so each partition holds a run of consecutive rows, however large one group is.  A
     row's number is its place in the partition plus the sizes of the same group's runs before it.  The sorted rows are
     checkpointed because both uses must see the same partition borders, also after an executor is lost.

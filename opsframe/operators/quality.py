@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +79,12 @@ def tag_required(df: DataFrame, columns: Sequence[str], out: str = "reason") ->
 
 
 def require(df: DataFrame, columns: Sequence[str], out: str = "reason") -> tuple[DataFrame, DataFrame]:
-    """Valid rows and rejected rows (with their reason): two filters over the same scan."""
-    tagged = tag_required(df, columns, out)
-    return tagged.filter(F.col(out) == "").drop(out), tagged.filter(F.col(out) != "")
+    """Valid rows, and rejected rows with their reason.
+
+    The split tests the cells themselves; only rejected rows pay for building a reason.
+    """
+    missing = reduce(or_, [is_blank(c) for c in columns], F.lit(False))
+    return df.filter(~missing), tag_required(df.filter(missing), columns, out)
 
 
 def split_missing_key(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +98,7 @@ def usable_amount(df: DataFrame, amount: str, out: str = "amount_value") -> Data
 
 def drop_blank_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows in which at least one cell holds something."""
-    return df.filter(F.concat_ws("", *[strip(c) for c in (columns or df.columns)]) != "")
+    return df.filter(~reduce(and_, [is_blank(c) for c in (columns or df.columns)]))
 
 
 def size_flag(size: Column | str, tiny_below: int = 1024) -> Column:

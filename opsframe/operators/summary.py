@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.normalize import guarded_number, plain_number
 from opsframe.functions.text import blank_if_null, is_blank, or_label, safe_name, strip
+from opsframe.operators.order import dense_number
 
 BLANK_GROUP = "(空)"       # fixed values: labels of the blank group
 BLANK_GROUP_WEB = "（空）"
@@ -36,20 +37,34 @@ def group_single_sum(df: DataFrame, by: str, order_by: str, total: str | None =
     return df.groupBy(or_label(by, BLANK_GROUP_WEB).alias(by)).agg(*aggs, F.min(order_by).alias("first_at"))
 
 
-def sort_keys(by: str, descending: bool = False, locale: str | None = None) -> list[Column]:
-    """Numbers before text ascending, the whole order reversed descending."""
-    text = strip(by)
+def with_sort_keys(df: DataFrame, by: str, locale: str | None = None) -> DataFrame:
+    """Add ``_is_text, _number, _text``: computed before the sort, which would else redo them per comparison."""
     number = plain_number(by)
-    shown = F.when(number.isNull(), text)
-    if locale:
-        shown = F.collate(shown, locale)
-    keys = [number.isNull(), number, shown]
-    return [k.desc() if descending else k.asc() for k in keys]
+    keyed = df.withColumns({"_number": number, "_shown": strip(by)})
+    text = F.when(F.col("_number").isNull(), F.col("_shown"))
+    keyed = keyed.withColumns({"_is_text": F.col("_number").isNull(), "_text": F.collate(text, locale) if locale else text})
+    return keyed.drop("_shown")
+
+
+SORT_KEYS = ["_is_text", "_number", "_text"]
+
+
+def sort_order(descending: bool = False) -> list[Column]:
+    """Numbers before text ascending; the whole order is reversed descending."""
+    return [F.col(k).desc() if descending else F.col(k).asc() for k in SORT_KEYS]
 
 
 def sort_mixed(df: DataFrame, by: str, order_by: str, descending: bool = False, locale: str | None = None) -> DataFrame:
     """Stable sort of a column holding numbers and text."""
-    return df.orderBy(*sort_keys(by, descending, locale), F.col(order_by).asc())
+    keyed = with_sort_keys(df, by, locale)
+    return keyed.orderBy(*sort_order(descending), F.col(order_by).asc()).drop(*SORT_KEYS)
+
+
+def number_mixed(df: DataFrame, by: str, order_by: str, out: str, descending: bool = False,
+                 locale: str | None = None) -> DataFrame:
+    """Position of every row in the order of :func:`sort_mixed`."""
+    keyed = with_sort_keys(df, by, locale)
+    return dense_number(keyed, [*sort_order(descending), F.col(order_by).asc()], out).drop(*SORT_KEYS)
 
 
 def bounded_sample(df: DataFrame, order_by: str, n: int) -> tuple[DataFrame, DataFrame]:

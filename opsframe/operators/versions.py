@@ -72,16 +72,22 @@ def edit_script(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 
 def diff_versions(old: DataFrame, new: DataFrame, doc: str, body: str, ignore_case: bool = False,
                   ignore_space: bool = False) -> DataFrame:
-    """One row per edit step: ``doc, op_no, op, a_line, b_line, line`` (1-based line numbers)."""
-    sides = old.select(doc, lines(body).alias("_a")).join(new.select(doc, lines(body).alias("_b")), doc)
+    """One row per edit step: ``doc, op_no, op, a_line, b_line, line`` (1-based line numbers).
+
+    The sides are partitioned by document with a stated number of partitions: the join needs that shuffle anyway, and
+    partitions of small texts are not merged, so the Python work after the join uses all cores.
+    """
+    n = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda df, name: df.select(doc, lines(body).alias(name)).repartition(n, doc)
+    sides = side(old, "_a").join(side(new, "_b"), doc)
     fold = lambda c: fold_lines(F.col(c), ignore_case, ignore_space)
-    # equal texts need no Python: their script is one eq per line
-    same = F.col("_fa") == F.col("_fb")
-    scripted = sides.withColumns({"_fa": fold("_a"), "_fb": fold("_b")})
-    plain = scripted.filter(same).withColumn(
-        "_ops", F.transform("_a", lambda x, i: F.struct(F.lit("eq").alias("op"), i.alias("a"), i.alias("b"))))
-    worked = scripted.filter(~same).withColumn("_ops", edit_script("_fa", "_fb"))
-    both = plain.unionByName(worked).select(doc, "_a", "_b", F.posexplode("_ops").alias("op_no", "_op"))
+    folded = sides.withColumns({"_fa": fold("_a"), "_fb": fold("_b")}).withColumn("_same", F.col("_fa") == F.col("_fb"))
+    # equal texts send nothing to Python: their script is one eq per line
+    sent = lambda c: F.when(F.col("_same"), F.array().cast("array<string>")).otherwise(F.col(c))
+    kept = F.transform("_a", lambda x, i: F.struct(F.lit("eq").alias("op"), i.alias("a"), i.alias("b")))
+    scripted = folded.select(doc, "_a", "_b", "_same", edit_script(sent("_fa"), sent("_fb")).alias("_script"))
+    ops = F.when(F.col("_same"), kept).otherwise(F.col("_script"))
+    both = scripted.select(doc, "_a", "_b", F.posexplode(ops).alias("op_no", "_op"))
     a, b = F.col("_op.a"), F.col("_op.b")
     return both.select(
         doc, (F.col("op_no") + 1).alias("op_no"), F.col("_op.op").alias("op"), (a + 1).alias("a_line"),
