@@ -54,6 +54,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def blank_if_null(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 

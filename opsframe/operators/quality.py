@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions import normalize
-from opsframe.functions.text import blank_if_null, is_blank, strip
+from opsframe.functions.text import blank_if_null, is_blank, named, strip
 
 REASON_PREFIX = "缺少必填："  # fixed values: reject reasons
 MISSING_KEY = "缺主键「%s」"
@@ -30,9 +30,9 @@ def clean(df: DataFrame, columns: Sequence[str] | None = None, profile: str = "t
     out, marks = [], []
     for c in df.columns:
         if c not in by_name:
-            out.append(F.col(c))
+            out.append(named(c))
             continue
-        done = normalize.clean_cell(c, by_name[c], profile)
+        done = normalize.clean_cell(named(c), by_name[c], profile)
         out.append(done.value.alias(c))
         marks.append(done.ok.alias(f"ok_{c}"))
     return df.select(*out, *(marks if flags else []))
@@ -44,10 +44,10 @@ def clean_report(df: DataFrame, columns: Sequence[str], profile: str = "table",
     by_name = column_kinds(columns, profile, kinds)
     parts = []
     for c, kind in by_name.items():
-        done = normalize.clean_cell(c, kind, profile)
+        done = normalize.clean_cell(named(c), kind, profile)
         parts.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("kind"),
                               (~done.ok).cast("bigint").alias("invalid"),
-                              (~blank_if_null(c).eqNullSafe(done.value)).cast("bigint").alias("changed")))
+                              (~blank_if_null(named(c)).eqNullSafe(done.value)).cast("bigint").alias("changed")))
     aggs = []
     for i, c in enumerate(by_name):
         aggs += [F.sum(F.col("_p")[i]["invalid"]).alias(f"i{i}"), F.sum(F.col("_p")[i]["changed"]).alias(f"c{i}")]
@@ -98,7 +98,7 @@ def usable_amount(df: DataFrame, amount: str, out: str = "amount_value") -> Data
 
 def drop_blank_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows in which at least one cell holds something."""
-    return df.filter(~reduce(and_, [is_blank(c) for c in (columns or df.columns)]))
+    return df.filter(~reduce(and_, [is_blank(named(c)) for c in (columns or df.columns)]))
 
 
 def size_flag(size: Column | str, tiny_below: int = 1024) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.normalize import kpi_number
-from opsframe.functions.text import base_name, blank_if_null, strip
+from opsframe.functions.text import base_name, blank_if_null, named, strip
 from opsframe.operators.quality import drop_blank_rows
 from opsframe.session import configure
 
@@ -73,7 +73,7 @@ def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: s
         "sep", sep).option("encoding", charset).option("ignoreLeadingWhiteSpace", "false").option("mode", "PERMISSIVE")
     df = reader.csv(list(files))
     names = [(c, alias.get(c.strip(), c.strip())) for c in df.columns]
-    cells = [blank_if_null(F.col(f"`{c}`")).alias(name) for c, name in names]
+    cells = [blank_if_null(named(c)).alias(name) for c, name in names]
     meta = F.col("_metadata")
     return df.select(*cells, meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"),
                      F.monotonically_increasing_id().alias("_at"))
@@ -108,7 +108,7 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursi
     data = [c for c in order if c in merged.columns]
     # a quoted multi-line file is read by one task anyway, so its row numbers need no wider window
     row_no = F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_at")).cast("bigint")
-    out = merged.select(*[blank_if_null(c).alias(c) for c in data], F.url_decode(base_name("_file")).alias("__source__"),
+    out = merged.select(*[blank_if_null(named(c)).alias(c) for c in data], F.url_decode(base_name("_file")).alias("__source__"),
                         row_no.alias("__row__"))
     return drop_blank_rows(out, data) if drop_blank else out
 
@@ -122,9 +122,9 @@ def merge_exports(tables: Sequence[DataFrame]) -> DataFrame:
     """Union by column name in first-seen order; cells a table lacks are empty text."""
     out = None
     for df in tables:
-        part = df.select(*[blank_if_null(c).alias(c) for c in df.columns])
+        part = df.select(*[blank_if_null(named(c)).alias(c) for c in df.columns])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.select(*[blank_if_null(c).alias(c) for c in out.columns])
+    return out.select(*[blank_if_null(named(c)).alias(c) for c in out.columns])
 
 
 def alias_columns(df: DataFrame, alias: Mapping[str, str]) -> DataFrame:
