@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opsframe.functions.text import blank_if_null
 
 
+MAX_COLUMNS = 10_000  # a wider result is not a table
+
 # Control characters whose escape has a letter digit and no short form.
 LETTER_CODES = ["0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"]
 
@@ -97,10 +99,14 @@ def object_keys(df: DataFrame, c: str, order_by: str) -> DataFrame:
 def json_to_table(df: DataFrame, c: str, order_by: str, keys: list[str] | None = None) -> DataFrame:
     """Columns for every key of the objects; absent and null members are empty text, other members become text.
 
-    Without ``keys`` one small job reads the key set, which is the schema of the result and not data.
+    Without ``keys`` one small job reads the key set, which is the schema of the result and not data; a key set too
+    large to be a schema is an error.
     """
     if keys is None:
-        keys = [r["key"] for r in object_keys(df, c, order_by).orderBy("first_at").collect()]
+        found = object_keys(df, c, order_by).orderBy("first_at").limit(MAX_COLUMNS + 1).collect()
+        if len(found) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} different keys: name the wanted ones")
+        keys = [r["key"] for r in found]
     cell = lambda k: F.coalesce(
         F.try_variant_get("member", "$['%s']" % k.replace("'", "\\'"), "string"), F.lit("")
     ).alias(k)

@@ -79,24 +79,23 @@ def kpi_alerts(compared: DataFrame, drop_pct: float | None = 20, rise_pct: float
 def breakdown(df: DataFrame, date: str, amount: str, fields: Sequence[str]) -> DataFrame:
     """Amount per day, field and value with its share of the day and its bar relative to the largest value.
 
-    Totals come from the already grouped rows and are joined back; with few (day, field) pairs Spark turns that join
-    into a broadcast from the measured size.
+    Totals come from the already grouped rows (every row counts once per field) and are joined back; with few
+    (day, field) pairs Spark turns that join into a broadcast from the measured size.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), or_label(f, BLANK_VALUE).alias("value"))
                                 for f in fields]))
     groups = (
         df.select(F.col(date).cast("date").alias("day"), F.col(amount).alias("_a"), pairs.alias("_p"))
         .groupBy("day", F.col("_p.field").alias("field"), F.col("_p.value").alias("value"))
-        .agg(F.sum("_a").cast("double").alias("total"))
+        .agg(F.sum("_a").alias("_sum"))
     )
-    # the day total is taken from the rows of one field, in exact decimals
-    whole = df.groupBy(F.col(date).cast("date").alias("day")).agg(F.sum(amount).cast("double").alias("_day_total"))
-    largest = groups.groupBy("day", "field").agg(F.max("total").alias("_largest"))
-    joined = groups.join(largest, ["day", "field"]).join(whole, "day")
+    whole = groups.groupBy("day", "field").agg(F.max("_sum").alias("_max"), F.sum("_sum").alias("_all"))
+    joined = groups.join(whole, ["day", "field"])
+    total, day_total = F.col("_sum").cast("double"), F.col("_all").cast("double")
     return joined.select(
-        "day", "field", "value", "total",
-        F.when(F.col("_day_total") != 0, F.col("total") / F.col("_day_total") * 100).otherwise(0.0).alias("share_pct"),
-        bar_length(F.col("total"), F.col("_largest"), 20).alias("bar"),
+        "day", "field", "value", total.alias("total"),
+        F.when(day_total != 0, total / day_total * 100).otherwise(0.0).alias("share_pct"),
+        bar_length(total, F.col("_max").cast("double"), 20).alias("bar"),
     )
 
 

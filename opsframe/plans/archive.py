@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from opsframe.functions.text import base_name, category, extension, flatten_path, render, stem
 from opsframe.operators import inventory
 from opsframe.operators.order import dense_number
+from opsframe.session import ensure_checkpoints
 
 TEMPLATE = "{category}_{date}_{index:03d}"  # fixed values: defaults of the archive plan
 DUPLICATE_CLASS = "重复件"
@@ -24,7 +25,10 @@ def archive_plan(files: DataFrame, path: str = "rel_path", size: str = "size", f
     The index counts non-duplicates per category in path order.  It comes from range-sorted runs, so one category
     owning most files is still numbered by many tasks.  Targets that collide get ``(2)``, ``(3)``, ... in path order.
     """
-    marked = inventory.mark_duplicates(files, path, fingerprint)
+    ensure_checkpoints(files.sparkSession)
+    # the narrow inventory is used several times below; without this every use would read and hash the files again
+    listed = files.select(path, size, fingerprint, *([mtime] if mtime in files.columns else [])).checkpoint()
+    marked = inventory.mark_duplicates(listed, path, fingerprint)
     ext = extension(path)
     out_ext = F.lower(ext) if lowercase_ext else ext
     marked = marked.withColumns({"category": category(F.lower(ext)), "_ext": out_ext})

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.normalize import kpi_number
 from opsframe.functions.text import base_name, blank_if_null, named, strip
+from opsframe.operators.order import dense_number
 from opsframe.operators.quality import drop_blank_rows
 from opsframe.session import configure
 
@@ -22,9 +23,8 @@ def _lines(spark: SparkSession, path: str, pattern: str, recursive: bool) -> Dat
     """Raw lines with their file and place.  The text source keeps the bytes as they are."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern)
     meta = F.col("_metadata")
-    return reader.text(path).select(
-        meta["file_path"].alias("file"), F.col("value"),
-        F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"))
+    return reader.text(path).select(meta["file_path"].alias("file"), F.col("value"), meta["file_block_start"].alias("block"),
+                                    F.monotonically_increasing_id().alias("row"))
 
 
 def any_case(pattern: str) -> str:
@@ -33,15 +33,18 @@ def any_case(pattern: str) -> str:
 
 
 def _decodes(c: Column, charset: str) -> Column:
-    """Whether bytes survive a decode in the charset without replacement characters."""
-    return ~F.decode(c.cast("binary"), charset).contains("�")
+    """Whether bytes survive a decode in the charset without replacement characters; plain ASCII needs no decode."""
+    ascii_only = F.is_valid_utf8(c) & (F.octet_length(c) == F.length(c))
+    return ascii_only | ~F.decode(c.cast("binary"), charset).contains("�")
 
 
 def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
     """``file, encoding, sep, header`` per export.
 
     Encodings are judged line by line and combined per file, so a large file is split over many tasks and only one
-    small record per file remains.  None of the candidate encodings uses the line-feed byte inside a character.
+    small record per file remains.  None of the candidate encodings uses the line-feed byte inside a character.  The
+    aggregate holds flags and numbers only (hash based, no sort of the lines); the header lines are fetched by their
+    row numbers in a second look at the same splits.
     """
     configure(spark)
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # decode() marks bad bytes instead of failing
@@ -51,7 +54,9 @@ def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recurs
         F.bool_and(F.is_valid_utf8(raw)).alias("utf8"),
         F.bool_and(_decodes(raw, "GB18030")).alias("gb"),
         F.bool_and(_decodes(raw, "Big5")).alias("big5"),
-        F.min_by(raw.cast("binary"), "at").alias("head"))
+        F.min(F.when(F.col("block") == 0, F.col("row"))).alias("row"))
+    heads = rows.filter("block = 0").select("file", "row", raw.cast("binary").alias("head"))
+    seen = seen.join(heads, ["file", "row"])
     encoding = (F.when(F.col("utf8"), "UTF-8").when(F.col("gb"), "GB18030").when(F.col("big5"), "BIG5")
                 .otherwise(UNKNOWN))
     seen = seen.withColumn("encoding", encoding)
@@ -66,11 +71,11 @@ def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recurs
                        head.alias("header"))
 
 
-def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: str,
-                alias: Mapping[str, str]) -> DataFrame:
+def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: str, alias: Mapping[str, str],
+                multi_line: bool) -> DataFrame:
     charset = "UTF-8" if encoding == UNKNOWN else encoding
-    reader = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option(
-        "sep", sep).option("encoding", charset).option("ignoreLeadingWhiteSpace", "false").option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option(
+        "escape", '"').option("sep", sep).option("encoding", charset).option("ignoreLeadingWhiteSpace", "false").option("mode", "PERMISSIVE")
     df = reader.csv(list(files))
     names = [(c, alias.get(c.strip(), c.strip())) for c in df.columns]
     cells = [blank_if_null(named(c)).alias(name) for c, name in names]
@@ -81,12 +86,14 @@ def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: s
 
 def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False,
                  alias: Mapping[str, str] | None = None, required: Sequence[str] = (), drop_blank: bool = True,
-                 profile: DataFrame | None = None) -> DataFrame:
+                 profile: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
     """All exports of a folder as one text table, with ``__source__`` (file name) and ``__row__`` (1-based).
 
     Files are grouped by encoding, delimiter and header and each group is one read; columns are united by name in the
     order in which files (by name) first show them.  Files lacking a required column are left out
     (:func:`rejected_files` lists them).  What reaches the driver is the file list and headers, as with any file scan.
+
+    ``multi_line=False`` is for large exports without line breaks inside cells: their files are read in splits.
     """
     alias = dict(alias or {})
     prof = profile if profile is not None else profile_files(spark, path, pattern, recursive)
@@ -103,13 +110,16 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursi
         return spark.createDataFrame([], schema)
     merged = None
     for (encoding, sep, _), files in groups.items():
-        part = _read_group(spark, files, encoding, sep, alias)
+        part = _read_group(spark, files, encoding, sep, alias, multi_line)
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     data = [c for c in order if c in merged.columns]
-    # a quoted multi-line file is read by one task anyway, so its row numbers need no wider window
-    row_no = F.row_number().over(Window.partitionBy("_file").orderBy("_block", "_at")).cast("bigint")
-    out = merged.select(*[blank_if_null(named(c)).alias(c) for c in data], F.url_decode(base_name("_file")).alias("__source__"),
-                        row_no.alias("__row__"))
+    if multi_line:  # such a file is read by one task anyway, so a window per file is no wider than the scan
+        in_file = Window.partitionBy("_file").orderBy("_block", "_at")
+        merged = merged.withColumn("__row__", F.row_number().over(in_file).cast("bigint"))
+    else:
+        merged = dense_number(merged, ["_block", "_at"], "__row__", ["_file"])
+    out = merged.select(*[blank_if_null(named(c)).alias(c) for c in data],
+                        F.url_decode(base_name("_file")).alias("__source__"), "__row__")
     return drop_blank_rows(out, data) if drop_blank else out
 
 
