@@ -27,6 +27,26 @@ def run(spark, name: str, folder: str) -> float:
     return time.perf_counter() - start
 
 
+def duckdb_times(folder: str, names: list[str], repeats: int) -> dict[str, float]:
+    """Seconds of the SQL twins on the same files (BENCH_DUCKDB=1), for comparison."""
+    import duckdb
+
+    from opsframe.catalog.registry import TABLES
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    twins, out = catalog.oracles(), {}
+    for name in (n for n in names if n in twins):
+        seconds = []
+        for _ in range(repeats):
+            start = time.perf_counter()
+            con.execute(twins[name]).fetchall()
+            seconds.append(time.perf_counter() - start)
+        out[name] = round(statistics.median(seconds), 3)
+    return out
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +58,8 @@ def main() -> None:
         run(spark, name, folder)  # warm-up: class loading and code generation
         times[name] = round(statistics.median(run(spark, name, folder) for _ in range(repeats)), 3)
         print(f"{name} {times[name]}", file=sys.stderr)
+    if os.environ.get("BENCH_DUCKDB"):
+        print(json.dumps({"duckdb": duckdb_times(folder, names, repeats)}), file=sys.stderr)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": folder.rstrip("/").split("sf")[-1]}))
 

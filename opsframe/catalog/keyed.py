@@ -30,7 +30,7 @@ NUMERIC = ["price", "stock"]
 def _pairs(t, stores, mode="baseline", ignore_case=False):
     tables = {s: t.input(s) for s in stores}
     tagged = reconcile.tag_stores(tables, ["sku", *FIELDS], "row_key")
-    return reconcile.pair_rows(reconcile.align(tagged, "sku", FIELDS, stores, ignore_case), stores, mode)
+    return reconcile.pair_rows(reconcile.align(tagged, "sku", FIELDS, stores, NUMERIC, ignore_case), stores, mode)
 
 
 def _uniq(store: str) -> str:

@@ -51,7 +51,10 @@ def _with_inputs(sql: str) -> str:
 
 
 
-ROW_WORK = ("documents", "pages", "orders", "lineitem", "events")  # tables whose rows get costly cell work
+# Tables and derived inputs whose rows get costly cell work.
+ROW_WORK = {"documents", "pages", "dirty_amounts", "dirty_dates", "form_rows", "mixed_cells", "moments", "json_cells",
+            "sale_lines"}
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -70,13 +73,16 @@ class Tables:
         self.spark = configure(spark)
         self.folder = folder
 
-    def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in ROW_WORK else df
+    def table(self, name: str, costly: bool = False) -> DataFrame:
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:  # one footer look per table, not one per query
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        df = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return spread(df) if costly or name in ROW_WORK else df
 
     def input(self, name: str) -> DataFrame:
         sql = INPUTS[name]
-        frames = {n: self.table(n) for n in TABLES if re.search(rf"\b{n}\b", sql)}
+        frames = {n: self.table(n, name in ROW_WORK) for n in TABLES if re.search(rf"\b(FROM|JOIN) {n}\b", sql)}
         frames |= {n: self.input(n) for n in _used(sql) if n != name}
         sql = sql.replace("{", "{{").replace("}", "}}")
         for n in frames:

@@ -34,14 +34,19 @@ def tag_stores(tables: dict[str, DataFrame], columns: Sequence[str], order_by: s
     return out
 
 
-def align(tagged: DataFrame, key: str, fields: Sequence[str], stores: Sequence[str],
+def _parsed(field: str) -> str:
+    return f"{field}_number"
+
+
+def align(tagged: DataFrame, key: str, fields: Sequence[str], stores: Sequence[str], numeric: Sequence[str] = (),
           ignore_case: bool = False) -> DataFrame:
     """One row per key with every store's record side by side (NULL where a store lacks the key).
 
     One aggregation does three jobs: it drops repeated keys (first row wins), aligns the stores and shuffles each row
-    once.  It combines on the map side, so a key repeated very often does not gather in one task.
+    once.  It combines on the map side, so a key repeated very often does not gather in one task.  Numeric fields are
+    parsed here, once per row, and not once per compared pair.
     """
-    record = F.struct(*[F.col(f) for f in fields])
+    record = F.struct(*[F.col(f) for f in fields], *[stock_number(f).alias(_parsed(f)) for f in fields if f in numeric])
     k = strip(key)
     rows = tagged.select(k.alias("key"), "store", "_ord", record.alias("_rec")).filter("key <> ''")
     if ignore_case:
@@ -83,9 +88,9 @@ def field_diff(field: str, numeric: bool, tolerance: float = 0.01, ignore_case:
                         delta.cast("double").alias("delta"), pct.cast("double").alias("pct"))
 
     none = F.lit(None)
-    if not numeric:
-        return F.when(text(b, ignore_case) != text(o, ignore_case), diff(TEXT_DIFFERS, none, none))
-    nb, no = stock_number(b), stock_number(o)
+    if not numeric:  # equal cells are settled without normalising them
+        return F.when((b != o) & (text(b, ignore_case) != text(o, ignore_case)), diff(TEXT_DIFFERS, none, none))
+    nb, no = F.col("b")[_parsed(field)], F.col("o")[_parsed(field)]
     delta = (no - nb).cast("double")
     pct = F.when(nb != 0, delta / F.abs(nb).cast("double") * 100.0)
     return F.when(nb.isNull() != no.isNull(), diff(MISSING_VALUE, none, none)).when(

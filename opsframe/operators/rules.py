@@ -71,11 +71,15 @@ def route(df: DataFrame, rules: Sequence[Mapping], category: str = "category", o
 
 
 def route_summary(df: DataFrame, amount: str) -> DataFrame:
-    """Rows, owner, priority and amount per category."""
-    return df.groupBy("category").agg(
-        F.count("*").alias("n_rows"), F.min("owner").alias("owner"), F.min("priority").alias("priority"),
-        F.sum(F.coalesce(form_number(amount), F.lit(0))).cast("double").alias("total"),
-    )
+    """Rows, owner, priority and amount per category.
+
+    The rows are aggregated with owner and priority as keys (hash based); only those few rows see the text minimum.
+    """
+    parts = df.groupBy("category", "owner", "priority").agg(
+        F.count("*").alias("_n"), F.sum(F.coalesce(form_number(amount), F.lit(0))).alias("_sum"))
+    return parts.groupBy("category").agg(
+        F.sum("_n").alias("n_rows"), F.min("owner").alias("owner"), F.min("priority").alias("priority"),
+        F.sum("_sum").cast("double").alias("total"))
 
 
 def urgent(df: DataFrame, amount: str, order_by: str, n: int = 10, priority: str = "high") -> DataFrame:

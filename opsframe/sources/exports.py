@@ -86,17 +86,20 @@ def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: s
 
 def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False,
                  alias: Mapping[str, str] | None = None, required: Sequence[str] = (), drop_blank: bool = True,
-                 profile: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
+                 profile: DataFrame | None = None, multi_line: bool = True, encoding: str | None = None,
+                 sep: str | None = None) -> DataFrame:
     """All exports of a folder as one text table, with ``__source__`` (file name) and ``__row__`` (1-based).
 
     Files are grouped by encoding, delimiter and header and each group is one read; columns are united by name in the
     order in which files (by name) first show them.  Files lacking a required column are left out
     (:func:`rejected_files` lists them).  What reaches the driver is the file list and headers, as with any file scan.
 
-    ``multi_line=False`` is for large exports without line breaks inside cells: their files are read in splits.
+    A given ``encoding`` or ``sep`` replaces what was found.  ``multi_line=False`` is for large exports without line breaks inside cells: their files are read in splits.
     """
     alias = dict(alias or {})
     prof = profile if profile is not None else profile_files(spark, path, pattern, recursive)
+    prof = prof.withColumn("encoding", F.lit(encoding)) if encoding else prof
+    prof = prof.withColumn("sep", F.lit(sep)) if sep else prof
     groups: dict[tuple[str, str, str], list[str]] = {}
     order: list[str] = []
     for r in prof.orderBy("file").collect():
@@ -109,8 +112,8 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursi
         schema = ", ".join([f"`{c}` string" for c in required] + ["__source__ string", "__row__ bigint"])
         return spark.createDataFrame([], schema)
     merged = None
-    for (encoding, sep, _), files in groups.items():
-        part = _read_group(spark, files, encoding, sep, alias, multi_line)
+    for (charset, delimiter, _), files in groups.items():
+        part = _read_group(spark, files, charset, delimiter, alias, multi_line)
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
     data = [c for c in order if c in merged.columns]
     if multi_line:  # such a file is read by one task anyway, so a window per file is no wider than the scan

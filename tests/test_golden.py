@@ -122,7 +122,7 @@ def test_reconcile(spark):
     fields, numeric = ["price", "stock", "title", "status"], ["price", "stock"]
     tables = stores(spark)
     both = {k: tables[k] for k in "AB"}
-    pairs = reconcile.pair_rows(reconcile.align(reconcile.tag_stores(both, ["sku", *fields], "place"), "sku", fields, "AB"), "AB")
+    pairs = reconcile.pair_rows(reconcile.align(reconcile.tag_stores(both, ["sku", *fields], "place"), "sku", fields, "AB", numeric), "AB")
     s = reconcile.summary(pairs, fields, numeric).first()
     assert (s.base_keys, s.other_keys, s.common_keys, s.base_only, s.other_only) == (40, 39, 35, 5, 4)
     assert (s.n_diffs, s.diff_keys, s.rate_pct) == (14, 14, 40.0)
@@ -136,7 +136,7 @@ def test_reconcile(spark):
     assert [(d.key, d.n_extra) for d in dedupe.duplicate_keys(tables["A"], "sku", "place").collect()] == [("S021", 1)]
     assert quality.split_missing_key(tables["A"], "sku")[1].count() == 1
     tagged = reconcile.tag_stores(tables, ["sku", *fields], "place")
-    three = reconcile.pair_rows(reconcile.align(tagged, "sku", fields, "ABC"), "ABC", "all_pairs")
+    three = reconcile.pair_rows(reconcile.align(tagged, "sku", fields, "ABC", numeric), "ABC", "all_pairs")
     assert reconcile.summary(three, fields, numeric).count() == 3
 
 
