@@ -148,13 +148,20 @@ def _(t):
 # --- streams ----------------------------------------------------------------------------------------------------
 
 def replay(t: Tables, rows: DataFrame, slices: list[str], build, fmt: str = "parquet", mode: str = "append",
-           each_batch=None, **csv: str) -> str:
+           each_batch=None) -> str:
     """Write the rows slice by slice into an inbox and run the stream after each, with state kept in between."""
     root = fresh(t)
     inbox, sink, checkpoint = f"{root}/inbox", f"{root}/out", f"{root}/state"
-    for where in slices:
-        sinks.save_table(rows.filter(where), inbox, None, fmt, "append")
-        run_available(build(inbox), checkpoint, sink, mode, each_batch(sink) if each_batch else None)
+    # a stream keeps its number of state partitions for life: more than one per core only adds state files here
+    setting = "spark.sql.shuffle.partitions"
+    before = t.spark.conf.get(setting)
+    t.spark.conf.set(setting, str(min(int(before), t.spark.sparkContext.defaultParallelism)))
+    try:
+        for where in slices:
+            sinks.save_table(rows.filter(where), inbox, None, fmt, "append")
+            run_available(build(inbox), checkpoint, sink, mode, each_batch(sink) if each_batch else None)
+    finally:
+        t.spark.conf.set(setting, before)
     return sink
 
 

@@ -45,7 +45,7 @@ def dense_number(df: DataFrame, order_by: Sequence[Column | str], out: str,
     )
 
 
-def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 20) -> DataFrame:
+def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 18) -> DataFrame:
     """1, 2, 3, ... in the order of a unique whole-number id.
 
     Ids are cut into blocks of ``width``, so no block can hold more than ``width`` rows; block sizes come from a
