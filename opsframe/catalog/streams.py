@@ -137,12 +137,14 @@ def _(t):
     return sinks.upsert_history(stale, days, fresh(t))
 
 
-@query("io_inventory")
+@query("io_inventory", """
+SELECT '.txt' AS ext, '文档' AS category, CAST(sum(octet_length(encode(html)) + 1) AS BIGINT) AS bytes, true AS all_differ FROM pages""")
 def _(t):
     root = fresh(t)
     t.pages.select("html").write.text(root)
-    files = inventory.file_inventory(t.spark, root)
-    return inventory.classify(files, "rel_path", "size").select("rel_path", "ext", "category", "size", "fingerprint")
+    files = inventory.classify(inventory.file_inventory(t.spark, root), "rel_path", "size")
+    return files.groupBy("ext", "category").agg(
+        F.sum("size").alias("bytes"), (F.countDistinct("fingerprint") == F.count("*")).alias("all_differ"))
 
 
 # --- streams ----------------------------------------------------------------------------------------------------

@@ -102,9 +102,9 @@ SELECT o_orderkey AS row_key, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN o_o
 FROM orders""")
 
 
-def _position_sql(down: str) -> str:
+def _position_sql(down: str, collate: str = "") -> str:
     return f"""
-SELECT row_key, cell, row_number() OVER (ORDER BY is_text {down}, num {down}, txt {down}, row_key) AS position
+SELECT row_key, cell, row_number() OVER (ORDER BY is_text {down}, num {down}, txt {collate} {down}, row_key) AS position
 FROM (SELECT *, num IS NULL AS is_text, CASE WHEN num IS NULL THEN trim(cell) END AS txt
       FROM (SELECT *, {sql_number("translate(trim(cell), ',', '')")} AS num FROM mixed_cells))"""
 
@@ -123,7 +123,7 @@ def _(t):
     return _positions(t, True)
 
 
-@query("sort_locale")
+@query("sort_locale", _position_sql("", "COLLATE zh"))
 def _(t):
     return _positions(t, locale="zh")
 

@@ -87,6 +87,8 @@ def test_json(cells):
     given = ['{"a":1}', '{"a":1}x', "[1,2]", "null", "", "1,2", '{"b":[1,{"z":null,"y":2}],"a":"é"}']
     assert cells(given, jsoncols.is_valid) == [True, False, True, True, False, False, True]
     assert cells(given[-1:], jsoncols.canonical) == ['{"a":"é","b":[1,{"y":2,"z":null}]}']
+    spaced = '{ "b" : [ 1 , "a  \\" b" ] ,\n "a":"%s" }' % ("x \\n" * 20000)
+    assert cells([spaced, "{ ]"], jsoncols.minify) == ['{"b":[1,"a  \\" b"],"a":"%s"}' % ("x \\n" * 20000), None]
     tricky = ['say "hi"\n', "\x1b[0m", "back\\slash \\u001B"]
     assert cells(tricky, jsoncols.escape) == ['say \\"hi\\"\\n', "\\u001b[0m", "back\\\\slash \\\\u001B"]
     assert cells(tricky, lambda c: jsoncols.unescape(jsoncols.escape(c))) == tricky[:1] + tricky[1:]
