@@ -32,32 +32,29 @@ FEATURE_MOST, EVIDENCE_MOST = 4.0, 12.0
 THRESHOLD = 0.4
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Measures of a whole text (null counts as empty)."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    count = F.greatest(F.size(words), F.lit(1))
-    chars = F.greatest(F.length(text), F.lit(1))
+def measures(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_m``, the measures of a whole text (null counts as empty), in the order of BINS."""
+    text, words = F.col("_text"), F.col("_words")
+    count, chars = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(text), F.lit(1))
 
     def share(pattern: str) -> Column:
         return F.regexp_count(text, F.lit(pattern)) / chars
 
-    followed = F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.element_at(words, F.greatest(i, F.lit(1))))))
-    return {"length": F.size(words).cast("double"), "signs": share(r"[^\p{L}\p{M}\p{N}\s.,;:'’\-()?\"]"), "capitals": share(r"\p{Lu}"),
-            "digits": share(r"\p{Nd}"), "distinct": F.size(F.array_distinct(words)) / count, "repeats": followed / count,
-            "word_length": chars / count, "lone_signs": F.size(F.filter(words, lambda w: w.isin("|", "-", "*", "#", "=", "~", "_"))) / count}
+    followed = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b)
+    made = [F.size(words), share(r"[^\p{L}\p{M}\p{N}\s.,;:'’\-()?\"]"), share(r"\p{Lu}"), share(r"\p{Nd}"),
+            F.size(F.array_distinct(words)) / count, F.size(F.filter(followed, lambda same: same)) / count, chars / count,
+            F.size(F.filter(words, lambda w: w.isin("|", "-", "*", "#", "=", "~", "_"))) / count]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", BLANKS), lambda w: w != "")).withColumn(
+        "_m", F.array(*[m.cast("double") for m in made])).drop("_text", "_words")
 
 
 def binned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``bins``: for every feature the number of the bin its measure falls in."""
-    measured = docs.withColumn("_m", F.array(*[m.cast("double") for m in features(F.col(text_col)).values()]))
     bins = []
     for i, limits in enumerate(BINS.values()):
-        at = F.lit(len(limits))
-        for k in reversed(range(len(limits))):
-            at = F.when(F.col("_m")[i] <= limits[k], k).otherwise(at)
-        bins.append(at.cast("int"))
-    return measured.withColumn("bins", F.array(*bins)).drop("_m")
+        bins.append(sum((F.col("_m")[i] > x).cast("int") for x in limits))
+    return measures(docs, text_col).withColumn("bins", F.array(*bins)).drop("_m")
 
 
 def likelihoods(rows: DataFrame, smooth: float = 2.0) -> list[list[float]]:
