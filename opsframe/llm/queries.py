@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import exact_dedup, language, mixing, quality, simhash, toxicity
+from opsframe.llm import exact_dedup, language, licenses, mixing, neighbours, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.languages(documents(spark, sf_dir))
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
+@query("op9_vectors")
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
