@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import exact_dedup, language, licenses, mixing, neighbours, quality, simhash, toxicity
+from opsframe.llm import (exact_dedup, language, licenses, mixing, mixing_lm, neighbours, quality, simhash,
+                          toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +97,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vectors")
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op10_context_mixing")
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(documents(spark, sf_dir))
