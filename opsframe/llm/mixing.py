@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import WORD, keep
+from opsframe.llm.common import WORD, keep, small_side
 
 #: Weights in turn of the sources by code point, and the mix's size as a share of all sizes.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -105,8 +105,9 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
 
     Ids are expected to be unique; rows that share an id are taken as often as all of them together are.
     """
-    copies = mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    copies = keep(mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")), "copies")
     name = parameters.get("id_col", "doc_id")
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col(name).cast("long").eqNullSafe(F.col("_id")))
+    taken = small_side(copies.where("_all > 0").withColumnRenamed("doc_id", "_id"), copies.count())
+    joined = docs.join(taken, F.col(name).cast("long").eqNullSafe(F.col("_id")))
     times = F.floor(F.col("_all") / F.col("_rows")).cast("int")
     return joined.where(times > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import (exact_dedup, language, licenses, mixing, mixing_lm, neighbours, quality, simhash,
-                          toxicity)
+from opsframe.llm import (exact_dedup, language, licenses, mixing, mixing_lm, neighbours, quality,
+                          sentencepiece_lattice, simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_context_mixing")
 def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_lm.score(documents(spark, sf_dir))
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.encode(documents(spark, sf_dir))
