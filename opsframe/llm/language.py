@@ -105,7 +105,8 @@ def learn(docs: DataFrame) -> Model:
     counts[rows["slot"].to_numpy(int), [names.index(x) for x in rows["lang"]]] = rows["n"].to_numpy(float)
     grams, scripts = counts[:SLOTS] + 0.5, counts[SLOTS:-1]
     logs = np.log(grams / grams.sum(axis=0, keepdims=True)) if names else grams
-    logs = np.clip(logs - logs.mean(axis=1, keepdims=True), -MOST, MOST).astype(np.float32)
+    middle = logs.mean(axis=1, keepdims=True) if names else 0
+    logs = np.clip(logs - middle, -MOST, MOST).astype(np.float32)
     writes = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0, keepdims=True))
     return Model(names, logs, writes & (scripts > 0), int(np.argmax(counts[-1])) if names else -1)
 

@@ -103,11 +103,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: each document as often as it is taken, all columns as they were.
 
-    Ids are expected to be unique; rows that share an id are taken as often as all of them together are.
+    Rows that share an id (or have none) are taken as often as all of them together are, evenly, the first by hash once
+    more where that does not come out even.
     """
     copies = keep(mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")), "copies")
-    name = parameters.get("id_col", "doc_id")
-    taken = small_side(copies.where("_all > 0").withColumnRenamed("doc_id", "_id"), copies.count())
-    joined = docs.join(taken, F.col(name).cast("long").eqNullSafe(F.col("_id")))
+    same = F.col(parameters.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id"))
+    taken = copies.where("_all > 0").withColumnRenamed("doc_id", "_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     times = F.floor(F.col("_all") / F.col("_rows")).cast("int")
-    return joined.where(times > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(small_side(taken, copies.count()), same).where(times > 0).withColumn(
+        "_turn", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    uneven = taken.where("_all % _rows > 0")
+    count = uneven.count()
+    if not count:
+        return out
+    place = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64(*columns)))
+    rest = docs.join(small_side(uneven, count), same).withColumn("_place", place).where("_place <= _all % _rows")
+    return out.unionByName(rest.select(*columns))

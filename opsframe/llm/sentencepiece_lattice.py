@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes per group of documents whose words are listed together.
 CHUNK = 96_000_000
+#: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
+TASK, MOST_TASKS = 2_500_000, 20_000
 NEVER = 1 << 30
 EDGE = "start int, len int, id int, rank int, heads array<struct<len: int, rank: int>>, tails array<struct<len: int, rank: int>>"
 
@@ -99,17 +101,16 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = spark.createDataFrame(pieces.rows, "piece string, len int, id int, rank int, heads array<struct<len: int, rank: int>>, "
                                                "tails array<struct<len: int, rank: int>>")
     length = F.char_length("word")
-    spans = words.select("*", F.explode(F.sequence(F.lit(1), length)).alias("at")).select(
+    spans = words.select("word", F.explode(F.sequence(F.lit(1), length)).alias("at")).select(
         "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("at") + 1))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
     table = F.broadcast(table.drop("len"))  # bounded by the vocabulary
     one = F.array(F.struct(F.lit(1).alias("len"), F.lit(NEVER).alias("rank")))
     found = spans.join(table, "piece", "left").where("id IS NOT NULL OR size = 1").select(
-        *words.columns, F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.col("size").alias("len"),
+        "word", F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.col("size").alias("len"),
                                  "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("heads", one).alias("heads"),
                                  F.coalesce("tails", one).alias("tails")).alias("edge"))
-    rest = [F.first(c).alias(c) for c in words.columns if c != "word"]
-    return found.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"), *rest)
+    return found.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
 def best_edges(edges: Column, longest: int) -> Column:
@@ -156,11 +157,11 @@ def chosen_ids(edges: Column, last: Column, word: Column, byte_ids: list[int]) -
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """Adds ``ids`` to a table of distinct words (and further columns)."""
+    """word, ids of a table of distinct words."""
     made = lattice(words, pieces)
     made = made.withColumn("last", best_edges(F.col("edges"), pieces.longest))
     ids = chosen_ids(F.col("edges"), F.col("last"), F.col("word"), pieces.byte_ids).cast("array<int>")
-    return made.withColumn("ids", ids).drop("edges", "last")
+    return made.select("word", ids.alias("ids"))
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -229,9 +230,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.string())})
 
     words = packed.groupBy("chunk").applyInArrow(list_words, "chunk int, word string")
-    distinct = words.groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
-    back = encode_words(distinct, pieces).select(F.explode("chunks").alias("chunk"), "word", F.col("ids").cast("array<smallint>").alias("ids")
-                                                 if len(pieces.decoded) < 32768 else "ids")
+    tasks = min(MOST_TASKS, max(1, -(-size // TASK)))
+    words = words.repartition(tasks, "word")  # read for both sides of the join, neither is shuffled again
+    small = F.col("ids").cast("array<smallint>") if len(pieces.decoded) < 32768 else F.col("ids")
+    coded = encode_words(words.select("word").distinct(), pieces).select("word", small.alias("ids"))
+    back = words.join(coded, "word").select("chunk", "word", "ids")
 
     def assemble(key: tuple, texts: pa.Table, lists: pa.Table) -> pa.Table:
         place = {w: i for i, w in enumerate(lists.column("word").to_pylist())}
