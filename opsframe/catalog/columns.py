@@ -113,7 +113,7 @@ EMAIL = text.PATTERN_LIBRARY["email"]
 
 @query("pattern_matches", r"""
 SELECT doc_id, pos - 1 AS pos, match FROM (SELECT doc_id, unnest(m) AS match, generate_subscripts(m, 1) AS pos FROM (
-  SELECT doc_id, list_slice(regexp_extract_all(text, '(?i)[a-z]{5,}ion\b', 0), 1, 2001) AS m FROM documents))""")
+  SELECT doc_id, regexp_extract_all(text, '(?i)[a-z]{5,}ion\b', 0) AS m FROM documents))""")
 def _(t):
     return t.documents.select("doc_id", F.posexplode(text.matches("text", r"[a-z]{5,}ion\b", "i")).alias("pos", "match"))
 
@@ -130,8 +130,8 @@ _GROUPS = r"([A-Za-z]+)(ing|ed)([,.])?"
 
 @query("pattern_groups", f"""
 SELECT doc_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS match, unnest(a) AS g1, unnest(b) AS g2, unnest(c) AS g3 FROM (
-  SELECT doc_id, list_slice(regexp_extract_all(text, '{_GROUPS}', 0), 1, 2001) AS m, list_slice(regexp_extract_all(text, '{_GROUPS}', 1), 1, 2001) AS a,
-    list_slice(regexp_extract_all(text, '{_GROUPS}', 2), 1, 2001) AS b, list_slice(regexp_extract_all(text, '{_GROUPS}', 3), 1, 2001) AS c FROM documents)""")
+  SELECT doc_id, regexp_extract_all(text, '{_GROUPS}', 0) AS m, regexp_extract_all(text, '{_GROUPS}', 1) AS a,
+    regexp_extract_all(text, '{_GROUPS}', 2) AS b, regexp_extract_all(text, '{_GROUPS}', 3) AS c FROM documents)""")
 def _(t):
     found = text.match_groups("text", _GROUPS, 3)
     return t.documents.select("doc_id", F.posexplode(found).alias("pos", "m")).select("doc_id", "pos", "m.*")
@@ -150,13 +150,19 @@ def _(t):
 
 
 given("patterned", """
-SELECT page_id, html, CASE page_id % 3 WHEN 0 THEN 'href="([^"]*)"' WHEN 1 THEN '<title>(.*?)</title>' ELSE '([0-9]+)px' END AS pattern FROM pages""")
+SELECT page_id, html, CASE WHEN page_id % 8 = 7 THEN '([' ELSE CASE page_id % 3 WHEN 0 THEN 'href="([^"]*)"' WHEN 1 THEN '<title>(.*?)</title>' ELSE '([0-9]+)px' END END AS pattern FROM pages""")
+
+
+@query("pattern_totals", r"SELECT doc_id, len(regexp_extract_all(text, '[a-z]+', 0)) AS n FROM documents")
+def _(t):
+    """Long documents hold many thousands of matches, and all of them are returned."""
+    return t.documents.select("doc_id", F.size(text.matches("text", "[a-z]+")).cast("bigint").alias("n"))
 
 
 @query("user_pattern", """
-SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS hit FROM (SELECT page_id, regexp_extract_all(html, pattern, 1) AS m FROM patterned)""")
+SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS hit FROM (SELECT page_id, regexp_extract_all(html, pattern, 1) AS m FROM patterned WHERE pattern <> '([')""")
 def _(t):
-    found = text.matches("html", F.col("pattern"), group=1, limit=None)
+    found = text.matches("html", F.col("pattern"), group=1)
     return t.patterned.select("page_id", F.posexplode(found).alias("pos", "hit"))
 
 
@@ -169,10 +175,10 @@ def _(t):
 given("price_pages", """
 SELECT page_id, html || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<b>¥ ' || p || '</b><i>¥' || p || '.50</i><b>¥' || p || '</b>'
   WHEN 2 THEN '<b>' || p || '元</b> 1,280 人' WHEN 3 THEN '<b>￥1,' || lpad(p, 3, '0') || '.00</b><b>$' || p || '</b><b>$' || p || '</b>'
-  ELSE '<b>￥1234' || p || '</b>' END AS html FROM (SELECT page_id, html, CAST(page_id % 900 AS STRING) AS p FROM pages) q""")
+  ELSE '<b>￥1234' || p || '</b><u>¥' || chr(160) || p || '.25</u><u>¥' || chr(160) || p || '.25</u><s>' || p || '　元</s>' END AS html FROM (SELECT page_id, html, CAST(page_id % 900 AS STRING) AS p FROM pages) q""")
 _HITS = """
 hits AS (SELECT page_id, unnest(h) AS hit, generate_subscripts(h, 1) AS pos FROM (
-  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?:[¥￥$]\\s?(\\d{1,3}(?:,\\d{3})*(?:\\.\\d{1,2})?|\\d+(?:\\.\\d{1,2})?))|(?:\\d+(?:\\.\\d{1,2})?\\s?元)', 0),
+  SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?:[¥￥$][\\s\\x{A0}\\x{202F}\\x{3000}]?(\\pN{1,3}(?:,\\pN{3})*(?:\\.\\pN{1,2})?|\\pN+(?:\\.\\pN{1,2})?))|(?:\\pN+(?:\\.\\pN{1,2})?[\\s\\x{A0}\\x{202F}\\x{3000}]?元)', 0),
     lambda x: replace(trim(x), ' ', '')), lambda x: x <> '') AS h FROM price_pages)),
 counted AS (SELECT page_id, hit, count(*) AS n, min(pos) AS first FROM hits GROUP BY ALL)"""
 
@@ -309,12 +315,12 @@ SELECT doc_id, CASE WHEN octet_length(b) = 0 THEN true WHEN s IS NULL THEN false
   AND (u - 2.0 * (length(s) - length(regexp_replace(s, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')))) / u > 0.6 END AS is_text
 FROM (SELECT *, length(s) + (length(s) - length(regexp_replace(s, '[\\x{10000}-\\x{10FFFF}]', '', 'g'))) AS u FROM (
   SELECT doc_id, b, TRY(decode(b)) AS s FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN encode(text) WHEN 1 THEN unhex(sha256(text))
-    WHEN 2 THEN encode(text || repeat(chr(1), 20 + doc_id % 3000)) ELSE encode('') END AS b FROM documents)))""")
+    WHEN 2 THEN encode(text || repeat(chr(1), 20 + doc_id % 3000)) ELSE encode(repeat(chr(1), 90) || text) END AS b FROM documents)))""")
 def _(t):
     which = F.col("doc_id") % 4
     raw = (F.when(which == 0, F.col("text").cast("binary")).when(which == 1, F.unhex(F.sha2("text", 256)))
            .when(which == 2, F.concat("text", F.repeat(F.lit("\x01"), (F.lit(20) + F.col("doc_id") % 3000).cast("int"))).cast("binary"))
-           .otherwise(F.lit("").cast("binary")))
+           .otherwise(F.concat(F.lit("\x01" * 90), "text").cast("binary")))
     return t.documents.select("doc_id", raw.alias("raw")).select("doc_id", payload.is_likely_text("raw").alias("is_text"))
 
 
@@ -394,11 +400,25 @@ SELECT event_id, generate_subscripts(l, 1) - 1 AS pos, coalesce(json_extract_str
   coalesce(json_extract_string(unnest(l), '$.type'), '') AS type, coalesce(json_extract_string(unnest(l), '$.flag'), '') AS flag
 FROM (SELECT event_id, json_extract(CASE WHEN cell LIKE '[%' THEN cell ELSE '[' || cell || ']' END, '$[*]') AS l FROM json_lists)""")
 def _(t):
-    return jsoncols.json_to_table(t.json_lists, "cell", "event_id")
+    return jsoncols.json_to_table(t.json_lists, "cell", "event_id", ["k", "type", "flag"])
+
+
+_MEMBERS = """
+members AS (SELECT event_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS m FROM (
+  SELECT event_id, json_extract(CASE WHEN cell LIKE '[%' THEN cell ELSE '[' || cell || ']' END, '$[*]') AS l FROM json_lists)),
+named AS (SELECT event_id, pos, m, generate_subscripts(k, 1) - 1 AS kpos, unnest(k) AS key FROM (
+  SELECT event_id, pos, m, json_keys(m) AS k FROM members WHERE json_type(m) = 'OBJECT'))"""
+
+
+@query("json_members", f"""
+WITH {_MEMBERS} SELECT event_id, pos, key, coalesce(json_extract_string(m, '$."' || key || '"'), '') AS value FROM named""")
+def _(t):
+    return jsoncols.json_members(t.json_lists, "cell", "event_id")
 
 
-@query("json_key_union", """
-SELECT unnest(['k', 'type', 'flag']) AS key, unnest([1, 2, 3]) AS key_no""")
+@query("json_key_union", f"""
+WITH {_MEMBERS} SELECT key, row_number() OVER (ORDER BY first) AS key_no FROM (
+  SELECT key, min({{'e': event_id, 'p': pos, 'k': kpos}}) AS first FROM named GROUP BY key)""")
 def _(t):
     from opsframe.operators.order import dense_number
 

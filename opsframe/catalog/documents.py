@@ -40,7 +40,8 @@ def _(t):
 
 
 given("file_list", f"""
-SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS body, n_chars FROM files""")
+SELECT doc_id, path, text AS body, n_chars FROM files
+UNION ALL SELECT doc_id, path || '.lock' AS path, '' AS body, 0 AS n_chars FROM files WHERE doc_id % 2 = 0""")
 
 
 def _files(t):
@@ -127,6 +128,17 @@ def _(t):
     return versions.diff_counts(versions.diff_versions(t.documents, t.new_versions, "doc_id", "text"), "doc_id")
 
 
+given("label_texts", "SELECT doc_id, 'quality ' || CAST(quality AS STRING) AS text FROM labels")
+
+
+@query("doc_diff_one_sided", f"""
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS added, coalesce(d.n, 0) AS removed, 0 AS unchanged
+FROM (SELECT doc_id, len({_sql_lines('text')}) AS n FROM documents) d FULL JOIN label_texts l ON d.doc_id = l.doc_id WHERE d.n > 0 OR l.doc_id IS NOT NULL""")
+def _(t):
+    """Most documents have no second version: all of their lines are removed."""
+    return versions.diff_counts(versions.diff_versions(t.documents, t.label_texts, "doc_id", "text"), "doc_id")
+
+
 @query("doc_diff_lcs")
 def _(t):
     return versions.diff_versions(t.documents, t.moved_versions, "doc_id", "text", ignore_space=True)

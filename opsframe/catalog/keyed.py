@@ -145,11 +145,11 @@ def _(t):
 
 
 given("price_log", """
-SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'hot item' ELSE 'item ' || CAST(user_id AS STRING) END AS name,
+SELECT event_id, CASE WHEN event_id % 17 <> 4 THEN ts END AS ts, CASE WHEN event_id % 3 = 0 THEN 'hot item' WHEN event_id % 11 = 5 THEN NULL ELSE 'item ' || CAST(user_id AS STRING) END AS name,
   CASE WHEN event_type = 'error' THEN '' ELSE '¥' || CAST(CAST(FLOOR(value / 20) AS BIGINT) AS STRING) END AS price FROM events""")
 
 _CHANGES = """
-seen AS (SELECT *, lag(price) OVER w AS prev_price, row_number() OVER w AS n FROM price_log WINDOW w AS (PARTITION BY name ORDER BY ts, event_id)),
+seen AS (SELECT *, lag(price) OVER w AS prev_price, row_number() OVER w AS n FROM price_log WINDOW w AS (PARTITION BY name ORDER BY ts NULLS FIRST, event_id)),
 changes AS (SELECT event_id, name, price, prev_price, CASE WHEN n = 1 AND price = '' THEN 'error' WHEN n = 1 THEN 'first'
   WHEN price <> prev_price THEN 'changed' ELSE 'unchanged' END AS status FROM seen)"""
 
@@ -171,7 +171,7 @@ def _(t):
 
 @query("snapshot_last", """
 SELECT name, event_id AS last_event_id, price AS last_price FROM (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS rn FROM price_log) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS rn FROM price_log WHERE name <> '') WHERE rn = 1""")
 def _(t):
     return snapshots.last_snapshot(t.price_log, "name", ["ts", "event_id"], ["event_id", "price"])
 
@@ -187,14 +187,14 @@ def _(t):
 
 
 given("hot_checks", """
-SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 'site 0' ELSE target END AS target, status, ok AND event_id % 4 <> 1 AS ok, ms FROM checks""")
+SELECT event_id, CASE WHEN event_id % 17 <> 4 THEN ts END AS ts, CASE WHEN event_id % 3 = 0 THEN 'site 0' WHEN event_id % 11 <> 5 THEN target END AS target, status, ok AND event_id % 4 <> 1 AS ok, ms FROM checks""")
 
 _HEALTH = """
 numbered AS (SELECT *, row_number() OVER w AS rn, coalesce(max(CASE WHEN ok THEN event_id END) OVER w, -1) AS ok_mark,
-  min(CASE WHEN NOT ok THEN ts END) OVER w AS first_fail FROM hot_checks WINDOW w AS (PARTITION BY target ORDER BY ts, event_id)),
-islands AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY ts, event_id) AS island FROM numbered),
-streaks AS (SELECT *, CASE WHEN ok THEN 0 ELSE sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY target, island ORDER BY ts, event_id) END AS streak FROM islands),
-states AS (SELECT *, coalesce(lag(streak) OVER (PARTITION BY target ORDER BY ts, event_id), 0) AS streak_before FROM streaks),
+  min(CASE WHEN NOT ok THEN ts END) OVER w AS first_fail FROM hot_checks WINDOW w AS (PARTITION BY target ORDER BY ts NULLS FIRST, event_id)),
+islands AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY ts NULLS FIRST, event_id) AS island FROM numbered),
+streaks AS (SELECT *, CASE WHEN ok THEN 0 ELSE sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY target, island ORDER BY ts NULLS FIRST, event_id) END AS streak FROM islands),
+states AS (SELECT *, coalesce(lag(streak) OVER (PARTITION BY target ORDER BY ts NULLS FIRST, event_id), 0) AS streak_before FROM streaks),
 edges AS (SELECT *, CASE WHEN ok AND streak_before >= 2 THEN 'recovered' WHEN ok THEN 'ok' WHEN streak >= 2 AND streak_before < 2 THEN 'outage'
   WHEN streak >= 2 THEN 'still_down' ELSE 'below_threshold' END AS state FROM states)"""
 
@@ -225,7 +225,7 @@ def _(t):
 @query("health_target_state", f"""
 WITH {_HEALTH}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts DESC, event_id DESC) AS back FROM edges) WHERE back = 1)
 SELECT l.target, l.streak >= 2 AS down, CAST(l.streak AS BIGINT) AS consecutive_fail, CAST(l.first_fail AS VARCHAR) AS first_fail_at,
-  (SELECT CAST(max(c.ts) AS VARCHAR) FROM hot_checks c WHERE c.target = l.target AND c.ok) AS last_ok_at, l.status AS last_status, l.ms AS last_ms
+  (SELECT CAST(max(c.ts) AS VARCHAR) FROM hot_checks c WHERE c.target IS NOT DISTINCT FROM l.target AND c.ok) AS last_ok_at, l.status AS last_status, l.ms AS last_ms
 FROM last l""")
 def _(t):
     out = health.target_state(_streaks(t), "target", "ok", "ts", ["ts", "event_id"], "status", "ms")

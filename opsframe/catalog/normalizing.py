@@ -254,10 +254,10 @@ def _(t):
 
 
 given("dirty_forms", """
-SELECT p.row_key, '客户' || CAST(p.row_key AS STRING) || '  甲' AS name, p.phone AS phone, e.email AS email,
+SELECT a.row_key, '客户' || CAST(a.row_key AS STRING) || '  甲' AS name, p.phone AS phone, e.email AS email,
   a.amount AS amount, d.day_text AS order_date
-FROM dirty_phones p JOIN dirty_emails e ON p.row_key = e.row_key
-  JOIN dirty_amounts a ON p.row_key = a.row_key JOIN dirty_dates d ON p.row_key = d.row_key""")
+FROM dirty_amounts a JOIN dirty_dates d ON a.row_key = d.row_key JOIN orders o ON a.row_key = o.o_orderkey
+  JOIN dirty_phones p ON o.o_custkey = p.row_key JOIN dirty_emails e ON o.o_custkey = e.row_key""")
 
 _CLEANED = f"""
 cleaned AS (SELECT row_key, name, phone, email, amount, order_date,

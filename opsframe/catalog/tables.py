@@ -140,17 +140,16 @@ def _(t):
 
 @query("sequence_ids", """
 SELECT o_orderkey, 'ORD-20260924-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS order_id
-FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P')""")
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)""")
 def _(t):
-    kept = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey")
-    return forms.number_rows(kept, "o_orderkey", "ORD", "2026-09-24")
+    return forms.number_rows(t.orders.select("o_orderkey"), "o_orderkey", "ORD", "2026-09-24")
 
 
 @query("category_index", """
 SELECT path, category, row_number() OVER (PARTITION BY category ORDER BY path) AS index_no
-FROM (SELECT p_type AS category, p_brand || '/' || p_name || '-' || CAST(p_partkey AS VARCHAR) AS path FROM part)""")
+FROM (SELECT CASE WHEN p_partkey % 9 > 0 THEN p_type END AS category, p_brand || '/' || p_name || '-' || CAST(p_partkey AS VARCHAR) AS path FROM part)""")
 def _(t):
-    paths = t.part.select(F.col("p_type").alias("category"),
+    paths = t.part.select(F.when(F.col("p_partkey") % 9 > 0, F.col("p_type")).alias("category"),
                           F.concat("p_brand", F.lit("/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("path"))
     return order.dense_number(paths, ["path"], "index_no", ["category"])
 
@@ -218,6 +217,7 @@ PREDICATES = {
     "contains": ("note", "contains", "HIGH", "contains(note, 'HIGH')"),
     "in_list": ("city", "in", ["NATION_1", " NATION_7"], "city IN ('NATION_1', 'NATION_7')"),
     "regex": ("note", "regex", "^[12]-", "regexp_matches(note, '^[12]-')"),
+    "bad_regex": ("note", "regex", "([", "false"),
     "not_empty": ("phone", "not_empty", None, "trim(phone) <> ''"),
     "unknown": ("phone", "almost", "x", "false"),
     "no_column": ("ghost", "equals", "", "true"),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from opsframe.functions.text import blank_if_null
 
 
-MAX_COLUMNS = 10_000  # a wider result is not a table
-
 # Control characters whose escape has a letter digit and no short form.
 LETTER_CODES = ["0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"]
 
@@ -105,18 +103,25 @@ def object_keys(df: DataFrame, c: str, order_by: str) -> DataFrame:
     return keys.groupBy("key").agg(F.min(F.struct(order_by, "pos", "kpos")).alias("first_at"))
 
 
-def json_to_table(df: DataFrame, c: str, order_by: str, keys: list[str] | None = None) -> DataFrame:
-    """Columns for every key of the objects; absent and null members are empty text, other members become text.
+def json_members(df: DataFrame, c: str, order_by: str) -> DataFrame:
+    """Every member of the objects as one row: ``order_by, pos, key, value`` (members as text, null as empty text)."""
+    value = F.coalesce(F.try_variant_get("_v", "$", "string"), F.lit(""))
+    each = _members(df, c, [order_by]).select(order_by, "pos", F.explode(
+        F.from_json(F.to_json("member"), "map<string,variant>")).alias("key", "_v"))
+    return each.select(order_by, "pos", "key", value.alias("value"))
+
+
+def json_to_table(df: DataFrame, c: str, order_by: str, keys: list[str]) -> DataFrame:
+    """Columns for the named keys of the objects; absent and null members are empty text, other members become text.
 
-    Without ``keys`` one small job reads the key set, which is the schema of the result and not data; a key set too
-    large to be a schema is an error.
+    The keys are the schema of the result, so they are given; :func:`object_keys` lists what there is, and
+    :func:`json_members` gives all members whatever their number.
     """
-    if keys is None:
-        found = object_keys(df, c, order_by).orderBy("first_at").limit(MAX_COLUMNS + 1).collect()
-        if len(found) > MAX_COLUMNS:
-            raise ValueError(f"more than {MAX_COLUMNS} different keys: name the wanted ones")
-        keys = [r["key"] for r in found]
-    cell = lambda k: F.coalesce(
-        F.try_variant_get("member", "$['%s']" % k.replace("'", "\\'"), "string"), F.lit("")
-    ).alias(k)
-    return _members(df, c, [order_by]).select(order_by, "pos", *[cell(k) for k in keys])
+    def member(key: str) -> Column:
+        quote = "'" if "'" not in key else '"'
+        if quote in key or "\\" in key:  # no path can write such a key
+            return F.try_variant_get(F.from_json(F.to_json("member"), "map<string,variant>")[key], "$", "string")
+        return F.try_variant_get("member", f"$[{quote}{key}{quote}]", "string")
+
+    cells = [F.coalesce(member(k), F.lit("")).alias(k) for k in keys]
+    return _members(df, c, [order_by]).select(order_by, "pos", *cells)

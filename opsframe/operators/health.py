@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsframe.operators.order import join_same
+
 
 def streaks(checks: DataFrame, target: str, ok: str, ts: str, order_by: Sequence[str], chunk: Column,
             carry: Sequence[str] = ()) -> DataFrame:
@@ -32,7 +34,7 @@ def streaks(checks: DataFrame, target: str, ok: str, ts: str, order_by: Sequence
     tails = tails.select(
         target, "_chunk", "_base", F.max(F.col("_base") + F.col("_ok")).over(slices).alias("_ok_carry"),
         F.min("_fail").over(slices).alias("_fail_carry"))
-    joined = local.join(tails, [target, "_chunk"])
+    joined = join_same(local, tails, [target, "_chunk"])
     place = F.col("_base") + F.col("_rn")
     last_ok = F.coalesce(F.col("_base") + F.col("_ok_before"), F.col("_ok_carry"), F.lit(0))
     before = (place - 1 - last_ok).cast("bigint")

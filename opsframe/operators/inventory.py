@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.functions.text import base_name, category, extension
+from opsframe.functions.text import category, extension
 from opsframe.operators.order import attach_by_key
 from opsframe.operators.quality import size_flag
 
 # Names never scanned, and labels.
 EXCLUDED = [".git", "node_modules", "__pycache__", ".DS_Store", "Thumbs.db"]
 NO_EXTENSION = "(无扩展名)"
-MAX_HASHED = 2_000_000_000
 
 
 def file_inventory(spark: SparkSession, root: str, recursive: bool = True, exclude: list[str] | None = None,
@@ -52,7 +51,3 @@ def category_tally(marked: DataFrame, duplicates: str = "_重复文件") -> Data
     """Archived files per category; duplicates form their own line."""
     label = F.when(F.col("is_duplicate"), duplicates).otherwise(F.col("category"))
     return marked.groupBy(label.alias("category")).agg(F.count("*").alias("n"))
-
-
-def names(path: Column | str) -> Column:
-    return base_name(path)

@@ -12,13 +12,13 @@ from opsframe.session import ensure_checkpoints
 PARTITION_BITS = 33  # fixed value: monotonically_increasing_id keeps the row position in its low 33 bits
 
 
-def scan_order() -> Column:
-    """Input order of a file scan: file, block, row.  Take it right at the scan, before any shuffle."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet each other; the keys come from the left."""
+    names = {k: f"_same{i}" for i, k in enumerate(keys)}
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(right.withColumnsRenamed(names), on).drop(*names.values())
 
 
 def dense_number(df: DataFrame, order_by: Sequence[Column | str], out: str,
@@ -39,7 +39,7 @@ def dense_number(df: DataFrame, order_by: Sequence[Column | str], out: str,
     # one row per partition and group: small, so the running total may use a plain window
     before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = placed.join(offsets, [*keys, "_run"])
+    numbered = join_same(placed, offsets, [*keys, "_run"])
     return numbered.withColumn(out, F.col("_at") - F.col("_start") + F.col("_before") + 1).drop(
         "_at", "_run", "_start", "_before"
     )
@@ -56,7 +56,7 @@ def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 1
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = blocked.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy(id_col)))
-    return local.join(offsets, "_block").withColumn(out, F.col("_local") + F.col("_before")).drop(
+    return join_same(local, offsets, ["_block"]).withColumn(out, F.col("_local") + F.col("_before")).drop(
         "_block", "_local", "_before"
     )
 
@@ -79,7 +79,7 @@ def with_previous(df: DataFrame, key: str, order_by: Sequence[str], columns: Seq
     local = sliced.withColumn("_last", F.lag(values).over(slice_window))
     tails = sliced.groupBy(key, "_chunk").agg(F.max_by(values, F.struct(*order_by)).alias("_tail"))
     tails = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_tail")
-    joined = local.join(tails, [key, "_chunk"])
+    joined = join_same(local, tails, [key, "_chunk"])
     seen = F.coalesce("_last", "_carry")
     for c in columns:
         joined = joined.withColumn(prefix + c, seen[c])

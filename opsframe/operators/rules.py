@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.normalize import form_number
-from opsframe.functions.text import blank_if_null, is_blank, strip
+from opsframe.functions.text import blank_if_null, is_blank, is_pattern, strip
 
 # Where a row goes when no rule claims it.
 DEFAULT_ROUTE = {"name": "待分配", "owner": "客服组", "priority": "low"}
@@ -35,7 +35,7 @@ def predicate(field: str, op: str, value: object = None, columns: Sequence[str]
     elif op == "in":
         hit = text.isin([str(v).strip() for v in value])
     elif op == "regex":
-        hit = blank_if_null(cell).rlike(str(value))
+        hit = blank_if_null(cell).rlike(str(value)) if is_pattern(str(value)) else F.lit(False)
     elif op == "not_empty":
         hit = ~is_blank(cell)
     else:

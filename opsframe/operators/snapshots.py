@@ -13,15 +13,23 @@ def main_price(df: DataFrame, doc: str, html: str, pattern: str | Column | None
                long_amounts: bool = False) -> DataFrame:
     """The price a page shows most often (first seen wins ties) and its first ten samples.
 
-    Pages without a price keep a row with a NULL price.  Hits are counted per (page, text), map-side combined.
+    Pages without a price keep a row with a NULL price.  The hits of a page are counted inside its row: sorted, equal
+    ones stand together, and a fold keeps the longest run, so nothing is shuffled.
     """
     hits = df.select(doc, price_hits(html, pattern, group, long_amounts).alias("_hits"))
-    counted = hits.select(doc, F.posexplode_outer("_hits").alias("_pos", "_hit")).groupBy(doc, "_hit").agg(
-        F.count("_hit").alias("_n"), F.min("_pos").alias("_first"))
-    best = counted.groupBy(doc).agg(
-        F.min_by("_hit", F.struct(-F.col("_n"), F.col("_first"))).alias("price"),
-        F.sum("_n").alias("n_hits"))
-    return best
+    ordered = F.array_sort(F.transform("_hits", lambda h, i: F.struct(h.alias("hit"), i.alias("at"))))
+    none = F.struct(F.lit(None).cast("string").alias("hit"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+
+    def step(state: Column, h: Column) -> Column:
+        same = h["hit"].eqNullSafe(state["run"]["hit"])
+        run = F.struct(h["hit"].alias("hit"), F.when(same, state["run"]["n"] + 1).otherwise(1).alias("n"),
+                       F.when(same, state["run"]["at"]).otherwise(h["at"]).alias("at"))
+        best = state["best"]
+        better = (run["n"] > best["n"]) | ((run["n"] == best["n"]) & (run["at"] < best["at"]))
+        return F.struct(run.alias("run"), F.when(better, run).otherwise(best).alias("best"))
+
+    best = F.aggregate(ordered, F.struct(none.alias("run"), none.alias("best")), step, lambda s: s["best"]["hit"])
+    return hits.select(doc, best.alias("price"), F.size("_hits").cast("bigint").alias("n_hits"))
 
 
 def price_samples(html: Column | str, n: int = 10) -> Column:

@@ -84,7 +84,3 @@ def archive_manifest(df: DataFrame, day: Column | str, category: str) -> DataFra
     d = F.col(day) if isinstance(day, str) else day
     return df.groupBy(d.alias("process_date"), safe_name(F.col(category)).alias("part")).agg(
         F.count("*").alias("n_rows"))
-
-
-def tally(df: DataFrame, label: Column, out: str = "label") -> DataFrame:
-    return df.groupBy(label.alias(out)).agg(F.count("*").alias("n"))

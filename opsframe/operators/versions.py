@@ -12,39 +12,49 @@ from pyspark.sql import types as T
 
 from opsframe.functions.text import fold_lines, lines
 
-MAX_CELLS = 4_000_000  # fixed value: larger middles are replaced as a whole
 OPS = T.ArrayType(T.StructType([
     T.StructField("op", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
 
-def _suffix_lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Table of common-subsequence lengths of all suffix pairs, one array operation per line of ``a``."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        below = table[i + 1]
-        take = np.where(b == a[i], below[1:] + 1, below[:-1])
-        # best of "drop a line of b" for every column at once: a running maximum from the right
-        table[i, :-1] = np.maximum.accumulate(take[::-1])[::-1]
-    return table
+def _row_above(below: np.ndarray, line: int, b: np.ndarray) -> np.ndarray:
+    """Common-subsequence lengths of one more line of ``a`` against all suffixes of ``b``, in array operations."""
+    take = np.where(b == line, below[1:] + 1, below[:-1])
+    # best of "drop a line of b" for every column at once: a running maximum from the right
+    return np.append(np.maximum.accumulate(take[::-1])[::-1], np.int32(0))
 
 
 def _middle(a: np.ndarray, b: np.ndarray, at: int) -> list[tuple[str, int | None, int | None]]:
+    """Steps of the differing middle; of equal scores the deletion comes first.
+
+    The table of lengths has a row per line of ``a``.  Only every k-th row is held (k the square root of their number);
+    the rows between are computed again where the walk needs them, so texts of any size take a narrow strip of memory.
+    """
     n, m = len(a), len(b)
-    if n == 0 or m == 0 or n * m > MAX_CELLS:
-        return [("del", at + i, None) for i in range(n)] + [("add", None, at + j) for j in range(m)]
-    table = _suffix_lcs(a, b)
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append(("eq", at + i, at + j))
-            i, j = i + 1, j + 1
-        elif i < n and (j == m or table[i + 1, j] >= table[i, j + 1]):  # equal scores: delete first
-            out.append(("del", at + i, None))
-            i += 1
-        else:
-            out.append(("add", None, at + j))
-            j += 1
-    return out
+    stride = max(1, int(n ** 0.5))
+    row = np.zeros(m + 1, dtype=np.int32)
+    held = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = _row_above(row, a[i], b)
+        if i % stride == 0:
+            held[i] = row
+    out, j = [], 0
+    for start in range(0, n, stride):
+        stop = min(start + stride, n)
+        rows = {stop: held[stop]}
+        for i in range(stop - 1, start - 1, -1):
+            rows[i] = _row_above(rows[i + 1], a[i], b)
+        i = start
+        while i < stop:
+            if j < m and a[i] == b[j]:
+                out.append(("eq", at + i, at + j))
+                i, j = i + 1, j + 1
+            elif j == m or rows[i + 1][j] >= rows[i][j + 1]:
+                out.append(("del", at + i, None))
+                i += 1
+            else:
+                out.append(("add", None, at + j))
+                j += 1
+    return out + [("add", None, at + k) for k in range(j, m)]
 
 
 def _script(old: np.ndarray, new: np.ndarray) -> list[dict]:
@@ -74,12 +84,12 @@ def diff_versions(old: DataFrame, new: DataFrame, doc: str, body: str, ignore_ca
                   ignore_space: bool = False) -> DataFrame:
     """One row per edit step: ``doc, op_no, op, a_line, b_line, line`` (1-based line numbers).
 
-    The sides are partitioned by document with a stated number of partitions: the join needs that shuffle anyway, and
-    partitions of small texts are not merged, so the Python work after the join uses all cores.
+    A document that only one version has is compared with no lines: all of it is added or removed.
     """
-    n = int(old.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda df, name: df.select(doc, lines(body).alias(name)).repartition(n, doc)
-    sides = side(old, "_a").join(side(new, "_b"), doc)
+    none = F.array().cast("array<string>")
+    left, right = old.select(doc, lines(body).alias("_a")), new.select(F.col(doc).alias("_doc"), lines(body).alias("_b"))
+    sides = left.join(right, F.col(doc).eqNullSafe(F.col("_doc")), "full").select(
+        F.coalesce(doc, "_doc").alias(doc), F.coalesce("_a", none).alias("_a"), F.coalesce("_b", none).alias("_b"))
     fold = lambda c: fold_lines(F.col(c), ignore_case, ignore_space)
     folded = sides.withColumns({"_fa": fold("_a"), "_fb": fold("_b")}).withColumn("_same", F.col("_fa") == F.col("_fb"))
     # equal texts send nothing to Python: their script is one eq per line

@@ -117,7 +117,3 @@ def run_steps(steps: Sequence[Mapping], table: DataFrame | None = None, **contex
     if r.table is not None and not any((s.get("action") or "").lower() == "save" for s in steps):
         _save(r, len(steps) + 1, {}, context)
     return r
-
-
-def notes_table(spark, result: StepResult) -> DataFrame:
-    return spark.createDataFrame(result.notes, "step_no int, action string, note string")

@@ -8,9 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings that change results: UTC calendar days and the legacy Java charsets used by GBK exports."""
+    """Settings that change results: UTC calendar days, the legacy Java charsets used by GBK exports, last of repeated JSON keys."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "target string, event_id bigint, at timestamp, state string, streak bigint, streak_before bigint"
+NO_TIME = -(2 ** 62)  # a check without a time comes before all others, as in a batch
 STATE = "streak bigint, last_us bigint, last_id bigint"
 
 
 def _transitions(threshold: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        streak0, last_us, last_id = state.get if state.exists else (0, -(2 ** 62), -1)
+        streak0, last_us, last_id = state.get if state.exists else (0, NO_TIME, -1)
         # rows at or before the last check already counted arrived too late
         rows = rows[(rows.us > last_us) | ((rows.us == last_us) & (rows.event_id > last_id))]
         if rows.empty:
@@ -43,6 +44,6 @@ def health_stream(checks: DataFrame, threshold: int = 2) -> DataFrame:
 
     The state per target is three numbers; a micro-batch's rows of one target are bounded by the trigger's limits.
     """
-    rows = checks.selectExpr("target", "event_id", "at", "unix_micros(at) AS us", "ok")
+    rows = checks.selectExpr("target", "event_id", "at", f"coalesce(unix_micros(at), {NO_TIME}) AS us", "ok")
     return rows.groupBy("target").applyInPandasWithState(
         _transitions(threshold), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)

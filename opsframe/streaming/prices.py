@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CHANGES = "name string, event_id bigint, price string, prev_price string, status string"
+NO_TIME = -(2 ** 62)  # a snapshot without a time comes before all others, as in a batch
 STATE = "price string, last_us bigint, last_id bigint"
 
 
@@ -16,7 +17,7 @@ def _statuses(only_changes: bool):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         known = state.exists
-        price0, last_us, last_id = state.get if known else ("", -(2 ** 62), -1)
+        price0, last_us, last_id = state.get if known else ("", NO_TIME, -1)
         rows = rows[(rows.us > last_us) | ((rows.us == last_us) & (rows.event_id > last_id))]
         if rows.empty:
             return
@@ -35,6 +36,6 @@ def _statuses(only_changes: bool):
 
 def price_change_stream(snapshots: DataFrame, only_changes: bool = True) -> DataFrame:
     """Status rows per snapshot.  ``snapshots`` is a stream of ``name string, event_id, at timestamp, price string``."""
-    rows = snapshots.selectExpr("name", "event_id", "unix_micros(at) AS us", "price")
+    rows = snapshots.selectExpr("name", "event_id", f"coalesce(unix_micros(at), {NO_TIME}) AS us", "price")
     return rows.groupBy("name").applyInPandasWithState(
         _statuses(only_changes), CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)

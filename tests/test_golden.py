@@ -84,7 +84,7 @@ SALES = """20260923|DD20260923001|广州|外卖|¥1,041.32
 2026年09月24日|DD20260924903||门店|520.00"""
 
 
-def test_daily_brief(spark):
+def test_daily_figures(spark):
     raw = spark.createDataFrame([(i, *line.split("|")) for i, line in enumerate(SALES.split("\n"))],
                                 "place int, date string, order_id string, city string, channel string, amount string")
     facts = quality.usable_amount(raw, "amount").withColumn("day", normalize.kpi_date("date"))
