@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import fnmatch
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,8 +45,7 @@ def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recurs
 
     Encodings are judged line by line and combined per file, so a large file is split over many tasks and only one
     small record per file remains.  None of the candidate encodings uses the line-feed byte inside a character.  The
-    aggregate holds flags and numbers only (hash based, no sort of the lines); the header lines are fetched by their
-    row numbers in a second look at the same splits.
+    header is the first line that is not blank, taken in the same pass.
     """
     configure(spark)
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # decode() marks bad bytes instead of failing
@@ -54,9 +55,8 @@ def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recurs
         F.bool_and(F.is_valid_utf8(raw)).alias("utf8"),
         F.bool_and(_decodes(raw, "GB18030")).alias("gb"),
         F.bool_and(_decodes(raw, "Big5")).alias("big5"),
-        F.min(F.when(F.col("block") == 0, F.col("row"))).alias("row"))
-    heads = rows.filter("block = 0").select("file", "row", raw.cast("binary").alias("head"))
-    seen = seen.join(heads, ["file", "row"])
+        F.min_by(raw.cast("binary"), F.when(F.trim(raw) != "", F.struct("block", "row"))).alias("head"))
+    seen = seen.withColumn("head", F.coalesce("head", F.lit("").cast("binary")))
     encoding = (F.when(F.col("utf8"), "UTF-8").when(F.col("gb"), "GB18030").when(F.col("big5"), "BIG5")
                 .otherwise(UNKNOWN))
     seen = seen.withColumn("encoding", encoding)
@@ -71,14 +71,17 @@ def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recurs
                        head.alias("header"))
 
 
-def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: str, alias: Mapping[str, str],
+def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: str, header: str, alias: Mapping[str, str],
                 multi_line: bool) -> DataFrame:
     charset = "UTF-8" if encoding == UNKNOWN else encoding
     reader = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option(
         "escape", '"').option("sep", sep).option("encoding", charset).option("ignoreLeadingWhiteSpace", "false").option("mode", "PERMISSIVE")
     df = reader.csv(list(files))
-    names = [(c, alias.get(c.strip(), c.strip())) for c in df.columns]
-    cells = [blank_if_null(named(c)).alias(name) for c, name in names]
+    columns = header_columns(header, sep, alias)
+    if len(columns) != len(df.columns):  # a header of several lines: the reader's own names
+        columns = distinct_names([alias.get(c.strip(), c.strip()) for c in df.columns])
+    df = df.toDF(*[f"_cell{i}" for i in range(len(columns))])
+    cells = [blank_if_null(f"_cell{i}").alias(name) for i, name in enumerate(columns)]
     meta = F.col("_metadata")
     return df.select(*cells, meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"),
                      F.monotonically_increasing_id().alias("_at"))
@@ -87,13 +90,16 @@ def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: s
 def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False,
                  alias: Mapping[str, str] | None = None, required: Sequence[str] = (), drop_blank: bool = True,
                  profile: DataFrame | None = None, multi_line: bool = True, encoding: str | None = None,
-                 sep: str | None = None) -> DataFrame:
+                 sep: str | None = None, with_path: bool = False) -> DataFrame:
     """All exports of a folder as one text table, with ``__source__`` (file name) and ``__row__`` (1-based).
 
     Files are grouped by encoding, delimiter and header and each group is one read; columns are united by name in the
     order in which files (by name) first show them.  Files lacking a required column are left out
     (:func:`rejected_files` lists them).  What reaches the driver is the file list and headers, as with any file scan.
 
+    Cells are taken by their place under the header: a repeated name becomes ``name_2``, an empty one ``_c`` and its
+    place.  ``with_path`` adds ``__path__``, which tells files of one name in different folders apart.
+
     A given ``encoding`` or ``sep`` replaces what was found.  ``multi_line=False`` is for large exports without line breaks inside cells: their files are read in splits.
     """
     alias = dict(alias or {})
@@ -101,34 +107,55 @@ def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursi
     prof = prof.withColumn("encoding", F.lit(encoding)) if encoding else prof
     prof = prof.withColumn("sep", F.lit(sep)) if sep else prof
     groups: dict[tuple[str, str, str], list[str]] = {}
-    order: list[str] = []
     for r in prof.orderBy("file").collect():
         columns = header_columns(r["header"], r["sep"], alias)
         if any(c not in columns for c in required):
             continue
-        order += [c for c in columns if c not in order]
         groups.setdefault((r["encoding"], r["sep"], r["header"]), []).append(r["file"])
     if not groups:
         schema = ", ".join([f"`{c}` string" for c in required] + ["__source__ string", "__row__ bigint"])
         return spark.createDataFrame([], schema)
     merged = None
-    for (charset, delimiter, _), files in groups.items():
-        part = _read_group(spark, files, charset, delimiter, alias, multi_line)
+    data: list[str] = []
+    for (charset, delimiter, header), files in groups.items():
+        part = _read_group(spark, files, charset, delimiter, header, alias, multi_line)
+        data += [c for c in part.columns[:-3] if c not in data]
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    data = [c for c in order if c in merged.columns]
     if multi_line:  # such a file is read by one task anyway, so a window per file is no wider than the scan
         in_file = Window.partitionBy("_file").orderBy("_block", "_at")
         merged = merged.withColumn("__row__", F.row_number().over(in_file).cast("bigint"))
     else:
         merged = dense_number(merged, ["_block", "_at"], "__row__", ["_file"])
     out = merged.select(*[blank_if_null(named(c)).alias(c) for c in data],
-                        F.url_decode(base_name("_file")).alias("__source__"), "__row__")
+                        F.url_decode(base_name("_file")).alias("__source__"), "__row__", *([F.col("_file").alias("__path__")] if with_path else []))
     return drop_blank_rows(out, data) if drop_blank else out
 
 
 def header_columns(header: str, sep: str, alias: Mapping[str, str]) -> list[str]:
-    names = [h.strip().strip('"').strip() for h in header.split(sep)]
-    return [alias.get(h, h) for h in names]
+    """Names of a header line, quoted ones included, each once."""
+    cells = next(csv.reader([header], delimiter=sep), [])
+    return distinct_names([alias.get(h.strip(), h.strip()) for h in cells])
+
+
+def distinct_names(names: Sequence[str]) -> list[str]:
+    out: list[str] = []
+    for place, name in enumerate(names):
+        name, turn = name or f"_c{place}", 2
+        free = name
+        while free in out:
+            free, turn = f"{name}_{turn}", turn + 1
+        out.append(free)
+    return out
+
+
+def hidden_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """``file, reason`` of the folder's files that no scan sees, because their names begin with ``_`` or ``.``."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(folder, "[_.]*"))
+    names = [s.getPath().getName() for s in found or [] if s.isFile()]
+    kept = [(n, "文件名以下划线或点开头，不会被读取") for n in names if fnmatch.fnmatch(n.lower(), pattern.lower())]
+    return spark.createDataFrame(kept, "file string, reason string")
 
 
 def merge_exports(tables: Sequence[DataFrame]) -> DataFrame:
@@ -147,15 +174,18 @@ def alias_columns(df: DataFrame, alias: Mapping[str, str]) -> DataFrame:
 def rejected_files(profile: DataFrame, rows: DataFrame, amount: str, alias: Mapping[str, str] | None = None) -> DataFrame:
     """Files that deliver nothing, with the reason: no header, no amount column, or no usable amount.
 
-    ``rows`` is the united table; only one usable-row count per file is compared with the file list.
+    ``rows`` is the united table, read ``with_path`` where folders hold files of one name; only one usable-row count per file is compared with the file list.
     """
-    names = F.transform(F.split("header", F.concat(F.lit("[,;\t|]"))), lambda h: strip(F.translate(h, '"', "")))
+    outside_quotes = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    names = F.transform(F.split("header", F.concat(F.lit("["), "sep", F.lit("]" + outside_quotes))), lambda h: strip(F.translate(h, '"', "")))
     for old, new in (alias or {}).items():
         names = F.transform(names, lambda h, o=old, n=new: F.when(h == o, n).otherwise(h))
-    files = profile.select(F.url_decode(base_name("file")).alias("file"), names.alias("_names"), "header")
+    whole = "__path__" in rows.columns  # else files are known by name alone
+    known = F.col("file") if whole else F.url_decode(base_name("file"))
+    files = profile.select(F.url_decode(base_name("file")).alias("file"), known.alias("_known"), names.alias("_names"), "header")
     cell = kpi_number(amount) if amount in rows.columns else F.lit(None)
-    usable = rows.groupBy(F.col("__source__").alias("file")).agg(F.count(cell).alias("_usable"))
-    joined = files.join(usable, "file", "left")
+    usable = rows.groupBy(F.col("__path__" if whole else "__source__").alias("_known")).agg(F.count(cell).alias("_usable"))
+    joined = files.join(usable, "_known", "left")
     reason = (
         F.when(strip("header") == "", "空文件")
         .when(~F.array_contains("_names", amount),
