@@ -196,36 +196,37 @@ def _(t):
     return t.spark.read.parquet(replay(t, rows, THIRDS, build))
 
 
-YEARS = ["year(day) < 1997", "year(day) BETWEEN 1997 AND 1999", "year(day) > 1999"]
-
-
-def _facts_stream(t: Tables):
-    rows = t.facts.select("row_key", F.col("day"), "amount")
-
-    def build(inbox):
-        stream = t.spark.readStream.schema(rows.schema).parquet(inbox)
-        return daily.daily_kpi_stream(stream.withColumn("at", F.col("day").cast("timestamp")), "at", "amount")
-
-    return rows, build
-
-
 @query("stream_daily", f"WITH {sales._DAILY} SELECT CAST(day AS VARCHAR) AS day, total, n_orders FROM daily")
 def _(t):
-    rows, build = _facts_stream(t)
-    folder = replay(t, rows, YEARS, build, mode="update", each_batch=daily.history_writer)
+    """Every day is spread over all batches, so most facts of a batch are years late."""
+    rows = t.facts.select("row_key", "day", "amount")
+    folder = replay(t, rows, ["row_key % 3 = 0", "row_key % 3 = 1", "row_key % 3 = 2"],
+                    lambda inbox: t.spark.readStream.schema(rows.schema).parquet(inbox),
+                    each_batch=lambda sink: daily.history_adder(sink, "day", "amount"))
     return daily.latest_history(t.spark, folder)
 
 
+# Batches in time order; the days at the borders come in two parts.
+BORDERS = ["day < DATE'1996-12-30' OR (day = DATE'1996-12-30' AND row_key % 2 = 0)",
+           "(day = DATE'1996-12-30' AND row_key % 2 = 1) OR (day > DATE'1996-12-30' AND day < DATE'1999-07-01')",
+           "day >= DATE'1999-07-01'"]
+
+
 @query("stream_alerts", f"""
-WITH {sales._DAILY} SELECT CAST(day AS VARCHAR) AS day, 'min_amount' AS alert, total AS observed, CAST(300000 AS DOUBLE) AS threshold FROM daily WHERE total < 300000
-UNION ALL SELECT CAST(day AS VARCHAR), 'min_orders', CAST(n_orders AS DOUBLE), CAST(2 AS DOUBLE) FROM daily WHERE n_orders < 2""")
+WITH {sales._DAILY}, compared AS ({sales._PREVIOUS}), closed AS (SELECT * FROM compared WHERE CAST(day AS DATE) <= (SELECT max(CAST(day AS DATE)) - 3 FROM compared))
+SELECT CAST(day AS VARCHAR) AS day, 'drop' AS alert, total_pct AS observed, CAST(-20 AS DOUBLE) AS threshold FROM closed WHERE total_pct <= -20
+UNION ALL SELECT CAST(day AS VARCHAR), 'rise', total_pct, CAST(50 AS DOUBLE) FROM closed WHERE total_pct >= 50
+UNION ALL SELECT CAST(day AS VARCHAR), 'min_amount', total, CAST(300000 AS DOUBLE) FROM closed WHERE total < 300000
+UNION ALL SELECT CAST(day AS VARCHAR), 'min_orders', CAST(n_orders AS DOUBLE), CAST(2 AS DOUBLE) FROM closed WHERE n_orders < 2""")
 def _(t):
-    rows, build = _facts_stream(t)
+    """Days within the watermark's two days of the end are still open and raise nothing."""
+    rows = t.facts.select("row_key", "day", "amount")
 
-    def writer(sink):
-        return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+    def build(inbox):
+        stream = t.spark.readStream.schema(rows.schema).parquet(inbox)
+        return daily.daily_kpi_stream(stream.withColumn("at", F.col("day").cast("timestamp")), "at", "amount")
 
-    folder = replay(t, rows, YEARS, lambda inbox: daily.alert_stream(build(inbox), 300000, 2), mode="update", each_batch=writer)
+    folder = replay(t, rows, BORDERS, build, each_batch=lambda sink: daily.alert_writer(sink, f"{sink}-days", 20, 50, 300000, 2))
     return t.spark.read.parquet(folder).drop("batch")
 
 
@@ -236,9 +237,10 @@ FORM_TEXT = ["city", "status", "note", "amount", "name", "phone", "product"]
 def _forms_stream(t: Tables, keys=()):
     def build(inbox):
         rows = ingest.inbox(t.spark, inbox, FORM_SCHEMA)
-        return ingest.ingest_stream(rows, FORM_TEXT, ["name", "phone", "amount"], tables.ROUTING, keys)
+        return ingest.ingest_stream(rows, FORM_TEXT, ["name", "phone", "amount"], tables.ROUTING)
 
-    return t.spark.read.parquet(replay(t, t.form_rows, ["row_key % 2 = 0", "row_key % 2 = 1"], build, fmt="csv"))
+    once = (lambda sink: ingest.once_writer(sink, keys, ["row_key"])) if keys else None
+    return t.spark.read.parquet(replay(t, t.form_rows, ["row_key % 2 = 0", "row_key % 2 = 1"], build, fmt="csv", each_batch=once))
 
 
 @query("stream_ingest", f"""
@@ -252,7 +254,7 @@ def _(t):
 
 
 @query("stream_ingest_once", f"""
-WITH {tables._FORM_CLEAN} SELECT phone, product, count(*) AS n FROM form_last GROUP BY ALL""")
+WITH {tables._FORM_CLEAN} SELECT phone, product, row_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY phone, product ORDER BY row_key % 2, row_key) AS n FROM cleaned WHERE phone <> '' AND amount <> '') WHERE n = 1""")
 def _(t):
-    valid = _forms_stream(t, ["phone", "product"]).filter("reason = ''")
-    return valid.groupBy("phone", "product").agg(F.count("*").alias("n"))
+    return _forms_stream(t, ["phone", "product"]).filter("reason = ''").select("phone", "product", "row_key")

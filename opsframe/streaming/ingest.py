@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.text import base_name, strip
@@ -20,18 +20,33 @@ def inbox(spark: SparkSession, folder: str, schema: str, pattern: str = "*.csv",
     return reader.csv(folder).withColumn("__source__", F.url_decode(base_name(F.col("_metadata.file_path"))))
 
 
-def ingest_stream(rows: DataFrame, columns: Sequence[str], required: Sequence[str], routing: Sequence[Mapping],
-                  keys: Sequence[str] = (), at: str | None = None, late: str = "1 day") -> DataFrame:
-    """Cleaned and routed rows with ``reason`` (empty for valid rows).
+def ingest_stream(rows: DataFrame, columns: Sequence[str], required: Sequence[str], routing: Sequence[Mapping]) -> DataFrame:
+    """Cleaned and routed rows with ``reason`` (empty for valid rows)."""
+    cleaned = quality.clean(rows, columns, "form")
+    return rules.route(quality.tag_required(cleaned, required), routing)
+
+
+def once_writer(sink: str, keys: Sequence[str], order_by: Sequence[str], at: str | None = None,
+                late_days: int = 30) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that writes valid rows once per key, and all rejected rows, as one part per batch.
 
-    With keys, repeats of valid rows within the watermark are dropped and the first one stays: a row already emitted
-    cannot be replaced by a later one.
+    Of a batch's repeats the first in ``order_by`` stays; keys that earlier batches wrote are dropped by an anti join on
+    the key columns of the parts themselves, so no state is held in memory.  With ``at`` only keys of the last
+    ``late_days`` before the batch are remembered.
     """
-    cleaned = quality.clean(rows, columns, "form")
-    tagged = rules.route(quality.tag_required(cleaned, required), routing)
-    if not keys:
-        return tagged
     names = [f"_k{i}" for i in range(len(keys))]
-    valid = tagged.filter("reason = ''").withColumns({n: strip(k) for n, k in zip(names, keys)})
-    once = valid.withWatermark(at, late).dropDuplicatesWithinWatermark(names) if at else valid.dropDuplicates(names)
-    return once.drop(*names).unionByName(tagged.filter("reason <> ''"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stripped = {n: strip(k) for n, k in zip(names, keys)}
+        place = F.row_number().over(Window.partitionBy(*names).orderBy(*order_by))
+        valid = batch.filter("reason = ''").withColumns(stripped).withColumn("_place", place).filter("_place = 1")
+        if batch_id:
+            seen = batch.sparkSession.read.parquet(sink).filter((F.col("batch") < batch_id) & (F.col("reason") == ""))
+            if at:
+                since = batch.agg(F.min(at).alias("_since"))
+                seen = seen.join(F.broadcast(since), F.col(at) >= F.date_sub("_since", late_days), "left_semi")
+            valid = valid.join(seen.select(*[c.alias(n) for n, c in stripped.items()]), names, "left_anti")
+        out = valid.select(*batch.columns).unionByName(batch.filter("reason <> ''"))
+        out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return write
