@@ -22,7 +22,7 @@ def sql_squeeze(x: str) -> str:
 
 def sql_number(x: str) -> str:
     shape = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-    return f"(CASE WHEN regexp_full_match({x}, '{shape}') THEN TRY_CAST({x} AS DECIMAL(28,8)) END)"
+    return f"(CASE WHEN regexp_full_match({x}, '{shape}') THEN TRY_CAST({x} AS DECIMAL(37,9)) END)"
 
 
 def sql_drop(x: str, chars: str) -> str:
@@ -143,7 +143,7 @@ FROM (SELECT o_orderkey, CAST(CAST(FLOOR(c / 100) AS BIGINT) AS STRING) AS w, lp
 @query("clean_amount_table", f"""
 SELECT row_key, CASE WHEN v = '' THEN '' WHEN n IS NULL THEN s
     WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR)
-    ELSE regexp_replace(CAST(CAST(round(n, 2) AS DECIMAL(28,2)) AS VARCHAR), '0$', '') END AS value,
+    ELSE regexp_replace(CAST(CAST(round(n, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '') END AS value,
   (v = '' OR n IS NOT NULL) AS ok
 FROM (SELECT row_key, s, v, {sql_number('v')} AS n
       FROM (SELECT row_key, {sql_strip('amount')} AS s, translate({sql_strip('amount')}, ',¥￥$ ', '') AS v
@@ -155,7 +155,7 @@ def _(t):
 
 @query("clean_amount_form", f"""
 SELECT row_key, CASE WHEN n IS NULL THEN s WHEN abs(n - round(n, 0)) < 1e-9 THEN CAST(CAST(n AS BIGINT) AS VARCHAR)
-    ELSE CAST(CAST(round(n, 2) AS DECIMAL(28,2)) AS VARCHAR) END AS value
+    ELSE CAST(CAST(round(n, 2) AS DECIMAL(38,2)) AS VARCHAR) END AS value
 FROM (SELECT row_key, {sql_strip('amount')} AS s, {sql_form_number('amount')} AS n FROM dirty_amounts)""")
 def _(t):
     return t.dirty_amounts.select("row_key", N.form_amount("amount").alias("value"))
@@ -269,7 +269,7 @@ cleaned AS (SELECT row_key, name, phone, email, amount, order_date,
 judged AS (SELECT *, {sql_number('amount_v')} AS amount_n, {sql_strict_date('date_v')} AS date_d FROM cleaned),
 done AS (SELECT *, CASE WHEN amount_v = '' THEN '' WHEN amount_n IS NULL THEN amount_s
     WHEN amount_n = floor(amount_n) THEN CAST(CAST(amount_n AS BIGINT) AS VARCHAR)
-    ELSE regexp_replace(CAST(CAST(round(amount_n, 2) AS DECIMAL(28,2)) AS VARCHAR), '0$', '') END AS amount2,
+    ELSE regexp_replace(CAST(CAST(round(amount_n, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '') END AS amount2,
   coalesce(CAST(date_d AS VARCHAR), date_s) AS date2 FROM judged)"""
 
 _REPORT = """

@@ -269,7 +269,7 @@ _FORM_CLEAN = f"""
 cleaned AS (SELECT row_key, name, product, city, status, note,
   CASE WHEN d LIKE '86%' AND length(d) = 13 THEN substr(d, 3) ELSE d END AS phone,
   CASE WHEN n IS NULL THEN trim(amount) WHEN abs(n - round(n, 0)) < 1e-9 THEN CAST(CAST(n AS BIGINT) AS VARCHAR)
-    ELSE CAST(CAST(round(n, 2) AS DECIMAL(28,2)) AS VARCHAR) END AS amount
+    ELSE CAST(CAST(round(n, 2) AS DECIMAL(38,2)) AS VARCHAR) END AS amount
   FROM (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS d, {_AMOUNT} AS n FROM form_rows)),
 valid AS (SELECT *, row_number() OVER (PARTITION BY phone, product ORDER BY row_key DESC) AS rn,
   min(row_key) OVER (PARTITION BY phone, product) AS position FROM cleaned WHERE phone <> '' AND amount <> ''),
@@ -310,7 +310,7 @@ STEP_LIST = [
 _STEPS = f"""
 cleaned AS (SELECT row_key, name, city, product, regexp_replace(phone, '[^0-9]', '', 'g') AS phone,
   CASE WHEN v = '' THEN '' WHEN n IS NULL THEN s WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR)
-    ELSE regexp_replace(CAST(CAST(round(n, 2) AS DECIMAL(28,2)) AS VARCHAR), '0$', '') END AS amount
+    ELSE regexp_replace(CAST(CAST(round(n, 2) AS DECIMAL(38,2)) AS VARCHAR), '0$', '') END AS amount
   FROM (SELECT *, {sql_number('v')} AS n FROM (SELECT *, {sql_strip('amount')} AS s, translate({sql_strip('amount')}, ',¥￥$ ', '') AS v FROM form_rows))),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY phone ORDER BY row_key) AS rn FROM cleaned) WHERE phone = '' OR rn = 1)"""
 

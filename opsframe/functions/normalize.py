@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.text import blank_if_null, is_blank, squeeze, strip
 
-MONEY = "decimal(28,8)"
+# 28 digits before the point and nine behind it, all exact; what does not fit is no number and is marked as such.
+MONEY = "decimal(37,9)"
 
 # Which column names mean which kind of cell, tried in the order written.
 KEYWORDS = {
@@ -80,8 +81,8 @@ def table_amount(c: Column | str) -> Cleaned:
     raw = strip(c)
     n = table_number(c)
     cents = F.round(n, 2)
-    text = F.when(n == F.floor(n), n.cast("decimal(28,0)").cast("string")).otherwise(
-        F.regexp_replace(cents.cast("decimal(28,2)").cast("string"), "0$", "")
+    text = F.when(n == F.floor(n), n.cast("decimal(38,0)").cast("string")).otherwise(
+        F.regexp_replace(cents.cast("decimal(38,2)").cast("string"), "0$", "")
     )
     empty = _without(raw, ",¥￥$ ") == ""
     return Cleaned(F.when(empty, "").when(n.isNull(), raw).otherwise(text), empty | n.isNotNull())
@@ -96,8 +97,8 @@ def form_number(c: Column | str) -> Column:
 def form_amount(c: Column | str) -> Column:
     n = form_number(c)
     whole = F.abs(n - F.round(n, 0)) < F.lit(1e-9)
-    text = F.when(whole, F.round(n, 0).cast("decimal(28,0)").cast("string")).otherwise(
-        F.round(n, 2).cast("decimal(28,2)").cast("string")
+    text = F.when(whole, F.round(n, 0).cast("decimal(38,0)").cast("string")).otherwise(
+        F.round(n, 2).cast("decimal(38,2)").cast("string")
     )
     return F.coalesce(text, strip(c))
 

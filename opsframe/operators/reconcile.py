@@ -94,7 +94,7 @@ def field_diff(field: str, numeric: bool, tolerance: float = 0.01, ignore_case:
     delta = (no - nb).cast("double")
     pct = F.when(nb != 0, delta / F.abs(nb).cast("double") * 100.0)
     return F.when(nb.isNull() != no.isNull(), diff(MISSING_VALUE, none, none)).when(
-        F.abs(nb - no) > F.lit(tolerance).cast("decimal(28,8)"), diff(NUMBER_DIFFERS, delta, pct))
+        F.abs(nb - no) > F.lit(tolerance).cast("decimal(37,9)"), diff(NUMBER_DIFFERS, delta, pct))
 
 
 def diffs(pairs: DataFrame, fields: Sequence[str], numeric: Sequence[str] = (), tolerance: float = 0.01,

@@ -19,16 +19,19 @@ DATE_FORMAT = "yyyyMMdd"
 def archive_plan(files: DataFrame, path: str = "rel_path", size: str = "size", fingerprint: str = "fingerprint",
                  mtime: str | None = "mtime", template: str = TEMPLATE, duplicates: str = "separate",
                  day: Column | None = None, date_format: str = DATE_FORMAT, keep_name: bool = False,
-                 lowercase_ext: bool = True, conflict: str = "rename") -> DataFrame:
+                 lowercase_ext: bool = True, conflict: str = "rename", dedupe: bool = True) -> DataFrame:
     """``path, target, category, size, fingerprint, original`` for every archived file.
 
     The index counts non-duplicates per category in path order.  It comes from range-sorted runs, so one category
-    owning most files is still numbered by many tasks.  Targets that collide get ``(2)``, ``(3)``, ... in path order.
+    owning most files is still numbered by many tasks.  Without ``dedupe`` every file is an original.  Targets that collide get ``(2)``, ``(3)``, ... in path order.
     """
     ensure_checkpoints(files.sparkSession)
     # the narrow inventory is used several times below; without this every use would read and hash the files again
     listed = files.select(path, size, fingerprint, *([mtime] if mtime in files.columns else [])).checkpoint()
-    marked = inventory.mark_duplicates(listed, path, fingerprint)
+    if dedupe:
+        marked = inventory.mark_duplicates(listed, path, fingerprint)
+    else:
+        marked = listed.withColumns({"original": F.col(path), "is_duplicate": F.lit(False)})
     ext = extension(path)
     out_ext = F.lower(ext) if lowercase_ext else ext
     marked = marked.withColumns({"category": category(F.lower(ext)), "_ext": out_ext})

@@ -116,3 +116,61 @@ def test_inline_markup(cells):
     assert cells(given, mdcorpus.inline_html) == [
         "<code>a*b*c</code>", "<strong>粗</strong> 和 <code>码</code>", "a <em>斜</em> b", "<del>删</del>",
         '<a href="http://x.com" target="_blank" rel="noopener">文字</a>', '<img src="a.png" alt="说明">', "&lt;script&gt;"]
+
+
+def test_large_and_small_numbers(cells):
+    from opsframe.functions import normalize as N
+
+    got = cells(["123456789012345678901.5", "0.000000001", "1" * 40, "-7.10"], N.table_number)
+    assert [None if g is None else g.normalize() for g in got] == [
+        __import__("decimal").Decimal(x) if x else None for x in ("123456789012345678901.5", "1E-9", None, "-7.1")]
+    assert cells(["1" * 40], lambda c: N.table_amount(c).ok) == [False]
+
+
+def test_json_keys(spark):
+    from opsframe.functions import jsoncols
+
+    rows = spark.createDataFrame([(1, """{"it's": 1, "a": 2, "a": 3, "q\\"x'": 4}""")], "i int, c string")
+    assert rows.select(jsoncols.is_valid("c")).first()[0]
+    table = jsoncols.json_to_table(rows, "c", "i", ["it's", "a", "q\"x'"]).first()
+    assert (table["it's"], table["a"], table["q\"x'"]) == ("1", "3", "4")
+    assert {(r.key, r.value) for r in jsoncols.json_members(rows, "c", "i").collect()} == {("it's", "1"), ("a", "3"), ("q\"x'", "4")}
+
+
+def test_bad_patterns_match_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from opsframe.functions import text
+    from opsframe.operators import rules
+
+    rows = spark.createDataFrame([("ab", "(a"), ("ab", "(a)"), ("ab", None)], "t string, p string")
+    assert [r[0] for r in rows.select(text.matches("t", F.col("p"))).collect()] == [[], ["a"], []]
+    assert not rows.select(rules.predicate("t", "regex", "([")).first()[0]
+
+
+def test_prices_behind_other_spaces(cells):
+    from opsframe.functions import text
+
+    assert cells(["¥\u00a0199.00 x", "￥\u202f5", "12\u3000元"], text.price_hits) == [["¥\u00a0199.00"], ["￥\u202f5"], ["12\u3000元"]]
+
+
+def test_long_diff_keeps_common_lines(spark):
+    from opsframe.operators import versions
+
+    lines = [str(i) for i in range(2100)]
+    old = spark.createDataFrame([(1, "\n".join(["x", *lines])), (2, "only old")], "doc int, body string")
+    new = spark.createDataFrame([(1, "\n".join([*lines, "y"])), (3, "only\nnew")], "doc int, body string")
+    got = {r.doc: (r.added, r.removed, r.unchanged) for r in versions.diff_counts(versions.diff_versions(old, new, "doc", "body"), "doc").collect()}
+    assert got == {1: (1, 1, 2100), 2: (0, 1, 0), 3: (2, 0, 0)}
+
+
+def test_null_keys_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from opsframe.operators import order
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, n int")
+    got = {(r.k, r.n): r.no for r in order.dense_number(rows, ["n"], "no", ["k"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 1): 1}
+    seen = order.with_previous(rows, "k", ["n"], ["n"], F.lit(0))
+    assert {(r.k, r.n): r.prev_n for r in seen.collect()} == {(None, 1): None, (None, 2): 1, ("a", 1): None}
