@@ -27,19 +27,18 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes per group of documents whose words are listed together.
-CHUNK = 96_000_000
+CHUNK = 64_000_000
 #: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
 TASK, MOST_TASKS = 2_500_000, 20_000
 NEVER = 1 << 30
-EDGE = "start int, len int, id int, rank int, heads array<struct<len: int, rank: int>>, tails array<struct<len: int, rank: int>>"
 
 
 @dataclass
 class Pieces:
     """The piece table: rows (piece, len, id, rank, heads, tails), ids of single bytes, and what each id decodes to.
 
-    heads and tails: the pieces along the left (right) outer edge of a piece's merge tree, each with its length and the
-    rank at which it is merged on; empty for a piece that merging never builds.
+    heads and tails: the left and right spine of a piece's merge tree (see ``_tree``), empty for one that merging never
+    builds.
     """
 
     rows: list[tuple]
@@ -49,19 +48,21 @@ class Pieces:
     split_lines: bool
 
 
-def _tree(piece: str, rank: dict[str, int]) -> tuple[list, list] | None:
-    """Outer spines of the merge tree of a piece, or None if merging its letters does not give it."""
-    parts = [(c, [(1, NEVER)], [(1, NEVER)]) for c in piece]
+def _tree(piece: str, rank: dict[str, int]) -> tuple[list[int], list[int]] | None:
+    """Outer spines of the merge tree of a piece, or None if merging its letters does not give it.
+
+    A spine is an array by length: the rank at which the piece of that length at the edge is merged on, -1 where the
+    tree has none.
+    """
+    parts = [(c, {1: NEVER}, {1: NEVER}) for c in piece]
     while len(parts) > 1:
-        best = min((rank.get(a[0] + b[0], NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if best[0] == NEVER:
+        r, i = min((rank.get(a[0] + b[0], NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if r == NEVER:
             return None
-        r, i = best
-        a, b = parts[i:i + 2]
-        heads = [(n, min(k, r) if k == NEVER else k) for n, k in a[1]] + [(len(a[0]) + len(b[0]), NEVER)]
-        tails = [(n, min(k, r) if k == NEVER else k) for n, k in b[2]] + [(len(a[0]) + len(b[0]), NEVER)]
-        parts[i:i + 2] = [(a[0] + b[0], heads, tails)]
-    return parts[0][1], parts[0][2]
+        (left, heads, _), (right, _, tails) = parts[i:i + 2]
+        whole = {len(left) + len(right): NEVER}
+        parts[i:i + 2] = [(left + right, {**heads, len(left): r, **whole}, {**tails, len(right): r, **whole})]
+    return tuple([spine.get(n, -1) for n in range(1, len(piece) + 1)] for spine in parts[0][1:])
 
 
 def load_pieces(model: str = MODEL) -> Pieces:
@@ -98,17 +99,15 @@ def normal(text: str | None) -> str:
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, edges of each distinct word, by end and start.  A letter that is no piece is an edge without id."""
     spark = words.sparkSession
-    table = spark.createDataFrame(pieces.rows, "piece string, len int, id int, rank int, heads array<struct<len: int, rank: int>>, "
-                                               "tails array<struct<len: int, rank: int>>")
+    table = spark.createDataFrame(pieces.rows, "piece string, len int, id int, rank int, heads array<int>, tails array<int>")
     length = F.char_length("word")
     spans = words.select("word", F.explode(F.sequence(F.lit(1), length)).alias("at")).select(
         "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("at") + 1))).alias("size"))
     spans = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size")))
     table = F.broadcast(table.drop("len"))  # bounded by the vocabulary
-    one = F.array(F.struct(F.lit(1).alias("len"), F.lit(NEVER).alias("rank")))
+    one = F.array(F.lit(NEVER))
     found = spans.join(table, "piece", "left").where("id IS NOT NULL OR size = 1").select(
-        "word", F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.col("size").alias("len"),
-                                 "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("heads", one).alias("heads"),
+        "word", F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("heads", one).alias("heads"),
                                  F.coalesce("tails", one).alias("tails")).alias("edge"))
     return found.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
@@ -118,17 +117,17 @@ def best_edges(edges: Column, longest: int) -> Column:
     window = longest * longest  # edges that end inside a piece stand this near before it
 
     def step(state: Column, e: Column) -> Column:
-        place, last = state["place"], state["last"]
-        j = e["start"]
-        before = F.element_at(edges, F.element_at(last, F.greatest(j, F.lit(1))))
+        place, last, j = state["place"], state["last"], e["start"]
         near = F.when(F.size(edges) > 2 * window, F.slice(edges, F.greatest(place - window, F.lit(1)), window + longest)).otherwise(edges)
 
-        def crosses(x: Column) -> Column:
-            inside = (x["start"] < j) & (x["end"] > j) & (x["end"] <= e["end"]) & (x["start"] >= before["start"])
-            return (inside & F.exists(before["tails"], lambda s: (s["len"] == j - x["start"]) & (x["rank"] < s["rank"]))
-                    & F.exists(e["heads"], lambda p: (p["len"] == x["end"] - j) & (x["rank"] <= p["rank"])))
+        def crossed(before: Column) -> Column:
+            return F.exists(near, lambda x: (x["start"] < j) & (x["end"] > j) & (x["end"] <= e["end"]) & (x["start"] >= before["start"])
+                            & (x["rank"] < F.element_at(before["tails"], j - x["start"]))
+                            & (x["rank"] <= F.element_at(e["heads"], x["end"] - j)))
 
-        follows = (F.size(last) < e["end"]) & (F.size(e["heads"]) > 0) & ((j == 0) | ~F.exists(near, crosses))
+        # the piece before is looked up once: a transform of a one-element array names it
+        ends_there = F.element_at(F.transform(F.array(F.element_at(edges, F.element_at(last, F.greatest(j, F.lit(1))))), crossed), 1)
+        follows = (F.size(last) < e["end"]) & (F.size(e["heads"]) > 0) & ((j == 0) | ~ends_there)
         return F.struct((place + 1).alias("place"), F.when(follows, F.array_append(last, place)).otherwise(last).alias("last"))
 
     start = F.struct(F.lit(1).alias("place"), F.array().cast("array<int>").alias("last"))
@@ -183,23 +182,23 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     return encoded.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string")
 
 
-def _packed(docs: DataFrame, groups: int) -> DataFrame:
-    """chunk, blob: documents (doc_id, text) of a group packed and compressed, many to a row: a third of the text moves."""
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
-
+def _packed(rows: DataFrame) -> DataFrame:
+    """chunk, blob: the rows of each chunk (the last column), packed and compressed, many to a blob: a third of the bytes
+    move."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            chunk = batch.column(2).to_numpy()
+            last = batch.num_columns - 1
+            chunk = batch.column(last).to_numpy()
             for key in np.unique(chunk):
-                rows = batch.filter(pa.array(chunk == key)).select([0, 1])
+                own = batch.filter(pa.array(chunk == key)).select(list(range(last)))
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema) as out:
-                    out.write_batch(rows)
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())],
                                                  names=["chunk", "blob"])
 
-    return dealt.select("doc_id", "text", "chunk").mapInArrow(pack, "chunk int, blob binary")
+    return rows.mapInArrow(pack, "chunk int, blob binary")
 
 
 def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
@@ -220,7 +219,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     pattern = words_pattern(pieces)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = _packed(rows, max(1, -(-size // chunk)))
+    groups = max(1, -(-size // chunk))
+    packed = _packed(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")))
 
     def list_words(table: pa.Table) -> pa.Table:
         found: set[str] = set()
@@ -233,29 +233,38 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     tasks = min(MOST_TASKS, max(1, -(-size // TASK)))
     words = words.repartition(tasks, "word")  # read for both sides of the join, neither is shuffled again
     small = F.col("ids").cast("array<smallint>") if len(pieces.decoded) < 32768 else F.col("ids")
-    coded = encode_words(words.select("word").distinct(), pieces).select("word", small.alias("ids"))
-    back = words.join(coded, "word").select("chunk", "word", "ids")
+    distinct = words.groupBy("word").agg(F.min("chunk")).select("word")  # needs the same columns, so the shuffle is shared
+    coded = encode_words(distinct, pieces).select("word", small.alias("ids"))
+    back = _packed(words.join(coded, "word").select("word", "ids", "chunk"))
 
     def assemble(key: tuple, texts: pa.Table, lists: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(lists.column("word").to_pylist())}
-        column = lists.column("ids").combine_chunks()
-        flat = column.values.to_numpy(zero_copy_only=False).astype(np.int32)
-        offsets = column.offsets.to_numpy().astype(np.int64)
-        sizes = np.diff(offsets)
-        ids_out, doc_ids, trips = [], [], []
+        place: dict[str, int] = {}
+        flats, counts = [], []
+        for part in _unpacked(lists.column("blob")):
+            for w in part.column(0).to_pylist():
+                place[w] = len(place)
+            column = part.column(1)
+            flats.append(column.flatten().to_numpy().astype(np.int32 if len(pieces.decoded) >= 32768 else np.int16))
+            counts.append(np.diff(column.offsets.to_numpy()))
+        flat, sizes = (np.concatenate(x) if x else np.zeros(0, np.int16) for x in (flats, counts))
+        del flats, counts
+        offsets = np.cumsum(sizes, dtype=np.int64) - sizes
+        ids_out, doc_ids, trips, lengths = [], [], [], []
         for part in _unpacked(texts.column("blob")):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 at = np.array([place[w] for w in pattern.findall(normal(text))], np.int64)
-                n = sizes[at] if len(at) else np.zeros(0, np.int64)
+                n = sizes[at]
                 ends = np.cumsum(n)
-                own = flat[np.repeat(offsets[at] - ends + n, n) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.int32)
+                own = flat[np.repeat(offsets[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
                 doc_ids.append(doc_id)
                 ids_out.append(own)
+                lengths.append(len(own))
                 trips.append(decode_ids(own.tolist(), pieces) == text)
-        lengths = np.array([len(i) for i in ids_out], np.int64)
+        whole = np.concatenate([np.zeros(0, flat.dtype), *ids_out])
+        del ids_out, place
         offs = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        made = pa.ListArray.from_arrays(offs, pa.array(np.concatenate([np.zeros(0, np.int32), *ids_out])))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": made, "n_pieces": pa.array(lengths), "round_trip": pa.array(trips, pa.bool_())})
+        made = pa.ListArray.from_arrays(offs, pa.array(whole.astype(np.int32)))
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": made, "n_pieces": pa.array(lengths, pa.int64()), "round_trip": pa.array(trips, pa.bool_())})
 
     return packed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
         assemble, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
