@@ -113,3 +113,21 @@ def scan(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] | No
     known = F.array(*map(F.lit, names))
     ids = F.transform(F.filter("_numbers", lambda n: n > 0), lambda n: F.element_at(known, n))
     return found.withColumn("licenses", F.array_compact(F.array(*hits))).withColumn("sentence_ids", ids).drop("_numbers", "_sequence")
+
+
+def twin_sql(gap: int = GAP) -> str:
+    """The scan of ``documents`` in SQL, from the same fixed tables: doc_id, licenses, sentence_ids (joined by commas)."""
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    names = list(SENTENCES)
+    known = "[" + ", ".join(text(plain(s)) for s in SENTENCES.values()) + "]"
+    match = {k: "regexp_matches(q, " + text("|".join(rule_pattern(w, names, gap) for w in ways)) + ")" for k, ways in RULES.items()}
+    cases = ", ".join(f"CASE WHEN {match[k]}" + (f" AND NOT {match[STRONGER[k]]}" if k in STRONGER else "") + f" THEN {text(k)} END" for k in sorted(RULES))
+    return f"""
+WITH parts AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), {text(SENTENCE_END)}), lambda p: length(trim(p)) > 0) AS l FROM documents),
+numbers AS (SELECT doc_id, list_transform(l, lambda p: coalesce(list_position({known}, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g'))), 0)) AS n FROM parts),
+sequences AS (SELECT doc_id, n, ',' || array_to_string(n, ',,') || ',' AS q FROM numbers)
+SELECT doc_id, coalesce(array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ','), '') AS licenses,
+  coalesce(array_to_string(list_transform(list_filter(n, lambda x: x > 0), lambda x: [{", ".join(map(text, names))}][x]), ','), '') AS sentence_ids
+FROM sequences"""
