@@ -93,10 +93,14 @@ def md_blocks(docs: DataFrame, doc: str, body: str) -> DataFrame:
         F.array_join(ordered["content"], "\n").alias("text"))
 
 
+# Marks dropped from an anchor, what may stay in it, and the anchor of an empty title.
+SLUG_DROPS, SLUG_REST, SLUG_EMPTY = r"[`*_~\[\]()#!]", "[^A-Za-z0-9_一-龥-]", "section"
+
+
 def slug(c: Column | str) -> Column:
-    s = F.regexp_replace(F.lower(col(c)), r"[`*_~\[\]()#!]", "")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", "-"), "[^A-Za-z0-9_一-龥-]", "")
-    return F.when(s == "", "section").otherwise(s)
+    s = F.regexp_replace(F.lower(col(c)), SLUG_DROPS, "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", "-"), SLUG_REST, "")
+    return F.when(s == "", SLUG_EMPTY).otherwise(s)
 
 
 def md_headings(docs: DataFrame, doc: str, body: str) -> DataFrame:
@@ -168,7 +172,7 @@ def _around_code(text: Column, convert, code) -> Column:
 
 
 def inline_html(c: Column | str) -> Column:
-    """Inline markup as HTML."""
+    """Inline markup as HTML.  The tags are fixed values: the output form of the converter."""
     def convert(s: Column) -> Column:
         s = html_escape(s)
         s = F.regexp_replace(s, IMAGE, '<img src="$2" alt="$1">')

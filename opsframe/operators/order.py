@@ -12,6 +12,9 @@ from opsframe.session import ensure_checkpoints
 PARTITION_BITS = 33  # fixed value: monotonically_increasing_id keeps the row position in its low 33 bits
 
 
+RANGE = 1 << 20  # blocks summed in one task
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join in which NULL keys meet each other; the keys come from the left."""
     names = {k: f"_same{i}" for i, k in enumerate(keys)}
@@ -49,12 +52,18 @@ def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 1
     """1, 2, 3, ... in the order of a unique whole-number id.
 
     Ids are cut into blocks of ``width``, so no block can hold more than ``width`` rows; block sizes come from a
-    map-side combined count and the only whole-table window runs over one row per block.
+    map-side combined count.  Sparse ids make as many blocks as rows, so blocks are summed within ranges of ``RANGE``
+    blocks first; the only whole-table window runs over one row per range.
     """
     blocked = df.withColumn("_block", F.floor(F.col(id_col) / width))
     sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = sizes.withColumn("_range", F.floor(F.col("_block") / RANGE))
+    inside = Window.partitionBy("_range").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_sum")).select(
+        "_range", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_above"))
+    within = sizes.select("_block", "_range", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside"))
+    offsets = join_same(within, ranges, ["_range"]).select("_block", (F.col("_inside") + F.col("_above")).alias("_before"))
     local = blocked.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy(id_col)))
     return join_same(local, offsets, ["_block"]).withColumn(out, F.col("_local") + F.col("_before")).drop(
         "_block", "_local", "_before"

@@ -58,6 +58,7 @@ def test_form_job(spark, tmp_path):
     assert [r.amount for r in rules.urgent(routed, "amount", "order_id").collect()] == ["15600", "12800"]
 
 
+# The rows of the worked examples below, and the answers the tests expect of them.
 SALES = """20260923|DD20260923001|广州|外卖|¥1,041.32
 20260923|DD20260923002|北京|团购|¥956.95
 20260923|DD20260923003|广州|门店| 614.18 
