@@ -163,6 +163,29 @@ def _(t):
     return _changes(t).select("event_id", "name", "price", "prev_price", "status")
 
 
+given("page_log", """
+SELECT event_id, ts, 'page ' || CAST(user_id % 90 AS STRING) AS name, event_type = 'signup' AS blocked, event_type = 'error' AS failed,
+  CASE WHEN event_type IN ('error', 'signup') OR (event_type = 'click' AND value < 100) THEN '' ELSE '¥' || CAST(CAST(FLOOR(value / 20) AS BIGINT) AS STRING) END AS price FROM events""")
+
+
+@query("snapshot_failures", """
+SELECT event_id, name, CASE WHEN blocked THEN 'blocked' WHEN failed THEN 'error' WHEN price = '' THEN 'no_price' WHEN n = 1 THEN 'first'
+  WHEN price <> prev THEN 'changed' ELSE 'unchanged' END AS status
+FROM (SELECT *, lag(price) OVER w AS prev, row_number() OVER w AS n FROM page_log WINDOW w AS (PARTITION BY name ORDER BY ts, event_id))""")
+def _(t):
+    seen = snapshots.price_changes(t.page_log, "name", "price", ["ts", "event_id"], time_chunk("ts", 3600), blocked="blocked",
+                                   failed="failed", separate_no_price=True)
+    return seen.select("event_id", "name", "status")
+
+
+@query("snapshot_ignore_failed", """
+SELECT event_id, name, price, prev AS prev_price, CASE WHEN n = 1 THEN 'first' WHEN price <> prev THEN 'changed' ELSE 'unchanged' END AS status
+FROM (SELECT *, lag(price) OVER w AS prev, row_number() OVER w AS n FROM page_log WHERE price <> '' WINDOW w AS (PARTITION BY name ORDER BY ts, event_id))""")
+def _(t):
+    seen = snapshots.price_changes(t.page_log, "name", "price", ["ts", "event_id"], time_chunk("ts", 3600), ignore_failed=True)
+    return seen.select("event_id", "name", "price", "prev_price", "status")
+
+
 @query("snapshot_status_counts", f"""
 WITH {_CHANGES} SELECT CASE WHEN status = 'error' THEN 'failed' ELSE status END AS section, count(*) AS n FROM changes GROUP BY 1""")
 def _(t):
@@ -216,10 +239,12 @@ def _(t):
 
 
 @query("outage_edges", f"""
-WITH {_HEALTH} SELECT event_id, target, state, CAST(streak AS BIGINT) AS streak, CAST(streak_before AS BIGINT) AS streak_before
+WITH {_HEALTH} SELECT event_id, target, state, CAST(streak AS BIGINT) AS streak, CAST(streak_before AS BIGINT) AS streak_before,
+  CAST(first_fail AS VARCHAR) AS first_fail_at, status AS cause
 FROM edges WHERE state IN ('outage', 'recovered')""")
 def _(t):
-    return health.outage_edges(_streaks(t), "ok").select("event_id", "target", "state", "streak", "streak_before")
+    return health.outage_edges(_streaks(t), "ok").select("event_id", "target", "state", "streak", "streak_before",
+                                                         F.col("first_fail_at").cast("string"), F.col("status").alias("cause"))
 
 
 @query("health_target_state", f"""

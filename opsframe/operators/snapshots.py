@@ -66,12 +66,18 @@ def compare_snapshot(current: DataFrame, log: DataFrame, name: str, price: str,
 
 
 def price_changes(log: DataFrame, name: str, price: str, order_by: list[str], chunk: Column,
-                  ignore_failed: bool = False) -> DataFrame:
-    """Status of every row of a log against the row before it."""
+                  ignore_failed: bool = False, blocked: str | None = None, failed: str | None = None,
+                  separate_no_price: bool = False) -> DataFrame:
+    """Status of every row of a log against the row before it.
+
+    ``blocked`` and ``failed`` name columns that mark refused pages and fetch errors.  ``ignore_failed`` leaves out rows
+    without a price before comparing, ``separate_no_price`` tells pages without a price from errors.
+    """
     rows = log.filter(blank_if_null(price) != "") if ignore_failed else log
     seen = with_previous(rows, name, order_by, [price], chunk)
-    return seen.withColumn("status", status_of(F.col(price), F.col("prev_exists"), F.col(f"prev_{price}"))).drop(
-        "prev_exists")
+    return seen.withColumn("status", status_of(
+        F.col(price), F.col("prev_exists"), F.col(f"prev_{price}"), F.col(blocked) if blocked else None,
+        F.col(failed) if failed else None, separate_no_price)).drop("prev_exists")
 
 
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
