@@ -144,6 +144,32 @@ def _(t):
     return versions.diff_versions(t.documents, t.moved_versions, "doc_id", "text", ignore_space=True)
 
 
+given("order_old", """
+SELECT o_orderkey AS doc_id, 'key ' || CAST(o_orderkey AS STRING) || chr(10) || 'customer ' || CAST(o_custkey AS STRING) || chr(10) || 'status ' || o_orderstatus
+  || chr(10) || 'price ' || CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) || chr(10) || 'priority ' || o_orderpriority || chr(10) || 'end' AS text FROM orders""")
+given("order_new", """
+SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 7 = 0 THEN 'head' || chr(10) ELSE '' END || 'key ' || CAST(o_orderkey AS STRING)
+  || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'customer ' || CAST(o_custkey AS STRING) ELSE '' END
+  || CASE o_orderkey % 3 WHEN 0 THEN chr(10) || 'status changed' || chr(10) || 'by hand' WHEN 1 THEN chr(10) || 'status ' || o_orderstatus ELSE '' END
+  || chr(10) || 'price ' || CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'note' ELSE '' END
+  || chr(10) || 'priority ' || o_orderpriority || CASE WHEN o_orderkey % 11 = 0 THEN '!' ELSE '' END || chr(10) || 'end' AS text FROM orders""")
+
+
+@query("doc_diff_script", f"""
+WITH a AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM order_old)),
+b AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM order_new)),
+old AS (SELECT a.doc_id, a.line, a.n AS a_line, b.n AS b_line, coalesce(sum(CASE WHEN b.n IS NULL THEN 0 ELSE 1 END) OVER (
+  PARTITION BY a.doc_id ORDER BY a.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.line = b.line),
+new AS (SELECT b.doc_id, b.line, a.n AS a_line, b.n AS b_line, coalesce(sum(CASE WHEN a.n IS NULL THEN 0 ELSE 1 END) OVER (
+  PARTITION BY b.doc_id ORDER BY b.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM b LEFT JOIN a ON a.doc_id = b.doc_id AND a.line = b.line),
+steps AS (SELECT *, CASE WHEN b_line IS NULL THEN 'del' ELSE 'eq' END AS op, CASE WHEN b_line IS NULL THEN 0 ELSE 2 END AS kind, a_line AS pos FROM old
+  UNION ALL SELECT *, 'add', 1, b_line FROM new WHERE a_line IS NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY gap, kind, pos) AS op_no, op, a_line, b_line, line FROM steps""")
+def _(t):
+    """Lines that differ from each other and keep their order: the steps follow from the lines both versions have."""
+    return versions.diff_versions(t.order_old, t.order_new, "doc_id", "text")
+
+
 @query("doc_diff_folded", f"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n - 1 END AS added, 0 AS removed, n AS unchanged
 FROM (SELECT doc_id, len({_sql_lines('text')}) AS n FROM documents WHERE text <> '')""")
