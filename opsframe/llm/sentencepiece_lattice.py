@@ -1,6 +1,7 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
-Words (a run of blanks with what follows it, which no piece crosses) are listed once for a group of documents, and once
+Words (a run of blanks with what follows it, which no piece crosses, cut again where two letters stand side by side in
+no piece) are listed once for a group of documents, and once
 for the corpus.  Every distinct word is exploded into its substrings of bounded length, these are equi-joined to the
 piece table, the matches are grouped by word, and a higher-order aggregate folds them from left to right like Viterbi:
 for each prefix it keeps the one piece that ends its best segmentation.
@@ -35,7 +36,8 @@ NEVER = 1 << 30
 
 @dataclass
 class Pieces:
-    """The piece table: rows (piece, len, id, rank, heads, tails), ids of single bytes, and what each id decodes to.
+    """The piece table: rows (piece, len, id, rank, heads, tails), ids of single bytes, what each id decodes to, and the
+    pairs of neighbouring letters inside pieces.
 
     heads and tails: the left and right spine of a piece's merge tree (see ``_tree``), empty for one that merging never
     builds.
@@ -46,6 +48,7 @@ class Pieces:
     decoded: list[bytes]
     longest: int
     split_lines: bool
+    pairs: frozenset[str]
 
 
 def _tree(piece: str, rank: dict[str, int]) -> tuple[list[int], list[int]] | None:
@@ -84,13 +87,24 @@ def load_pieces(model: str = MODEL) -> Pieces:
         decoded[i] = p.id_to_piece(i).replace(BLANK, " ").encode()
     for b, i in enumerate(byte_ids):
         decoded[i] = bytes([b])
-    return Pieces(rows, byte_ids, decoded, max(len(r[0]) for r in rows), not any("\n" in r[0] for r in rows))
+    return Pieces(rows, byte_ids, decoded, max(len(r[0]) for r in rows), not any("\n" in r[0] for r in rows),
+                  frozenset(r[0][k:k + 2] for r in rows for k in range(len(r[0]) - 1)))
 
 
 def words_pattern(pieces: Pieces) -> re.Pattern:
     return re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+" if pieces.split_lines else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+def cut(word: str, pairs: frozenset[str]) -> list[str]:
+    """A word cut wherever two letters stand side by side in no piece: no merge ever crosses such a border."""
+    out, start = [], 0
+    for i in range(1, len(word)):
+        if word[i - 1:i + 1] not in pairs:
+            out.append(word[start:i])
+            start = i
+    return [*out, word[start:]]
+
+
 def normal(text: str | None) -> str:
     """A text as it is segmented: a blank in front, blanks visible; empty stays empty."""
     return BLANK + text.replace(" ", BLANK) if text else ""
@@ -227,41 +241,44 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for part in _unpacked(table.column("blob")):
             for text in part.column(1):
                 found.update(pattern.findall(normal(text.as_py())))
+        found = {part for word in found for part in cut(word, pieces.pairs)}
         return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.string())})
 
     words = packed.groupBy("chunk").applyInArrow(list_words, "chunk int, word string")
     tasks = min(MOST_TASKS, max(1, -(-size // TASK)))
     words = words.repartition(tasks, "word")  # read for both sides of the join, neither is shuffled again
     small = F.col("ids").cast("array<smallint>") if len(pieces.decoded) < 32768 else F.col("ids")
-    distinct = words.groupBy("word").agg(F.min("chunk")).select("word")  # needs the same columns, so the shuffle is shared
+    # asks for both columns, so that both sides of the join share one shuffle
+    distinct = words.groupBy("word").agg(F.min("chunk").alias("low")).where("low IS NOT NULL").select("word")
     coded = encode_words(distinct, pieces).select("word", small.alias("ids"))
     back = _packed(words.join(coded, "word").select("word", "ids", "chunk"))
 
+    kind = np.int16 if len(pieces.decoded) < 32768 else np.int32
+    width = np.dtype(kind).itemsize
+
     def assemble(key: tuple, texts: pa.Table, lists: pa.Table) -> pa.Table:
-        place: dict[str, int] = {}
-        flats, counts = [], []
+        coded: dict[str, bytes] = {}  # ids of a word, then of every word as it stands in texts, as bytes
         for part in _unpacked(lists.column("blob")):
-            for w in part.column(0).to_pylist():
-                place[w] = len(place)
             column = part.column(1)
-            flats.append(column.flatten().to_numpy().astype(np.int32 if len(pieces.decoded) >= 32768 else np.int16))
-            counts.append(np.diff(column.offsets.to_numpy()))
-        flat, sizes = (np.concatenate(x) if x else np.zeros(0, np.int16) for x in (flats, counts))
-        del flats, counts
-        offsets = np.cumsum(sizes, dtype=np.int64) - sizes
+            flat, offsets = column.flatten().to_numpy().astype(kind).tobytes(), (column.offsets.to_numpy() - column.offsets[0].as_py()) * width
+            for w, start, stop in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                coded[w] = flat[start:stop]
+        met: dict[str, bytes] = {}
         ids_out, doc_ids, trips, lengths = [], [], [], []
         for part in _unpacked(texts.column("blob")):
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                at = np.array([place[w] for w in pattern.findall(normal(text))], np.int64)
-                n = sizes[at]
-                ends = np.cumsum(n)
-                own = flat[np.repeat(offsets[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+                found = pattern.findall(normal(text))
+                for w in found:
+                    if w not in met:
+                        met[w] = b"".join([coded[p] for p in cut(w, pieces.pairs)])
+                own = b"".join([met[w] for w in found])
                 doc_ids.append(doc_id)
                 ids_out.append(own)
-                lengths.append(len(own))
-                trips.append(decode_ids(own.tolist(), pieces) == text)
-        whole = np.concatenate([np.zeros(0, flat.dtype), *ids_out])
-        del ids_out, place
+                lengths.append(len(own) // width)
+                trips.append(decode_ids(np.frombuffer(own, kind).tolist(), pieces) == text)
+        del coded, met
+        whole = np.frombuffer(b"".join(ids_out), kind)
+        del ids_out
         offs = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
         made = pa.ListArray.from_arrays(offs, pa.array(whole.astype(np.int32)))
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": made, "n_pieces": pa.array(lengths, pa.int64()), "round_trip": pa.array(trips, pa.bool_())})
