@@ -157,3 +157,12 @@ def test_near_vectors(spark):
     assert sum(a == b for a, b in zip(found, expected)) >= 0.97 * len(expected)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id and r.vec_id >= 2000)
+
+
+def test_components_of_paths_and_stars(spark):
+    from opsframe.llm.common import components
+
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(5000, 4000), (7, 7), (5000, 4000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(80)}, 4000: 4000, 5000: 4000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
