@@ -200,3 +200,38 @@ def test_model_is_a_probability():
 
 def test_recency_counts_only_the_past():
     assert mixing_lm.adapt(np.array([[700.0, 700.0, 0.0, 700.0]]), np.array([1]))[0] == pytest.approx(-math.log(0.75))
+
+
+def test_mixing_weights_learn_from_all_texts(spark, docs, monkeypatch):
+    """Texts of more than 20,000 letters set the weights too."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 4000))) for i in range(40)]
+    made, train = [], mixing_lm.train
+    monkeypatch.setattr(mixing_lm, "train", lambda *given: made.append(train(*given)) or made[-1])
+    mixing_lm.score(docs(rows))
+    begin = np.full(made[0].weights.shape, 0.3)
+    begin[:, :, 4] = 0
+    assert (np.abs(made[0].weights - begin).max(axis=2) > 0.01).sum() >= 5
+
+
+def test_mixing_weights_are_of_least_loss():
+    """Occurrences weigh as repeated tokens do, and no move of one weight lowers the loss."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcd"), 4)).encode() for _ in range(60)]
+    counts = rng.integers(1, 9, len(words))
+    codes = mixing_lm.make_codes(rng.integers(0, 50, (256, 256)))
+    zeros, ones = rng.integers(0, 9, (2, int(mixing_lm.STARTS[-1]))).astype(np.float32)
+    sums = lambda w: mixing_lm.fit_sums(codes, zeros, ones, w, words, counts)
+    weights = mixing_lm.fit(sums)
+    every = mixing_lm.fit_sums(codes, zeros, ones, weights, [w for w, n in zip(words, counts) for _ in range(n)], np.ones(counts.sum()))
+    assert np.allclose(every, sums(weights), rtol=1e-3, atol=1e-2)
+    begin = np.full(weights.shape, 0.3)
+    begin[:, :, 4] = 0
+    loss = lambda w: (sums(w)[:, :, 0] + ((w - begin) ** 2).sum(axis=2) / 2).sum()
+    least = loss(weights)
+    for k in range(5):
+        for move in (-0.05, 0.05):
+            moved = weights.copy()
+            moved[:, :, k] += move
+            assert loss(moved) > least
