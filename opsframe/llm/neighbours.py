@@ -3,7 +3,8 @@
 Distinct vectors are dealt to overlapping cluster shards; each shard builds the adjacency of its members (near
 candidates thinned by robust pruning, as in Vamana / DiskANN).  The lists of a vector from its shards are united.  Every
 vector is then searched from the shard's medoid: greedy search to where it lies, then range expansion through the
-neighbours that are near enough for as long as new ones turn up.  What the search finds is verified in double precision.
+neighbours that are near enough for as long as new ones turn up.  Every tile's pairs are audited against its exact
+cosines and verified in double precision; ``audit`` measures recall over the whole table, pairs without a common tile included.
 """
 
 from __future__ import annotations
@@ -138,6 +139,29 @@ def range_search(x: np.ndarray, links: np.ndarray, least: float, beam: int = BEA
     return np.nonzero(seen & inside)
 
 
+def tile_pairs(x: np.ndarray, links: np.ndarray, least: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs a < b of cosine at least ``least``: those the graph search finds, audited against the exact cosines.
+
+    A tile is bounded, so every member is audited, in blocks.  Where the search falls short, as in groups of near copies
+    that hang on few links, the tile's exact pairs stand in.
+    """
+    n = len(x)
+    a, b = range_search(x, links, least)
+    found = np.unique(np.minimum(a, b)[a != b].astype(np.int64) * n + np.maximum(a, b)[a != b])  # found from either side
+    exact = []
+    for at in range(0, n, block):
+        i, j = np.nonzero(x[at:at + block] @ x.T >= least - 1e-9)
+        i += at
+        exact.append(i[i < j].astype(np.int64) * n + j[i < j])
+    both = np.union1d(found, np.concatenate(exact)) if exact else found
+    a, b = both // n, both % n
+    true = np.empty(len(a), bool)
+    for at in range(0, len(a), 100_000):  # verified one by one in double precision
+        part = slice(at, at + 100_000)
+        true[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= least
+    return a[true], b[true]
+
+
 def _shard_rows(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = rows.sort_values("node")
     return rows, unit(_matrix(rows["vector"]))
@@ -219,15 +243,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         links = np.full((n, max(1, max(map(len, lists)))), -1)
         for i, at in enumerate(lists):
             links[i, :len(at)] = at
-        a, b = range_search(x, links, least)
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]  # found from either side
-        both = np.unique(a.astype(np.int64) * n + b)
-        a, b = both // n, both % n
-        true = np.empty(len(a), bool)
-        for at in range(0, len(a), 100_000):  # verified one by one in double precision
-            part = slice(at, at + 100_000)
-            true[part] = np.einsum("ij,ij->i", x[a[part]], x[b[part]]) >= least
-        a, b = a[true], b[true]
+        a, b = tile_pairs(x, links, least)
         label = local_components(n, a, b)
         shared = members["tiles"].to_list()
         first = np.array([t[0] for t in shared]) == tile
@@ -251,3 +267,33 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def audit(found: DataFrame, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = COSINE,
+          every: int = 100, most: int = 2000) -> tuple[int, int]:
+    """Links found, and links there are, of rows whose id is divisible by ``every`` (``most`` of least hash) to the whole table.
+
+    found: the result of ``near_vectors`` over the table.  The sampled vectors go to the tasks, which compare them with all rows.
+    """
+    wide = F.col(vector_col).cast("array<float>").cast("array<double>")
+    usable = F.coalesce(F.forall(wide, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(3.5e38))) & F.exists(wide, lambda v: v != 0), F.lit(False))
+    rows = table.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    some = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
+    if not len(some):
+        return 0, 0
+    lengths = np.array([len(v) for v in some["vector"]])
+    some = some[lengths == np.bincount(lengths).argmax()]
+    width, sample = len(some["vector"].iloc[0]), unit(_matrix(some["vector"]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            vectors = [v for v in batch.column(0).to_pylist() if len(v) == width]
+            if vectors:
+                total += int((unit(_matrix(vectors)) @ sample.T >= least).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["n"])
+
+    near = rows.select("vector").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    ids = found.sparkSession.createDataFrame([(int(i),) for i in some["vec_id"].unique()], "vec_id long")
+    got = found.join(ids, "vec_id").agg(F.sum("n_links")).first()[0] or 0
+    return got, near - len(some)

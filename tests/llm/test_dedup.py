@@ -159,6 +159,18 @@ def test_near_vectors(spark):
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id and r.vec_id >= 2000)
 
 
+def test_dense_groups_lose_no_links(spark):
+    """Groups of more near copies than a node has places: a search from one medoid does not enter all of them."""
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(15, 64)), 100, axis=0) + 0.02 * rng.normal(size=(1500, 64))
+    rows = [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = neighbours.near_vectors(table).cache()
+    got = found.collect()
+    assert all(r.n_links == 99 and r.component_id == r.vec_id // 100 * 100 for r in got)
+    assert neighbours.audit(found, table, every=50) == (30 * 99, 30 * 99)
+
+
 def test_components_of_paths_and_stars(spark):
     from opsframe.llm.common import components
 
