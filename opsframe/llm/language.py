@@ -142,8 +142,9 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def label_words(scores: np.ndarray, owner: np.ndarray, texts: int, penalty: float) -> np.ndarray:
-    """Best path of every text.  Where no stretch of words gains more than one penalty over the text's best language,
-    that language throughout is the best path, which needs no word-by-word walk."""
+    """Best path of every text.  Where no stretch of words gains more than half a penalty over the text's best language,
+    that language throughout is the best path, which needs no word-by-word walk: a path with k changes has k + 1
+    stretches, which gain (k + 1) / 2 penalties together at most, and pays k."""
     first = np.searchsorted(owner, np.arange(texts))
     some = np.flatnonzero(np.diff([*first, len(owner)]))
     starts = first[some]
@@ -155,7 +156,7 @@ def label_words(scores: np.ndarray, owner: np.ndarray, texts: int, penalty: floa
     place = np.repeat(np.arange(len(some)), np.diff([*starts, len(owner)]))
     walls = place[:, None] * -1e9  # later texts lie far lower, so a running minimum never reaches back
     stretch = gain - (np.minimum.accumulate(lowest + walls, axis=0) - walls)
-    mixed = np.maximum.reduceat(stretch.max(axis=1), starts) > penalty - 0.01  # rounding of long sums
+    mixed = np.maximum.reduceat(stretch.max(axis=1), starts) > penalty / 2 - 0.01  # rounding of long sums
     for j in np.flatnonzero(mixed):
         a, b = starts[j], starts[j + 1] if j + 1 < len(starts) else len(owner)
         path[a:b] = best_path(scores[a:b], penalty)

@@ -97,6 +97,12 @@ def test_spans_match_the_full_walk():
             assert value(got[owner == j]) == pytest.approx(value(language.best_path(own, 5.0)), abs=1e-3)
 
 
+def test_two_stretches_share_one_penalty():
+    """Neither stretch gains a penalty over the best language throughout (the third), but both together do."""
+    scores = np.array([[5, -6, 0]] * 2 + [[-6, 5, 0]] * 2, np.float32)
+    assert language.label_words(scores, np.zeros(4, int), 1, 12.0).tolist() == language.best_path(scores, 12.0).tolist() == [0, 0, 1, 1]
+
+
 def test_mixed_text_has_two_spans(spark, docs):
     en, de = "the house and the garden with that thing ", "der hund und die katze mit einem ding "
     train = [(i, en * 5, "en", "a") for i in range(10, 40)] + [(i, de * 5, "de", "a") for i in range(40, 70)]
