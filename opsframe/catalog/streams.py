@@ -171,30 +171,55 @@ def replay(t: Tables, rows: DataFrame, slices: list[str], build, fmt: str = "par
 THIRDS = ["day(ts) < 11 OR ts IS NULL", "day(ts) BETWEEN 11 AND 20", "day(ts) > 20"]
 
 
+def _check_stream(t: Tables, sink_of=lambda sink: sink) -> str:
+    rows = t.hot_checks.select("event_id", "ts", "target", "ok", "status", "ms")
+
+    def build(inbox):
+        stream = t.spark.readStream.schema(rows.schema).parquet(inbox)
+        return stream.select("target", "event_id", F.col("ts").cast("timestamp").alias("at"), "ok", "status", "ms", F.lit("").alias("error"))
+
+    return replay(t, rows, THIRDS, build, each_batch=lambda sink: health.health_writer(sink, f"{sink}-targets", buckets=16))
+
+
 @query("stream_health", f"""
-WITH {keyed._HEALTH} SELECT event_id, target, state, CAST(streak AS BIGINT) AS streak, CAST(streak_before AS BIGINT) AS streak_before
-FROM edges WHERE state IN ('outage', 'recovered')""")
+WITH {keyed._HEALTH} SELECT event_id, target, state, CAST(streak AS BIGINT) AS streak, CAST(streak_before AS BIGINT) AS streak_before,
+  CAST(first_fail AS VARCHAR) AS first_fail_at, CAST(status AS VARCHAR) AS cause FROM edges WHERE state IN ('outage', 'recovered')""")
+def _(t):
+    return t.spark.read.parquet(_check_stream(t)).select(
+        "event_id", "target", "state", "streak", "streak_before", F.col("first_fail_at").cast("string"), "cause")
+
+
+@query("stream_health_records", f"""
+WITH {keyed._HEALTH}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ts DESC NULLS LAST, event_id DESC) AS back FROM edges) WHERE back = 1)
+SELECT l.target, l.streak >= 2 AS down, CAST(l.streak AS BIGINT) AS consecutive_fail, CAST(l.first_fail AS VARCHAR) AS first_fail_at,
+  (SELECT CAST(max(c.ts) AS VARCHAR) FROM hot_checks c WHERE c.target IS NOT DISTINCT FROM l.target AND c.ok) AS last_ok_at,
+  CAST(l.status AS VARCHAR) AS last_status, CAST(l.ms AS DOUBLE) AS last_ms, CAST(l.ts AS VARCHAR) AS last_at, l.event_id AS last_id
+FROM last l""")
 def _(t):
-    rows = t.hot_checks.select("event_id", "ts", "target", "ok")
+    found = health.records(t.spark, f"{_check_stream(t)}-targets", 16)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("first_fail_at", "last_ok_at", "last_at")})
 
+
+def _price_stream(t: Tables, rows: DataFrame, **options) -> DataFrame:
     def build(inbox):
-        stream = t.spark.readStream.schema(rows.schema).parquet(inbox)
-        return health.health_stream(stream.select("target", "event_id", F.col("ts").cast("timestamp").alias("at"), "ok"))
+        return t.spark.readStream.schema(rows.schema).parquet(inbox).withColumn("at", F.col("ts").cast("timestamp"))
 
-    return t.spark.read.parquet(replay(t, rows, THIRDS, build)).select(
-        "event_id", "target", "state", "streak", "streak_before")
+    sink = replay(t, rows, THIRDS, build, each_batch=lambda sink: prices.price_writer(sink, f"{sink}-last", buckets=16, **options))
+    return t.spark.read.parquet(sink).drop("batch", "at")
 
 
 @query("stream_prices", f"""
 WITH {keyed._CHANGES} SELECT event_id, name, price, coalesce(prev_price, '') AS prev_price, status FROM changes WHERE status <> 'unchanged'""")
 def _(t):
-    rows = t.price_log
+    return _price_stream(t, t.price_log)
 
-    def build(inbox):
-        stream = t.spark.readStream.schema(rows.schema).parquet(inbox)
-        return prices.price_change_stream(stream.select("name", "event_id", F.col("ts").cast("timestamp").alias("at"), "price"))
 
-    return t.spark.read.parquet(replay(t, rows, THIRDS, build))
+@query("stream_price_failures", """
+SELECT event_id, name, price, coalesce(prev, '') AS prev_price, CASE WHEN blocked THEN 'blocked' WHEN failed THEN 'error' WHEN price = '' THEN 'no_price'
+    WHEN n = 1 THEN 'first' WHEN price <> prev THEN 'changed' ELSE 'unchanged' END AS status
+FROM (SELECT *, lag(price) OVER w AS prev, row_number() OVER w AS n FROM page_log WINDOW w AS (PARTITION BY name ORDER BY ts, event_id))""")
+def _(t):
+    return _price_stream(t, t.page_log, only_changes=False, separate_no_price=True)
 
 
 @query("stream_daily", f"WITH {sales._DAILY} SELECT CAST(day AS VARCHAR) AS day, total, n_orders FROM daily")

@@ -11,11 +11,12 @@ from opsframe.operators.order import join_same
 
 
 def streaks(checks: DataFrame, target: str, ok: str, ts: str, order_by: Sequence[str], chunk: Column,
-            carry: Sequence[str] = ()) -> DataFrame:
+            carry: Sequence[str] = (), before: DataFrame | None = None) -> DataFrame:
     """Every check with its failure streak, the streak before it and the first failure ever seen.
 
     Work is cut into (target, time slice) windows; a slice hands three numbers to the next one (rows so far, place of
-    the last success, first failure), so one target owning a third of all checks is spread over its slices.
+    the last success, first failure), so one target owning a third of all checks is spread over its slices.  ``before``
+    may give, one row per target, the ``streak`` and ``first_fail_at`` its earlier checks have left.
     """
     rows = checks.select(target, *order_by, *[c for c in dict.fromkeys([ok, ts, *carry]) if c not in order_by],
                          chunk.alias("_chunk"))
@@ -34,13 +35,18 @@ def streaks(checks: DataFrame, target: str, ok: str, ts: str, order_by: Sequence
     tails = tails.select(
         target, "_chunk", "_base", F.max(F.col("_base") + F.col("_ok")).over(slices).alias("_ok_carry"),
         F.min("_fail").over(slices).alias("_fail_carry"))
+    if before is not None:
+        held = before.select(F.col(target).alias("_held"), (-F.col("streak")).alias("_ok_held"), F.col("first_fail_at").alias("_fail_held"))
+        tails = tails.join(held, F.col(target).eqNullSafe(F.col("_held")), "left").select(
+            target, "_chunk", "_base", F.coalesce("_ok_carry", "_ok_held").alias("_ok_carry"),
+            F.least("_fail_carry", "_fail_held").alias("_fail_carry"))
     joined = join_same(local, tails, [target, "_chunk"])
     place = F.col("_base") + F.col("_rn")
     last_ok = F.coalesce(F.col("_base") + F.col("_ok_before"), F.col("_ok_carry"), F.lit(0))
-    before = (place - 1 - last_ok).cast("bigint")
+    failed = (place - 1 - last_ok).cast("bigint")
     return (
-        joined.withColumn("streak_before", before)
-        .withColumn("streak", F.when(F.col(ok), F.lit(0)).otherwise(before + 1).cast("bigint"))
+        joined.withColumn("streak_before", failed)
+        .withColumn("streak", F.when(F.col(ok), F.lit(0)).otherwise(failed + 1).cast("bigint"))
         .withColumn("first_fail_at", F.least("_fail_first", "_fail_carry"))
         .drop("_chunk", "_rn", "_ok_before", "_fail_first", "_base", "_ok_carry", "_fail_carry")
     )

@@ -75,12 +75,35 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
+NO_TIME = -(2 ** 62)  # a row without a time comes before all others
+
+
+def after_last(df: DataFrame, known: DataFrame, key: str, at: str, id_col: str, chunk: Column) -> DataFrame:
+    """Add ``us`` (the time as a number) and ``slice``, and leave out rows at or before the last one known of their key.
+
+    ``known`` has one row per key with ``last_us`` and ``last_id``.  It meets one row per (key, slice), and these meet the
+    rows, so a key with many rows is spread over its slices.
+    """
+    rows = df.withColumns({"us": F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(NO_TIME)), "slice": chunk})
+    last = known.select(F.col(key).alias("_key"), "last_us", "last_id")
+    cuts = rows.groupBy(key, "slice").agg(F.count("*").alias("_n")).join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    both = join_same(rows, cuts.select(key, "slice", "last_us", "last_id"), [key, "slice"])
+    later = (F.col("us") > F.col("last_us")) | ((F.col("us") == F.col("last_us")) & (F.col(id_col) > F.col("last_id")))
+    return both.filter(F.col("last_us").isNull() | later).drop("last_us", "last_id")
+
+
+def expired(at: str, newest, days: int) -> Column:
+    """Whether a time lies more than ``days`` before the newest one; without either nothing has expired."""
+    return F.coalesce(F.col(at) < F.lit(newest).cast("timestamp") - F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
 def with_previous(df: DataFrame, key: str, order_by: Sequence[str], columns: Sequence[str], chunk: Column,
-                  prefix: str = "prev_") -> DataFrame:
+                  prefix: str = "prev_", before: DataFrame | None = None) -> DataFrame:
     """Add each row's previous values of the same key (NULL on the first row).
 
     Rows are windowed per (key, time slice); only the last row of every slice travels on to the next slice, so a key
-    that owns a third of the table is spread over all its slices.
+    that owns a third of the table is spread over all its slices.  ``before`` may give, one row per key, the values that
+    came before the table's first row.
     """
     sliced = df.withColumn("_chunk", chunk)
     slice_window = Window.partitionBy(key, "_chunk").orderBy(*order_by)
@@ -88,6 +111,10 @@ def with_previous(df: DataFrame, key: str, order_by: Sequence[str], columns: Seq
     local = sliced.withColumn("_last", F.lag(values).over(slice_window))
     tails = sliced.groupBy(key, "_chunk").agg(F.max_by(values, F.struct(*order_by)).alias("_tail"))
     tails = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_tail")
+    if before is not None:
+        held = before.select(F.col(key).alias("_key"), values.alias("_held"))
+        tails = tails.join(held, F.col(key).eqNullSafe(F.col("_key")), "left").select(
+            key, "_chunk", F.coalesce("_carry", "_held").alias("_carry"))
     joined = join_same(local, tails, [key, "_chunk"])
     seen = F.coalesce("_last", "_carry")
     for c in columns:

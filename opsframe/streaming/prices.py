@@ -2,40 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-CHANGES = "name string, event_id bigint, price string, prev_price string, status string"
-NO_TIME = -(2 ** 62)  # a snapshot without a time comes before all others, as in a batch
-STATE = "price string, last_us bigint, last_id bigint"
-
-
-def _statuses(only_changes: bool):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        known = state.exists
-        price0, last_us, last_id = state.get if known else ("", NO_TIME, -1)
-        rows = rows[(rows.us > last_us) | ((rows.us == last_us) & (rows.event_id > last_id))]
-        if rows.empty:
-            return
-        price = rows.price.fillna("").reset_index(drop=True)
-        before = price.shift(1, fill_value=price0)
-        status = pd.Series("unchanged", index=price.index).mask(price != before, "changed")
-        if not known:
-            status.iloc[0] = "first" if price.iloc[0] else "error"
-        state.update((price.iloc[-1], int(rows.us.iloc[-1]), int(rows.event_id.iloc[-1])))
-        out = pd.DataFrame({"name": key[0], "event_id": rows.event_id.to_numpy(), "price": price, "prev_price": before,
-                            "status": status})
-        yield out[out.status != "unchanged"] if only_changes else out
-
-    return step
-
-
-def price_change_stream(snapshots: DataFrame, only_changes: bool = True) -> DataFrame:
-    """Status rows per snapshot.  ``snapshots`` is a stream of ``name string, event_id, at timestamp, price string``."""
-    rows = snapshots.selectExpr("name", "event_id", f"coalesce(unix_micros(at), {NO_TIME}) AS us", "price")
-    return rows.groupBy("name").applyInPandasWithState(
-        _statuses(only_changes), CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql import functions as F
+
+from opsframe.functions.text import blank_if_null
+from opsframe.operators import snapshots
+from opsframe.operators.order import after_last, expired, time_chunk, with_previous
+from opsframe.streaming.store import KeyStore
+
+#: The last snapshot of every name.
+LAST = "name string, price string, last_at timestamp, last_us bigint, last_id bigint"
+
+
+def price_writer(sink: str, folder: str, only_changes: bool = True, ignore_failed: bool = False, separate_no_price: bool = False,
+                 slice_seconds: int = 3600, forget_days: int | None = None, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function over snapshots ``name, event_id, at timestamp, price`` and, where given, the booleans
+    ``blocked`` and ``failed``, that writes the status of each against the one before it, and keeps the last of each name.
+
+    Inside a batch a row's predecessor comes from its (name, time slice) window or from the last row of the slice before;
+    the first row of a name looks into the table in ``folder``, of which only the buckets of the batch's names are read.  So
+    a name with a third of all rows is spread over its slices.  A snapshot at or before the last one of its name came too
+    late and is left out; one without a time comes before all others.  Names not seen for ``forget_days`` start anew.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = KeyStore(batch.sparkSession, folder, ["name"], LAST, buckets)
+        flags = [c for c in ("blocked", "failed") if c in batch.columns]
+        rows = batch.select("name", "event_id", "at", blank_if_null("price").alias("price"), *flags)
+        if ignore_failed:
+            rows = rows.filter("price <> ''")
+        known = store.read(batch_id, store.touched(rows))
+        if forget_days is not None:
+            newest = rows.agg(F.max("at")).first()[0]
+            known = known.filter(~expired("last_at", newest, forget_days))
+        rows = after_last(rows, known, "name", "at", "event_id", time_chunk("at", slice_seconds)).persist()
+        try:
+            seen = with_previous(rows, "name", ["us", "event_id"], ["price"], F.col("slice"), before=known.select("name", "price"))
+            status = snapshots.status_of(F.col("price"), F.col("prev_exists"), F.col("prev_price"), *[
+                F.col(c) if c in flags else None for c in ("blocked", "failed")], separate_no_price)
+            out = seen.select("name", "event_id", "at", "price", blank_if_null("prev_price").alias("prev_price"), status.alias("status"))
+            out = out.filter("status <> 'unchanged'") if only_changes else out
+            out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+            last = rows.groupBy("name").agg(F.max_by(F.struct("price", "at", "us", "event_id"), F.struct("us", "event_id")).alias("_l"))
+            now = last.select("name", "_l.price", F.col("_l.at").alias("last_at"), F.col("_l.us").alias("last_us"), F.col("_l.event_id").alias("last_id"))
+            kept = known.join(now.select(F.col("name").alias("_t")), F.col("name").eqNullSafe(F.col("_t")), "left_anti")
+            store.write(kept.unionByName(now), batch_id)
+        finally:
+            rows.unpersist()
+
+    return write
