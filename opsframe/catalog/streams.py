@@ -30,16 +30,26 @@ ALIAS = {"编号": "id", "客户名": "name"}
 
 
 def _write_exports(t: Tables) -> str:
-    """The customers as three kinds of export: plain, GB18030 with semicolons, and tab-separated with a further column."""
+    """The customers as three kinds of export: plain, GB18030 with semicolons, and tab-separated with a further column in a
+    folder below, in files whose names begin with an underscore."""
     root = fresh(t)
     c = t.customer_cells
     sinks.save_table(c.filter("kind = 0"), f"{root}/a", ["id", "name", "segment"], "csv")
     chinese = c.filter("kind = 1").select(F.col("id").alias("编号"), F.col("name").alias("客户名"), "segment")
     sinks.save_table(chinese, f"{root}/b", None, "csv", encoding="GB18030", sep=";")
-    sinks.save_table(c.filter("kind = 2"), f"{root}/c", ["id", "nation", "name"], "csv", sep="\t")
+    sinks.save_table(c.filter("kind = 2"), f"{root}/c/deep", ["id", "nation", "name"], "csv", sep="\t")
+    _underscore(t, f"{root}/c/deep")
     return root
 
 
+def _underscore(t: Tables, folder: str) -> None:
+    """Give the files of a folder names that a file scan would pass over."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path(folder, "part-*")):
+        system.rename(found.getPath(), path(folder, "_" + found.getPath().getName()))
+
+
 @query("io_read_exports", """
 SELECT id, name, CASE WHEN kind = 2 THEN '' ELSE segment END AS segment, CASE WHEN kind = 2 THEN nation ELSE '' END AS nation FROM customer_cells""")
 def _(t):
@@ -47,6 +57,24 @@ def _(t):
     return rows.select("id", "name", "segment", "nation")
 
 
+given("customer_notes", """
+SELECT c_custkey, c_name || ', "' || c_mktsegment || '"' AS title, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name || '
+' || c_mktsegment || '
+
+"' || CAST(c_nationkey AS STRING) END AS note FROM customer""")
+
+
+@query("io_quoted_splits", """
+SELECT row_number() OVER (ORDER BY c_custkey) AS place, CAST(c_custkey AS VARCHAR) AS id, title, note FROM customer_notes""")
+def _(t):
+    """One file with line breaks and quotes inside its cells, read by many tasks."""
+    root = fresh(t)
+    rows = t.customer_notes.select(F.col("c_custkey").cast("string").alias("id"), "title", "note")
+    sinks.save_table(rows.orderBy(F.col("id").cast("bigint")).coalesce(1), root, None, "csv")
+    found = exports.read_exports(t.spark, root, split=16384)
+    return found.select(F.col("__row__").alias("place"), "id", "title", "note")
+
+
 @query("io_required_columns", "SELECT id, name, segment FROM customer_cells WHERE kind <> 2")
 def _(t):
     rows = exports.read_exports(t.spark, _write_exports(t), recursive=True, alias=ALIAS, required=["segment"])
@@ -54,8 +82,11 @@ def _(t):
 
 
 @query("io_profile", """
-SELECT unnest(['a', 'b', 'c']) AS folder, unnest(['UTF-8', 'GB18030', 'UTF-8']) AS encoding, unnest([',', ';', chr(9)]) AS sep,
-  unnest(['id,name,segment', '编号;客户名;segment', 'id' || chr(9) || 'nation' || chr(9) || 'name']) AS header""")
+SELECT DISTINCT CASE kind WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'deep' END AS folder,
+  CASE WHEN kind = 1 AND octet_length(encode(name)) > length(name) THEN 'GB18030' ELSE 'UTF-8' END AS encoding,
+  CASE kind WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS sep,
+  CASE kind WHEN 0 THEN 'id,name,segment' WHEN 1 THEN '编号;客户名;segment' ELSE 'id' || chr(9) || 'nation' || chr(9) || 'name' END AS header
+FROM customer_cells""")
 def _(t):
     found = exports.profile_files(t.spark, _write_exports(t), recursive=True)
     return found.select(F.element_at(F.split("file", "/"), -2).alias("folder"), "encoding", "sep", "header").distinct()
@@ -70,16 +101,29 @@ def _(t):
                      F.bool_and(F.col("n") == F.col("last")).alias("numbered"))
 
 
+given("gate_rows", """
+SELECT c_custkey AS row_key, 'n' || CAST(c_nationkey AS STRING) AS nation, CASE WHEN c_nationkey % 3 = 0 THEN NULL WHEN c_nationkey % 3 = 1 AND c_acctbal < 9999999
+  THEN '待定' ELSE '¥' || CAST(c_custkey AS STRING) END AS amount FROM customer""")
+
+
 @query("io_file_gate", """
-SELECT unnest(['缺列「amount」，现有列：id/name', '没有可用金额行']) AS reason""")
+SELECT nation || '.csv' AS file, CASE WHEN count(amount) = 0 THEN '缺列「amount」，现有列：row_key/nation' ELSE '没有可用金额行' END AS reason
+FROM gate_rows GROUP BY nation HAVING count(*) FILTER (amount LIKE '¥%') = 0""")
 def _(t):
+    """One file per nation: a third lacks the column, a third has no usable amount in it."""
     root = fresh(t)
-    c = t.customer_cells
-    sinks.save_table(c, f"{root}/a", ["id", "name"], "csv")
-    sinks.save_table(c.withColumn("amount", F.lit("待定")), f"{root}/b", ["id", "amount"], "csv")
-    sinks.save_table(c.withColumn("amount", F.lit("¥5")), f"{root}/c", ["id", "amount"], "csv")
-    rows = exports.read_exports(t.spark, root, recursive=True)
-    return exports.rejected_files(exports.profile_files(t.spark, root, recursive=True), rows, "amount").select("reason").distinct()
+    rows = t.gate_rows
+    wide = rows.filter("amount IS NOT NULL").withColumn("part", F.col("nation"))
+    thin = rows.filter("amount IS NULL").withColumn("part", F.col("nation")).drop("amount")
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    for part, folder in ((wide, f"{root}/wide"), (thin, f"{root}/thin")):
+        part.repartition("part").write.partitionBy("part").option("header", "true").csv(folder)
+        system = path(folder).getFileSystem(t.spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(path(folder, "part=*/part-*.csv")):  # name each file after its nation
+            source = found.getPath()
+            system.rename(source, path(source.getParent(), source.getParent().getName().removeprefix("part=") + ".csv"))
+    read = exports.read_exports(t.spark, root, recursive=True)
+    return exports.rejected_files(exports.profile_files(t.spark, root, recursive=True), read, "amount")
 
 
 @query("io_history", "SELECT count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS total, CAST(0 AS BIGINT) AS n_missing FROM supplier")

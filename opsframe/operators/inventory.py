@@ -6,13 +6,13 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.functions.text import category, extension
 from opsframe.operators.order import attach_by_key
 from opsframe.operators.quality import size_flag
+from opsframe.sources.files import LISTED, filesystem, list_files
 
 # Names never scanned, and labels.
 EXCLUDED = [".git", "node_modules", "__pycache__", ".DS_Store", "Thumbs.db"]
@@ -20,42 +20,22 @@ NO_EXTENSION = "(无扩展名)"
 
 
 CHUNK = 1 << 20  # fixed value: bytes hashed at a time
-LISTED = "path string, rel_path string, size bigint, mtime timestamp"
 
 
 def file_inventory(spark: SparkSession, root: str, recursive: bool = True, exclude: Sequence[str] | None = None,
                    with_hash: bool = True) -> DataFrame:
     """``path, rel_path, size, mtime[, fingerprint]`` of the files below a folder, hidden ones included.
 
-    The driver lists the top folder only; tasks list the folders below it, and tasks hash the files piece by piece, so
-    neither the number of files nor the size of one is held anywhere.  Names in ``exclude`` are left out at any depth.
+    Folders are listed level by level in tasks, and tasks hash the files piece by piece, so neither the number of files
+    nor the size of one is held anywhere.  Names in ``exclude`` are left out at any depth.
     """
     excluded = set(EXCLUDED if exclude is None else exclude)
-    system, top = _filesystem(root)
-    entries = [e for e in system.get_file_info(fs.FileSelector(top)) if e.base_name not in excluded]
-    folders = [e.path for e in entries if e.type == fs.FileType.Directory] if recursive else []
-    files = [(e.path, _below(e.path, top), e.size, e.mtime) for e in entries if e.type == fs.FileType.File]
-
-    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(root)
-        for batch in batches:
-            for folder in batch.column(0).to_pylist():
-                found = [e for e in system.get_file_info(fs.FileSelector(folder, recursive=True)) if e.type == fs.FileType.File]
-                found = [e for e in found if not excluded & set(_below(e.path, top).split("/"))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([e.path for e in found], pa.string()), pa.array([_below(e.path, top) for e in found], pa.string()),
-                     pa.array([e.size for e in found], pa.int64()), pa.array([e.mtime for e in found], pa.timestamp("us", "UTC"))],
-                    names=["path", "rel_path", "size", "mtime"])
-
-    listed = spark.createDataFrame(files, LISTED)
-    if folders:
-        below = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders))
-        listed = listed.unionByName(below.mapInArrow(list_folders, LISTED))
+    listed = list_files(spark, root, recursive, lambda n: n not in excluded, lambda n: n not in excluded)
     if not with_hash:
         return listed
 
     def hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(root)
+        system, _ = filesystem(root)
         for batch in batches:
             prints = []
             for path in batch.column(0).to_pylist():
@@ -70,15 +50,6 @@ def file_inventory(spark: SparkSession, root: str, recursive: bool = True, exclu
     return spread.mapInArrow(hash_files, LISTED + ", fingerprint string")
 
 
-def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
-    """File system of a path or address, and the path within it."""
-    return fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
-
-
-def _below(path: str, top: str) -> str:
-    return path[len(top.rstrip("/")) + 1:]
-
-
 def classify(df: DataFrame, path: str, size: Column | str, tiny_below: int = 1024) -> DataFrame:
     ext = F.lower(extension(path))
     return df.withColumns({"ext": ext, "category": category(ext), "size_flag": size_flag(size, tiny_below)})

@@ -4,136 +4,357 @@ from __future__ import annotations
 
 import csv
 import fnmatch
-from collections.abc import Mapping, Sequence
+import io
+import sys
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions.normalize import kpi_number
-from opsframe.functions.text import base_name, blank_if_null, named, strip
-from opsframe.operators.order import dense_number
+from opsframe.functions.text import base_name, blank_if_null, named
 from opsframe.operators.quality import drop_blank_rows
-from opsframe.session import configure
+from opsframe.session import ensure_checkpoints
+from opsframe.sources.files import file_splits, filesystem, list_files
 
-# Candidate delimiters in order of preference, and encodings tried in order.
+# Candidate delimiters in order of preference, encodings tried in order, characters judged for the delimiter.
 DELIMITERS = [",", ";", "\t", "|"]
 ENCODINGS = ["UTF-8", "GB18030", "BIG5"]
 UNKNOWN = "unknown(replace)"
+SAMPLE = 4096
+
+SPLIT = 32 << 20  # fixed value: bytes of a file that one task reads at a time
+PIECE = 1 << 20  # fixed value: bytes decoded at a time
+ROWS = 10_000  # fixed value: rows per Arrow batch
+_QUOTE, _LF, _CR = 34, 10, 13
+_MAY_OPEN = np.isin(np.arange(256), [ord(c) for c in ',;\t|"\n\r'])
+SCANNED = ("path string, size bigint, start bigint, stop bigint, quotes bigint, records0 bigint, records1 bigint, odd0 boolean, odd1 boolean, "
+           "utf8 boolean, gb boolean, big5 boolean, head binary")
+
+
+def any_case(pattern: str, name: str) -> bool:
+    return fnmatch.fnmatch(name.lower(), pattern.lower())
+
+
+def _outside(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of quotes, and of the line feeds outside quotes, when the data starts inside or outside of a quoted cell."""
+    quotes, feeds = np.flatnonzero(data == _QUOTE), np.flatnonzero(data == _LF)
+    return quotes, feeds[(np.searchsorted(quotes, feeds) + inside) % 2 == 0]
+
+
+def _records(data: np.ndarray, feeds: np.ndarray, first: bool, length: int) -> int:
+    """Records that start within the first ``length`` bytes and are not blank lines; the data may go on behind them."""
+    starts = feeds + 1
+    starts = np.concatenate([[0], starts]) if first else starts
+    starts = starts[starts < length]
+    nxt = data[starts]
+    after = data[np.minimum(starts + 1, len(data) - 1)]
+    blank = (nxt == _LF) | ((nxt == _CR) & (after == _LF) & (starts + 1 < len(data)))
+    return int((~blank).sum())
+
+
+def _odd(data: np.ndarray, quotes: np.ndarray, inside: bool, before: int) -> bool:
+    """Whether a quote opens in the middle of a cell (then quotes do not simply alternate), or a carriage return stands alone."""
+    opening = quotes[int(inside)::2]
+    previous = np.where(opening > 0, data[np.maximum(opening - 1, 0)], before)
+    if not _MAY_OPEN[previous].all():
+        return True
+    returns = np.flatnonzero(data[:-1] == _CR)
+    alone = returns[data[returns + 1] != _LF]
+    return bool(((np.searchsorted(quotes, alone) + inside) % 2 == 0).any())
+
+
+def _read(stream, start: int, stop: int) -> bytes:
+    stream.seek(start)
+    return stream.read(max(0, stop - start))
+
+
+def _to_next_line(stream, at: int, size: int) -> bytes:
+    """Bytes from ``at`` through the next line feed, or to the end."""
+    out = b""
+    while at < size:
+        piece = _read(stream, at, min(size, at + 65536))
+        cut = piece.find(b"\n")
+        if cut >= 0:
+            return out + piece[:cut + 1]
+        out, at = out + piece, at + len(piece)
+    return out
 
 
-def _lines(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame:
-    """Raw lines with their file and place.  The text source keeps the bytes as they are."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern)
-    meta = F.col("_metadata")
-    return reader.text(path).select(meta["file_path"].alias("file"), F.col("value"), meta["file_block_start"].alias("block"),
-                                    F.monotonically_increasing_id().alias("row"))
-
+def _decodes(data: bytes, charset: str) -> bool:
+    try:
+        data.decode(charset)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _header_bytes(stream, size: int) -> bytes:
+    """At least ``SAMPLE`` characters from the start of a file, and its first record that is not blank, whole."""
+    length = 4 * SAMPLE
+    while True:
+        head = _read(stream, 0, min(size, length))
+        data = np.frombuffer(head, np.uint8)
+        _, feeds = _outside(data, False)
+        starts = [0, *(feeds + 1).tolist()]
+        if length >= size or any(head[a:b].strip(b" \t\r\n\xef\xbb\xbf") for a, b in zip(starts, starts[1:])):
+            return head
+        length *= 4
+
+
+def scan_splits(splits: DataFrame, root: str) -> DataFrame:
+    """What each byte range tells without knowing whether it starts inside a quoted cell: its quotes, the records that start in
+    it in either case, which encodings its lines decode in, and at a file's start the bytes around its header."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = filesystem(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                with system.open_input_file(row["path"]) as stream:
+                    start, stop, size = row["start"], row["stop"], row["size"]
+                    low = max(0, start - 1)
+                    raw = _read(stream, low, min(size, stop + 2))
+                    lead = start - low
+                    mark = 3 if start == 0 and raw.startswith(b"\xef\xbb\xbf") else 0
+                    data = np.frombuffer(raw, np.uint8)
+                    before = int(data[0]) if lead else _LF
+                    data, length = data[lead + mark:], stop - start - mark
+                    own = data[:length]
+                    quotes, feeds = _outside(own, False)
+                    feeds = [feeds, _outside(own, True)[1]]
+                    # a record that starts at the first byte belongs here if a line feed outside quotes stands before it
+                    counts = [_records(data, f, start == 0 or (before == _LF and not k), length) if len(own) else 0
+                              for k, f in enumerate(feeds)]
+                    odd = [_odd(data, quotes, bool(k), before) if len(own) else False for k in (0, 1)]
+                    # whole lines: from behind the first line feed to the one behind the end
+                    text = raw[lead + mark:lead + stop - start]
+                    if start and before != _LF:
+                        cut = text.find(b"\n")
+                        text = text[cut + 1:] if cut >= 0 else b""
+                    if text and not text.endswith(b"\n"):
+                        text += _to_next_line(stream, stop, size)
+                    plain = text.isascii()
+                    yield pa.RecordBatch.from_pylist([{
+                        **row, "quotes": len(quotes), "records0": counts[0], "records1": counts[1], "odd0": odd[0], "odd1": odd[1],
+                        "utf8": plain or _decodes(text, "utf-8"), "gb": plain or _decodes(text, "gb18030"), "big5": plain or _decodes(text, "big5"),
+                        "head": _header_bytes(stream, size) if start == 0 else None}], schema)
+
+    types = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in SCANNED.split(", ")])
+    return splits.mapInArrow(work, SCANNED)
+
+
+def judge(head: bytes, charset: str, sep: str | None = None) -> tuple[str, str, list[str], int]:
+    """Delimiter, header line, its cells, and the number of records through the header, from the start of a file.
+
+    The first 4096 characters are judged together; where their lines do not agree, the header line alone decides.
+    """
+    text = head.decode("utf-8" if charset == UNKNOWN else charset, "replace").removeprefix("﻿")
+    if sep is None:
+        try:
+            sep = csv.Sniffer().sniff(text[:SAMPLE], delimiters="".join(DELIMITERS)).delimiter
+        except csv.Error:
+            lines = [line for line in text.splitlines() if line.strip()]
+            bare = "".join(lines[0].split('"')[::2]) if lines else ""
+            sep = max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
+    csv.field_size_limit(sys.maxsize)
+    source = io.StringIO(text, newline="")
+    taken = []
+
+    def lines():
+        for line in source:
+            taken.append(line)
+            yield line
+
+    seen = 0
+    for cells in csv.reader(lines(), delimiter=sep):
+        if cells and any(c.strip() for c in cells):
+            return sep, "".join(taken).strip("\r\n"), [c.strip() for c in cells], seen + 1
+        seen += bool(cells)
+        taken.clear()
+    return sep, "", [], seen
+
+
+def _judged(scanned: DataFrame, encoding: str | None, sep: str | None) -> DataFrame:
+    """One row per file: its encoding, delimiter, header line, header cells, and records through the header."""
+    files = scanned.groupBy("path").agg(*[F.bool_and(c).alias(c) for c in ("utf8", "gb", "big5")], F.max("head").alias("head"))
+    found = F.when(F.col("utf8"), "UTF-8").when(F.col("gb"), "GB18030").when(F.col("big5"), "BIG5").otherwise(UNKNOWN)
+    files = files.select("path", (F.lit(encoding) if encoding else found).alias("encoding"), F.coalesce("head", F.lit(b"")).alias("head"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [judge(head, charset, sep) for charset, head in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+                 pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.int64())],
+                names=["file", "encoding", "sep", "header", "cells", "through"])
+
+    return files.mapInArrow(work, "file string, encoding string, sep string, header string, cells array<string>, through bigint")
+
+
+def _scan(spark: SparkSession, path: str, pattern: str, recursive: bool, split: int) -> DataFrame:
+    """Scanned byte ranges of the matching files; files in folders that begin with ``_`` or ``.``, and ``.`` files, stay out."""
+    ensure_checkpoints(spark)
+    files = list_files(spark, path, recursive, lambda n: n[0] not in "_.", lambda n: n[0] != "." and any_case(pattern, n))
+    splits = file_splits(files, split).checkpoint()
+    tasks = max(1, min(splits.count(), spark.sparkContext.defaultParallelism * 64))
+    return scan_splits(splits.repartition(tasks), path)
+
+
+def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False, split: int = SPLIT,
+                  encoding: str | None = None, sep: str | None = None) -> DataFrame:
+    """``file, encoding, sep, header, cells, through`` per export.
+
+    Encodings are judged line by line within byte ranges and combined per file, so a large file is spread over many tasks
+    and one small record per file remains.  None of the candidate encodings uses the line-feed byte inside a character.
+    The delimiter is judged on the first 4096 characters.  The header is the first record that is not blank; ``through``
+    counts the records up to and with it.
+    """
+    return _judged(_scan(spark, path, pattern, recursive, split), encoding, sep)
 
-def any_case(pattern: str) -> str:
-    """Glob that ignores the case of its letters."""
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() and c.lower() != c.upper() else c for c in pattern)
 
+def _with_state(scanned: DataFrame) -> DataFrame:
+    """Adds whether a byte range starts inside a quoted cell, and how many records start before it in its file.
 
-def _decodes(c: Column, charset: str) -> Column:
-    """Whether bytes survive a decode in the charset without replacement characters; plain ASCII needs no decode."""
-    ascii_only = F.is_valid_utf8(c) & (F.octet_length(c) == F.length(c))
-    return ascii_only | ~F.decode(c.cast("binary"), charset).contains("�")
+    Quotes alternate, so the parity of all quotes before a range fixes its state.  Where a quote opens in the middle of a
+    cell, or a carriage return ends a line, the file is read as one range.
+    """
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole_file = Window.partitionBy("path")
+    state = scanned.drop("head").withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    state = state.withColumns({"records": F.when(F.col("inside"), F.col("records1")).otherwise(F.col("records0")),
+                               "odd": F.bool_or(F.when(F.col("inside"), F.col("odd1")).otherwise(F.col("odd0"))).over(whole_file)})
+    state = state.withColumn("base", F.coalesce(F.sum("records").over(before), F.lit(0)))
+    return state.filter(~F.col("odd") | (F.col("start") == 0)).select(
+        "path", "size", "start", F.when(F.col("odd"), F.col("size")).otherwise(F.col("stop")).alias("stop"), "inside", "base")
 
 
-def profile_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False) -> DataFrame:
-    """``file, encoding, sep, header`` per export.
+def _own_lines(stream, row: Mapping, charset: str) -> Iterator[str]:
+    """Lines of the records that start in a byte range, read on to the end of the last one.
 
-    Encodings are judged line by line and combined per file, so a large file is split over many tasks and only one
-    small record per file remains.  None of the candidate encodings uses the line-feed byte inside a character.  The
-    header is the first line that is not blank, taken in the same pass.
+    Text is decoded piece by piece between line feeds, so a range of any length takes little memory.
     """
-    configure(spark)
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")  # decode() marks bad bytes instead of failing
-    rows = _lines(spark, path, any_case(pattern), recursive)
-    raw = F.col("value")
-    seen = rows.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8(raw)).alias("utf8"),
-        F.bool_and(_decodes(raw, "GB18030")).alias("gb"),
-        F.bool_and(_decodes(raw, "Big5")).alias("big5"),
-        F.min_by(raw.cast("binary"), F.when(F.trim(raw) != "", F.struct("block", "row"))).alias("head"))
-    seen = seen.withColumn("head", F.coalesce("head", F.lit("").cast("binary")))
-    encoding = (F.when(F.col("utf8"), "UTF-8").when(F.col("gb"), "GB18030").when(F.col("big5"), "BIG5")
-                .otherwise(UNKNOWN))
-    seen = seen.withColumn("encoding", encoding)
-    text = F.when(F.col("encoding") == "GB18030", F.decode("head", "GB18030")).when(
-        F.col("encoding") == "BIG5", F.decode("head", "Big5")).otherwise(F.decode("head", "UTF-8"))
-    head = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r$", "")
-    unquoted = F.regexp_replace(head, '"[^"]*"', "")
-    counts = [F.struct((F.length(unquoted) - F.length(F.translate(unquoted, d, ""))).alias("n"),
-                       F.lit(-i).alias("rank"), F.lit(d).alias("sep")) for i, d in enumerate(DELIMITERS)]
-    best = F.array_max(F.array(*counts))
-    return seen.select("file", "encoding", F.when(best["n"] > 0, best["sep"]).otherwise(",").alias("sep"),
-                       head.alias("header"))
-
-
-def _read_group(spark: SparkSession, files: Sequence[str], encoding: str, sep: str, header: str, alias: Mapping[str, str],
-                multi_line: bool) -> DataFrame:
-    charset = "UTF-8" if encoding == UNKNOWN else encoding
-    reader = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option(
-        "escape", '"').option("sep", sep).option("encoding", charset).option("ignoreLeadingWhiteSpace", "false").option("mode", "PERMISSIVE")
-    df = reader.csv(list(files))
-    columns = header_columns(header, sep, alias)
-    if len(columns) != len(df.columns):  # a header of several lines: the reader's own names
-        columns = distinct_names([alias.get(c.strip(), c.strip()) for c in df.columns])
-    df = df.toDF(*[f"_cell{i}" for i in range(len(columns))])
-    cells = [blank_if_null(f"_cell{i}").alias(name) for i, name in enumerate(columns)]
-    meta = F.col("_metadata")
-    return df.select(*cells, meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"),
-                     F.monotonically_increasing_id().alias("_at"))
+    start, stop, size, inside = row["start"], row["stop"], row["size"], row["inside"]
+    at = start
+    if start and (inside or _read(stream, start - 1, start) != b"\n"):  # the range starts within another one's record
+        while True:
+            piece = _read(stream, at, min(stop, at + PIECE))
+            quotes, feeds = _outside(np.frombuffer(piece, np.uint8), inside)
+            if len(feeds):
+                at += int(feeds[0]) + 1
+                break
+            inside ^= len(quotes) % 2 == 1
+            at += len(piece)
+            if at >= stop:
+                return
+        if at >= stop:
+            return
+        inside = False
+    rest, step = b"", PIECE
+    while at < size:
+        piece = rest + _read(stream, at, min(size, at + step))
+        base = at - len(rest)
+        at = base + len(piece)
+        quotes, feeds = _outside(np.frombuffer(piece, np.uint8), inside)
+        over = feeds[base + feeds + 1 >= stop]  # the first border of records at or behind the range's end
+        if len(over):
+            yield from io.StringIO(piece[:int(over[0]) + 1].decode(charset, "replace"), newline="")
+            return
+        end = len(piece) if at >= size else piece.rfind(b"\n") + 1
+        rest, step = piece[end:], PIECE if end else 2 * step  # a long line is looked at again with twice as much
+        if end:
+            inside ^= int(np.searchsorted(quotes, end)) % 2 == 1
+            yield from io.StringIO(piece[:end].decode(charset, "replace"), newline="")
 
 
 def read_exports(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = False,
                  alias: Mapping[str, str] | None = None, required: Sequence[str] = (), drop_blank: bool = True,
-                 profile: DataFrame | None = None, multi_line: bool = True, encoding: str | None = None,
-                 sep: str | None = None, with_path: bool = False) -> DataFrame:
+                 profile: DataFrame | None = None, encoding: str | None = None, sep: str | None = None,
+                 with_path: bool = False, split: int = SPLIT) -> DataFrame:
     """All exports of a folder as one text table, with ``__source__`` (file name) and ``__row__`` (1-based).
 
-    Files are grouped by encoding, delimiter and header and each group is one read; columns are united by name in the
-    order in which files (by name) first show them.  Files lacking a required column are left out
-    (:func:`rejected_files` lists them).  What reaches the driver is the file list and headers, as with any file scan.
+    Files are read in byte ranges of ``split`` bytes, quoted line breaks included: a first pass counts quotes and records
+    per range, running sums over a file's ranges tell where each starts, and every range is then cut into records alone.
+    Columns are united by name in the order in which files (by name) first show them; rows are placed under them where
+    they are read, so any number of different headers is one scan.  Files lacking a required column are left out
+    (:func:`rejected_files` lists them).  What reaches the driver is each distinct header.
 
     Cells are taken by their place under the header: a repeated name becomes ``name_2``, an empty one ``_c`` and its
-    place.  ``with_path`` adds ``__path__``, which tells files of one name in different folders apart.
-
-    A given ``encoding`` or ``sep`` replaces what was found.  ``multi_line=False`` is for large exports without line breaks inside cells: their files are read in splits.
+    place; short rows are padded, surplus cells ignored.  Files whose names begin with ``_`` are read at any depth; those
+    that begin with ``.``, and folders that begin with either, are not (:func:`hidden_files` lists them).  ``with_path``
+    adds ``__path__``, which tells files of one name in different folders apart.  A given ``encoding`` or ``sep`` replaces
+    what was found.
     """
     alias = dict(alias or {})
-    prof = profile if profile is not None else profile_files(spark, path, pattern, recursive)
+    scanned = _scan(spark, path, pattern, recursive, split).checkpoint()
+    prof = profile if profile is not None else _judged(scanned, encoding, sep)
     prof = prof.withColumn("encoding", F.lit(encoding)) if encoding else prof
-    prof = prof.withColumn("sep", F.lit(sep)) if sep else prof
-    groups: dict[tuple[str, str, str], list[str]] = {}
-    for r in prof.orderBy("file").collect():
-        columns = header_columns(r["header"], r["sep"], alias)
-        if any(c not in columns for c in required):
-            continue
-        groups.setdefault((r["encoding"], r["sep"], r["header"]), []).append(r["file"])
-    if not groups:
-        schema = ", ".join([f"`{c}` string" for c in required] + ["__source__ string", "__row__ bigint"])
-        return spark.createDataFrame([], schema)
-    merged = None
+    heads = prof.filter("header <> ''").groupBy("cells").agg(F.min("file").alias("first")).orderBy("first").collect()
     data: list[str] = []
-    for (charset, delimiter, header), files in groups.items():
-        part = _read_group(spark, files, charset, delimiter, header, alias, multi_line)
-        data += [c for c in part.columns[:-3] if c not in data]
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    if multi_line:  # such a file is read by one task anyway, so a window per file is no wider than the scan
-        in_file = Window.partitionBy("_file").orderBy("_block", "_at")
-        merged = merged.withColumn("__row__", F.row_number().over(in_file).cast("bigint"))
-    else:
-        merged = dense_number(merged, ["_block", "_at"], "__row__", ["_file"])
-    out = merged.select(*[blank_if_null(named(c)).alias(c) for c in data],
-                        F.url_decode(base_name("_file")).alias("__source__"), "__row__", *([F.col("_file").alias("__path__")] if with_path else []))
+    for r in heads:
+        columns = header_columns(r["cells"], alias)
+        if all(c in columns for c in required):
+            data += [c for c in columns if c not in data]
+    names = [*(data or required), "__source__", "__row__", *(["__path__"] if with_path else [])]
+    schema = ", ".join(f"`{c.replace('`', '``')}` {'bigint' if c == '__row__' else 'string'}" for c in names)
+    if not data:
+        return spark.createDataFrame([], schema)
+    ranges = _with_state(scanned).join(prof.filter("header <> ''").withColumnRenamed("file", "path"), "path")
+    ranges = ranges.select("path", "size", "start", "stop", "inside", "base", "encoding", "sep", "cells", "through").checkpoint()
+    tasks = max(1, min(ranges.count(), spark.sparkContext.defaultParallelism * 64))
+    target = {c: i for i, c in enumerate(data)}
+    typed = pa.schema([(c, pa.int64() if c == "__row__" else pa.string()) for c in names])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        system, _ = filesystem(path)
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = header_columns(row["cells"], alias)
+                if any(c not in columns for c in required):
+                    continue
+                charset = "utf-8" if row["encoding"] == UNKNOWN else row["encoding"]
+                places = [target[c] for c in columns]
+                source = row["path"].rsplit("/", 1)[-1]
+                with system.open_input_file(row["path"]) as stream:
+                    lines = _own_lines(stream, row, charset)
+                    lines = _without_mark(lines) if row["start"] == 0 else lines
+                    held: list[list] = []
+                    number = row["base"] - row["through"]
+                    for cells in csv.reader(lines, delimiter=row["sep"]):
+                        if not cells:
+                            continue
+                        number += 1
+                        if number < 1:
+                            continue
+                        out = [""] * len(data)
+                        for place, cell in zip(places, cells):
+                            out[place] = cell
+                        held.append([*out, source, number, *([row["path"]] if with_path else [])])
+                        if len(held) == ROWS:
+                            yield _batch(held, typed)
+                            held = []
+                    if held:
+                        yield _batch(held, typed)
+
+    out = ranges.repartition(tasks).mapInArrow(work, schema)
     return drop_blank_rows(out, data) if drop_blank else out
 
 
-def header_columns(header: str, sep: str, alias: Mapping[str, str]) -> list[str]:
-    """Names of a header line, quoted ones included, each once."""
-    cells = next(csv.reader([header], delimiter=sep), [])
+def _without_mark(lines: Iterator[str]) -> Iterator[str]:
+    first = next(lines, None)
+    if first is not None:
+        yield first.removeprefix("﻿")
+        yield from lines
+
+
+def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def header_columns(cells: Sequence[str], alias: Mapping[str, str]) -> list[str]:
+    """Names of a header's cells, each once."""
     return distinct_names([alias.get(h.strip(), h.strip()) for h in cells])
 
 
@@ -148,14 +369,13 @@ def distinct_names(names: Sequence[str]) -> list[str]:
     return out
 
 
-def hidden_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """``file, reason`` of the folder's files that no scan sees, because their names begin with ``_`` or ``.``."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(folder, "[_.]*"))
-    names = [s.getPath().getName() for s in found or [] if s.isFile()]
-    kept = [(n, "文件名以下划线或点开头，不会被读取") for n in names if fnmatch.fnmatch(n.lower(), pattern.lower())]
-    return spark.createDataFrame(kept, "file string, reason string")
+def hidden_files(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bool = True) -> DataFrame:
+    """``file, reason`` of the matching files that are not read: names beginning with ``.``, and folders beginning with ``_`` or ``.``."""
+    found = list_files(spark, path, recursive, take=lambda n: any_case(pattern, n.lstrip(".")) or any_case(pattern, n))
+    parts = F.split("rel_path", "/")
+    hidden_folder = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.rlike("^[_.]"))
+    return found.filter(hidden_folder | F.element_at(parts, -1).startswith(".")).select(
+        F.col("rel_path").alias("file"), F.when(hidden_folder, "所在文件夹以下划线或点开头，不会被读取").otherwise("文件名以点开头，不会被读取").alias("reason"))
 
 
 def merge_exports(tables: Sequence[DataFrame]) -> DataFrame:
@@ -176,18 +396,16 @@ def rejected_files(profile: DataFrame, rows: DataFrame, amount: str, alias: Mapp
 
     ``rows`` is the united table, read ``with_path`` where folders hold files of one name; only one usable-row count per file is compared with the file list.
     """
-    outside_quotes = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    names = F.transform(F.split("header", F.concat(F.lit("["), "sep", F.lit("]" + outside_quotes))), lambda h: strip(F.translate(h, '"', "")))
+    names = F.col("cells")
     for old, new in (alias or {}).items():
         names = F.transform(names, lambda h, o=old, n=new: F.when(h == o, n).otherwise(h))
     whole = "__path__" in rows.columns  # else files are known by name alone
-    known = F.col("file") if whole else F.url_decode(base_name("file"))
-    files = profile.select(F.url_decode(base_name("file")).alias("file"), known.alias("_known"), names.alias("_names"), "header")
+    files = profile.select(base_name("file").alias("file"), (F.col("file") if whole else base_name("file")).alias("_known"), names.alias("_names"), "header")
     cell = kpi_number(amount) if amount in rows.columns else F.lit(None)
     usable = rows.groupBy(F.col("__path__" if whole else "__source__").alias("_known")).agg(F.count(cell).alias("_usable"))
     joined = files.join(usable, "_known", "left")
     reason = (
-        F.when(strip("header") == "", "空文件")
+        F.when(F.col("header") == "", "空文件")
         .when(~F.array_contains("_names", amount),
               F.concat(F.lit(f"缺列「{amount}」，现有列："), F.array_join("_names", "/")))
         .when(F.coalesce("_usable", F.lit(0)) == 0, "没有可用金额行")

@@ -321,13 +321,9 @@ def test_ragged_and_quoted_exports(spark, tmp_path):
 def test_split_reading_keeps_row_numbers(spark, tmp_path):
     for name in "ab":
         (tmp_path / f"{name}.csv").write_text("id,v\n" + "".join(f"{name}{i},{i}\n" for i in range(3000)), encoding="utf-8")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
-    try:
-        rows = exports.read_exports(spark, str(tmp_path), multi_line=False)
-        assert rows.filter("__row__ <> cast(v as bigint) + 1").count() == 0
-        assert rows.count() == 6000
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = exports.read_exports(spark, str(tmp_path), split=4096)
+    assert rows.filter("__row__ <> cast(v as bigint) + 1").count() == 0
+    assert rows.count() == 6000
 
 
 def test_dedupe_rules(spark):
