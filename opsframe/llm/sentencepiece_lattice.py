@@ -1,8 +1,7 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 Words (a run of blanks with what follows it, which no piece crosses, cut again where two letters stand side by side in
-no piece) are listed once for a group of documents, and once
-for the corpus.  Every distinct word is exploded into its substrings of bounded length, these are equi-joined to the
+no piece) are listed once for a block of documents, and once for the corpus.  Every distinct word is exploded into its substrings of bounded length, these are equi-joined to the
 piece table, the matches are grouped by word, and a higher-order aggregate folds them from left to right like Viterbi:
 for each prefix it keeps the one piece that ends its best segmentation.
 
@@ -15,6 +14,7 @@ merge trees of both sides tell (their outer spines come with the piece table).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +22,18 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Text bytes per group of documents whose words are listed together.
-CHUNK = 64_000_000
+#: Text bytes per block of documents whose words are listed together.
+CHUNK = 16_000_000
 #: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
 TASK, MOST_TASKS = 2_500_000, 20_000
+#: Edges or letters of a word folded before what was found is put aside.
+PIECE = 512
 NEVER = 1 << 30
 
 
@@ -126,38 +129,68 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     return found.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
-def best_edges(edges: Column, longest: int) -> Column:
-    """The fold: for each prefix of a word the number of the edge that ends its segmentation."""
-    window = longest * longest  # edges that end inside a piece stand this near before it
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def step(state: Column, e: Column) -> Column:
-        place, last, j = state["place"], state["last"], e["start"]
-        near = F.when(F.size(edges) > 2 * window, F.slice(edges, F.greatest(place - window, F.lit(1)), window + longest)).otherwise(edges)
+def best_edges(edges: Column, longest: int) -> Column:
+    """The fold: for each prefix of a word the number of the edge that ends its segmentation.
 
-        def crossed(before: Column) -> Column:
-            return F.exists(near, lambda x: (x["start"] < j) & (x["end"] > j) & (x["end"] <= e["end"]) & (x["start"] >= before["start"])
+    Edges come by their ends, so those that may cross the border before an edge stand between the edge chosen for that
+    border and the edge itself.  The state holds the choices of the last prefixes only; all choices are gathered piece by
+    piece, so a long word is not copied at every step.
+    """
+    def step(acc: Column, e: Column) -> Column:
+        place, j, recent = acc["place"], e["start"], acc["recent"]
+        at = F.element_at(recent, F.greatest(j - acc["done"] + F.size(recent), F.lit(1)))
+
+        def crossed(chosen: Column) -> Column:
+            before = chosen["edge"]
+            between = F.slice(edges, chosen["at"] + 1, F.greatest(place - chosen["at"] - 1, F.lit(0)))
+            return F.exists(between, lambda x: (x["start"] < j) & (x["end"] > j) & (x["start"] >= before["start"])
                             & (x["rank"] < F.element_at(before["tails"], j - x["start"]))
                             & (x["rank"] <= F.element_at(e["heads"], x["end"] - j)))
 
-        # the piece before is looked up once: a transform of a one-element array names it
-        ends_there = F.element_at(F.transform(F.array(F.element_at(edges, F.element_at(last, F.greatest(j, F.lit(1))))), crossed), 1)
-        follows = (F.size(last) < e["end"]) & (F.size(e["heads"]) > 0) & ((j == 0) | ~ends_there)
-        return F.struct((place + 1).alias("place"), F.when(follows, F.array_append(last, place)).otherwise(last).alias("last"))
+        free = (j == 0) | ~_named(F.struct(at.alias("at"), F.element_at(edges, at).alias("edge")), crossed)
+        follows = (acc["done"] < e["end"]) & (F.size(e["heads"]) > 0) & free
+        kept = F.when(F.size(recent) < 2 * longest, recent).otherwise(F.slice(recent, -longest, F.lit(longest)))
+        return F.when(follows, F.struct((place + 1).alias("place"), (acc["done"] + 1).alias("done"), F.array_append(kept, place).alias("recent"),
+                                        F.array_append(acc["out"], place).alias("out"))).otherwise(
+            F.struct((place + 1).alias("place"), acc["done"].alias("done"), recent.alias("recent"), acc["out"].alias("out")))
+
+    none = F.array().cast("array<int>")
 
-    start = F.struct(F.lit(1).alias("place"), F.array().cast("array<int>").alias("last"))
-    return F.aggregate(edges, start, step, lambda s: s["last"])
+    def piece(acc: Column, k: Column) -> Column:
+        start = F.struct(acc["place"].alias("place"), acc["done"].alias("done"), acc["recent"].alias("recent"), none.alias("out"))
+        done = F.aggregate(F.slice(edges, k * PIECE + 1, F.lit(PIECE)), start, step)
+        return _named(done, lambda d: F.struct(d["place"].alias("place"), d["done"].alias("done"), d["recent"].alias("recent"),
+                                               F.array_append(acc["out"], d["out"]).alias("out")))
+
+    start = F.struct(F.lit(1).alias("place"), F.lit(0).alias("done"), none.alias("recent"), F.array().cast("array<array<int>>").alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / PIECE).cast("int"))
+    return F.flatten(F.aggregate(pieces, start, piece, lambda s: s["out"]))
 
 
 def chosen_ids(edges: Column, last: Column, word: Column, byte_ids: list[int]) -> Column:
-    """Walk back from the word's end; a letter without a piece becomes its bytes."""
-    def step(state: Column, _: Column) -> Column:
-        e = F.element_at(edges, F.element_at(last, F.greatest(state["at"], F.lit(1))))
-        more = state["at"] > 0
-        return F.struct(F.when(more, e["start"]).otherwise(0).alias("at"),
-                        F.when(more, F.array_append(state["path"], F.struct(e["start"].alias("start"), e["id"].alias("id")))).otherwise(state["path"]).alias("path"))
-
-    start = F.struct(F.size(last).alias("at"), F.array().cast("array<struct<start: int, id: int>>").alias("path"))
-    path = F.reverse(F.aggregate(last, start, step, lambda s: s["path"]))
+    """Walk back from the word's end, piece by piece; a letter without a piece becomes its bytes."""
+    kind = "array<struct<start: int, id: int>>"
+
+    def step(acc: Column, _: Column) -> Column:
+        def back(e: Column) -> Column:
+            return F.struct(e["start"].alias("at"), F.array_append(acc["out"], F.struct(e["start"].alias("start"), e["id"].alias("id"))).alias("out"))
+
+        return F.when(acc["at"] > 0, _named(F.element_at(edges, F.element_at(last, acc["at"])), back)).otherwise(acc)
+
+    def piece(acc: Column, _: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.least(acc["at"], F.lit(PIECE)))
+        done = F.aggregate(steps, F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out")), step)
+        more = _named(done, lambda d: F.struct(d["at"].alias("at"), F.array_append(acc["out"], d["out"]).alias("out")))
+        return F.when(acc["at"] > 0, more).otherwise(acc)
+
+    start = F.struct(F.size(last).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    pieces = F.sequence(F.lit(0), F.floor((F.size(last) - 1) / PIECE).cast("int"))
+    path = F.reverse(F.flatten(F.aggregate(pieces, start, piece, lambda s: s["out"])))
     table = F.array(*map(F.lit, byte_ids))
 
     def ids(e: Column) -> Column:
@@ -196,30 +229,63 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     return encoded.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string")
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """chunk, blob: the rows of each chunk (the last column), packed and compressed, many to a blob: a third of the bytes
-    move."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Stretches of a flat array one after the other."""
+    first = np.cumsum(length) - length
+    return flat[np.repeat(start - first, length) + np.arange(int(length.sum()))]
+
+
+def _press(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _unpress(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
+BLOCK_ROW = "block bigint, texts binary, words binary"
+
+
+def blocks_of_words(rows: DataFrame, pattern: re.Pattern, size: int) -> DataFrame:
+    """Texts as numbers of words, block by block: one row for about ``size`` bytes of a task's texts, with the block's
+    distinct words, and for each text the numbers of its words.  The texts themselves are not moved."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held = TaskContext.get().partitionId(), 0, 0
+        numbers: dict[str, int] = {}
+        doc_ids, odd, sequence, ends = [], [], array("i"), [0]
+
+        def closed() -> pa.RecordBatch:
+            texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": pa.array(odd, pa.bool_()),
+                              "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(sequence, np.int32)))})
+            words = pa.table({"word": pa.array(list(numbers), pa.string())})
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([_press(texts)]), pa.array([_press(words)])],
+                                              names=["block", "texts", "words"])
+
         for batch in batches:
-            last = batch.num_columns - 1
-            chunk = batch.column(last).to_numpy()
-            for key in np.unique(chunk):
-                own = batch.filter(pa.array(chunk == key)).select(list(range(last)))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema) as out:
-                    out.write_batch(own)
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([press.compress(sink.getvalue())], pa.binary())],
-                                                 names=["chunk", "blob"])
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py()
+                sequence.extend([numbers.setdefault(w, len(numbers)) for w in pattern.findall(normal(text))])
+                doc_ids.append(doc_id)
+                odd.append(BLANK in text)
+                ends.append(len(sequence))
+                held += len(text)
+                if held >= size:
+                    yield closed()
+                    made, held, numbers = made + 1, 0, {}
+                    doc_ids, odd, sequence, ends = [], [], array("i"), [0]
+        if doc_ids:
+            yield closed()
 
-    return rows.mapInArrow(pack, "chunk int, blob binary")
+    return rows.mapInArrow(work, BLOCK_ROW)
 
 
-def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor()
-    for blob in blobs:
-        with pa.ipc.open_stream(press.decompress(blob.as_py())) as rows:
-            yield from rows
+def _parts(words: list[str], pairs: frozenset[str]) -> tuple[list[list[str]], list[str]]:
+    """Every word cut into parts, and the distinct parts in order."""
+    cuts = [cut(w, pairs) for w in words]
+    return cuts, sorted({p for c in cuts for p in c})
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -227,61 +293,104 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     ``round_trip`` says whether decoding gives the text back; it does unless the text holds the visible blank itself.
     A null or empty text has no ids (and round-trips to the empty text); null ids keep their rows; repeated rows are
-    encoded each; an empty table gives no rows; other columns are ignored.
+    encoded each; an empty table gives no rows; other columns are ignored.  A text above ``chunk`` bytes is a block of its
+    own; an unbroken word of any length is folded in time that grows with its length times the root of it.  The table
+    must give its rows in the same order when a task is run again, as files do; write any other first.
     """
     pieces = load_pieces(model)
     pattern = words_pattern(pieces)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // chunk))
-    packed = _packed(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")))
-
-    def list_words(table: pa.Table) -> pa.Table:
-        found: set[str] = set()
-        for part in _unpacked(table.column("blob")):
-            for text in part.column(1):
-                found.update(pattern.findall(normal(text.as_py())))
-        found = {part for word in found for part in cut(word, pieces.pairs)}
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.string())})
-
-    words = packed.groupBy("chunk").applyInArrow(list_words, "chunk int, word string")
+    blocks = blocks_of_words(rows, pattern, chunk)
+
+    def list_parts(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        parts = _parts(_unpress(table.column("words")[0].as_py()).column(0).to_pylist(), pieces.pairs)[1]
+        return pa.table({"block": pa.array(np.full(len(parts), block)), "k": pa.array(np.arange(len(parts), dtype=np.int32)),
+                         "word": pa.array(parts, pa.string())})
+
+    words = blocks.groupBy("block").applyInArrow(list_parts, "block long, k int, word string")
     tasks = min(MOST_TASKS, max(1, -(-size // TASK)))
     words = words.repartition(tasks, "word")  # read for both sides of the join, neither is shuffled again
-    small = F.col("ids").cast("array<smallint>") if len(pieces.decoded) < 32768 else F.col("ids")
-    # asks for both columns, so that both sides of the join share one shuffle
-    distinct = words.groupBy("word").agg(F.min("chunk").alias("low")).where("low IS NOT NULL").select("word")
-    coded = encode_words(distinct, pieces).select("word", small.alias("ids"))
-    back = _packed(words.join(coded, "word").select("word", "ids", "chunk"))
-
-    kind = np.int16 if len(pieces.decoded) < 32768 else np.int32
-    width = np.dtype(kind).itemsize
-
-    def assemble(key: tuple, texts: pa.Table, lists: pa.Table) -> pa.Table:
-        coded: dict[str, bytes] = {}  # ids of a word, then of every word as it stands in texts, as bytes
-        for part in _unpacked(lists.column("blob")):
-            column = part.column(1)
-            flat, offsets = column.flatten().to_numpy().astype(kind).tobytes(), (column.offsets.to_numpy() - column.offsets[0].as_py()) * width
-            for w, start, stop in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                coded[w] = flat[start:stop]
-        met: dict[str, bytes] = {}
-        ids_out, doc_ids, trips, lengths = [], [], [], []
-        for part in _unpacked(texts.column("blob")):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found = pattern.findall(normal(text))
-                for w in found:
-                    if w not in met:
-                        met[w] = b"".join([coded[p] for p in cut(w, pieces.pairs)])
-                own = b"".join([met[w] for w in found])
-                doc_ids.append(doc_id)
-                ids_out.append(own)
-                lengths.append(len(own) // width)
-                trips.append(decode_ids(np.frombuffer(own, kind).tolist(), pieces) == text)
-        del coded, met
-        whole = np.frombuffer(b"".join(ids_out), kind)
-        del ids_out
-        offs = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        made = pa.ListArray.from_arrays(offs, pa.array(whole.astype(np.int32)))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": made, "n_pieces": pa.array(lengths, pa.int64()), "round_trip": pa.array(trips, pa.bool_())})
-
-    return packed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
+    # asks for all columns, so that both sides of the join share one shuffle
+    distinct = words.groupBy("word").agg(F.min("block").alias("low"), F.min("k").alias("k")).where("low + k IS NOT NULL").select("word")
+    coded = encode_words(distinct, pieces)
+    back = _packed_codes(words.join(coded, "word").select("block", "k", "ids"))
+
+    def assemble(key: tuple, texts: pa.Table, codes: pa.Table) -> pa.Table:
+        words = _unpress(texts.column("words")[0].as_py()).column(0).to_pylist()
+        cuts, parts = _parts(words, pieces.pairs)
+        number = {p: i for i, p in enumerate(parts)}
+        of_word = np.fromiter((number[p] for c in cuts for p in c), np.int64)
+        n_parts = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        n_distinct = len(parts)
+        del number, parts, cuts
+        # ids of every part, wherever they lie, then of every word
+        lists = [_unpress(b.as_py()) for b in codes.column("blob")]
+        k = np.concatenate([t.column("k").to_numpy() for t in lists]) if lists else np.zeros(0, np.int64)
+        n = np.concatenate([t.column("n").to_numpy() for t in lists]) if lists else np.zeros(0, np.int64)
+        flat = np.concatenate([np.frombuffer(x.as_py(), np.int32) for t in lists for x in t.column("ids")]) if lists else np.zeros(0, np.int32)
+        if len(k) != n_distinct:
+            raise RuntimeError("the table gave its rows in another order when it was read again; write it first")
+        length, start = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        length[k], start[k] = n, np.cumsum(n) - n
+        flat = gathered(flat, start[of_word], length[of_word])
+        length = _sums(length[of_word], n_parts)
+        start = np.cumsum(length) - length
+        good = _decoded_equal(words, flat, length, pieces)
+        del lists, words
+        own = _unpress(texts.column("texts")[0].as_py())
+        lists = own.column("words").combine_chunks()
+        sequence, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        counts = np.diff(ends).astype(np.int64)
+        pieces_of = _sums(length[sequence], counts)
+        ids = gathered(flat, start[sequence], length[sequence])
+        trips = (_sums((~good[sequence]).astype(np.int64), counts) == 0) & ~own.column("odd").to_numpy(zero_copy_only=False).astype(bool)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(pieces_of)]).astype(np.int32))
+        return pa.table({"doc_id": own.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids)),
+                         "n_pieces": pa.array(pieces_of), "round_trip": pa.array(trips)})
+
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
         assemble, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches, empty ones included."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def _decoded_equal(words: list[str], ids: np.ndarray, length: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether the ids of each word decode to its bytes."""
+    size = np.fromiter(map(len, pieces.decoded), np.int64, len(pieces.decoded))
+    table = np.frombuffer(b"".join(pieces.decoded), np.uint8)
+    wanted = [w.replace(BLANK, " ").encode() for w in words]
+    n_wanted = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    found = gathered(table, (np.cumsum(size) - size)[ids], size[ids])
+    n_found = _sums(size[ids], length)
+    if np.array_equal(n_found, n_wanted):
+        return _sums((found != np.frombuffer(b"".join(wanted), np.uint8)).astype(np.int64), n_wanted) == 0
+    ends = np.cumsum(n_found).tolist()
+    return np.array([found[e - n:e].tobytes() == w for e, n, w in zip(ends, n_found.tolist(), wanted)], bool)
+
+
+def _packed_codes(rows: DataFrame) -> DataFrame:
+    """block, blob: the codes of each block's parts (k, ids), packed many to a blob, so that few bytes move."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(2)
+            flat, ends = lists.values.to_numpy().astype(np.int32), lists.offsets.to_numpy().astype(np.int64)
+            start, n = ends[:-1], np.diff(ends)
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            for own in np.split(order, cuts):
+                if not len(own):
+                    continue
+                ids = gathered(flat, start[own], n[own])
+                table = pa.table({"k": pa.array(k[own]), "n": pa.array(n[own].astype(np.int32))})
+                table = table.append_column("ids", pa.array([ids.tobytes()] + [b""] * (len(own) - 1), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(block[own[:1]]), pa.array([_press(table)], pa.binary())], names=["block", "blob"])
+
+    return rows.mapInArrow(pack, "block long, blob binary")

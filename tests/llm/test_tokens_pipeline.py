@@ -25,6 +25,14 @@ def test_ids_equal_the_library(spark, docs):
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in got)
 
 
+def test_words_of_any_length(docs):
+    rng = random.Random(3)
+    library = sentencepiece.SentencePieceProcessor(model_file=lattice.MODEL)
+    texts = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(n)) for n in (511, 513, 3000, 100_000)] + ["a" * 20_000, "=" * 5000 + "ab" * 9000]
+    got = {r.doc_id: r for r in lattice.encode(docs(list(enumerate(texts)))).collect()}
+    assert all(list(got[i].ids) == library.encode(t) and got[i].round_trip for i, t in enumerate(texts))
+
+
 def test_decode(spark):
     pieces = lattice.load_pieces()
     library = sentencepiece.SentencePieceProcessor(model_file=lattice.MODEL)
