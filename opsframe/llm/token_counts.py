@@ -22,7 +22,7 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Bytes of pieces handed to the library at once; texts whose pieces are gathered before that; pieces remembered by a task.
 BATCH, TEXTS, MEMO = 500_000, 4_000_000, 500_000
-#: A piece above this many characters is cut at borders of letters, too.
+#: A piece above this many characters is cut where letters and digits end, too.
 LONG = 20_000
 
 # The characters that no version of the pre-tokenizer's classes takes for a blank.
@@ -33,7 +33,7 @@ _MARK = ",.;:!?"
 _PIECES = re.compile(f"[{_BLANK}]*(?:[{_LETTER}]+(?=[{_MARK}{_BLANK}]|$)|[^{_BLANK}]+)|[{_BLANK}]+")
 _ODD = re.compile(f"[^{_SOLID}{_BLANK}][{_BLANK}]")
 _BORDER = re.compile(f"(?<=[{_SOLID}])(?=[{_BLANK}])")
-_LETTERS = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])(?=[0-9,.;:()、。！，？])")
+_ENDS = re.compile("(?<=[A-Za-zぁ-ゖァ-ヺ一-龥가-힣])(?=[0-9,.;:()、。！？])|(?<=[0-9])(?=[,.;:()、。！？])")
 
 
 def pieces(text: str) -> list[str]:
@@ -46,7 +46,7 @@ def pieces(text: str) -> list[str]:
     found = _BORDER.split(text) if _ODD.search(text) else _PIECES.findall(text)
     if not any(len(p) > LONG for p in found):
         return found
-    return [q for p in found for q in (joined(_LETTERS.split(p)) if len(p) > LONG else [p])]
+    return [q for p in found for q in (joined(_ENDS.split(p)) if len(p) > LONG else [p])]
 
 
 def joined(parts: list[str]) -> list[str]:
