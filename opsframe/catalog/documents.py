@@ -144,6 +144,19 @@ def _(t):
     return versions.diff_versions(t.documents, t.moved_versions, "doc_id", "text", ignore_space=True)
 
 
+@query("doc_diff_rebuilt", f"""
+SELECT d.doc_id, array_to_string(d.l, chr(10)) AS old_text, array_to_string(m.l, chr(10)) AS new_text, len(d.l) AS n_old, len(m.l) AS n_new
+FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM documents) d JOIN (SELECT doc_id, {_sql_lines('text')} AS l FROM moved_versions) m USING (doc_id)
+WHERE len(d.l) + len(m.l) > 0""")
+def _(t):
+    """Both versions put together again from the steps between them."""
+    steps = versions.diff_versions(t.documents, t.moved_versions, "doc_id", "text")
+    rows = lambda op: F.array_sort(F.collect_list(F.when(F.col("op") != op, F.struct("op_no", "line"))))
+    both = steps.groupBy("doc_id").agg(rows("add").alias("o"), rows("del").alias("n"))
+    return both.select("doc_id", F.array_join("o.line", "\n").alias("old_text"), F.array_join("n.line", "\n").alias("new_text"),
+                       F.size("o").alias("n_old"), F.size("n").alias("n_new"))
+
+
 given("order_old", """
 SELECT o_orderkey AS doc_id, 'key ' || CAST(o_orderkey AS STRING) || chr(10) || 'customer ' || CAST(o_custkey AS STRING) || chr(10) || 'status ' || o_orderstatus
   || chr(10) || 'price ' || CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) || chr(10) || 'priority ' || o_orderpriority || chr(10) || 'end' AS text FROM orders""")
@@ -170,6 +183,28 @@ def _(t):
     return versions.diff_versions(t.order_old, t.order_new, "doc_id", "text")
 
 
+given("order_moved", """
+SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'end' || chr(10) ELSE '' END || 'price ' || CAST(CAST(FLOOR(o_totalprice) AS BIGINT) AS STRING) || chr(10) || 'key ' || CAST(o_orderkey AS STRING)
+  || CASE o_orderkey % 3 WHEN 0 THEN chr(10) || 'status ' || o_orderstatus || chr(10) || 'end' WHEN 1 THEN chr(10) || 'new' || chr(10) || 'key ' || CAST(o_orderkey AS STRING) ELSE '' END
+  || chr(10) || 'customer ' || CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 5 < 2 THEN chr(10) || 'priority ' || o_orderpriority || chr(10) || 'status ' || o_orderstatus ELSE '' END
+  || chr(10) || 'end' AS text FROM orders""")
+
+
+@query("doc_diff_longest", f"""
+WITH RECURSIVE a AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM order_old)),
+b AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM order_moved)),
+met AS (SELECT a.doc_id, i, j FROM a JOIN b ON a.doc_id = b.doc_id AND a.line = b.line),
+chain AS (SELECT doc_id, i, j, 1 AS n FROM met
+  UNION SELECT c.doc_id, m.i, m.j, c.n + 1 FROM chain c JOIN met m ON m.doc_id = c.doc_id AND m.i > c.i AND m.j > c.j),
+best AS (SELECT doc_id, max(n) AS n FROM chain GROUP BY doc_id)
+SELECT a.doc_id, n_b - coalesce(n, 0) AS added, n_a - coalesce(n, 0) AS removed, coalesce(n, 0) AS unchanged
+FROM (SELECT doc_id, count(*) AS n_a FROM a GROUP BY doc_id) a JOIN (SELECT doc_id, count(*) AS n_b FROM b GROUP BY doc_id) b ON a.doc_id = b.doc_id
+LEFT JOIN best ON best.doc_id = a.doc_id""")
+def _(t):
+    """Lines moved and repeated: the SQL grows every common subsequence and takes the longest."""
+    return versions.diff_counts(versions.diff_versions(t.order_old, t.order_moved, "doc_id", "text"), "doc_id")
+
+
 @query("doc_diff_folded", f"""
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n - 1 END AS added, 0 AS removed, n AS unchanged
 FROM (SELECT doc_id, len({_sql_lines('text')}) AS n FROM documents WHERE text <> '')""")

@@ -45,8 +45,10 @@ def _with_inputs(sql: str) -> str:
     if not order:
         return sql
     parts = ", ".join(f"{n} AS ({INPUTS[n]})" for n in order)
-    return f"WITH {parts} {sql.strip()}" if not sql.strip().upper().startswith("WITH ") else (
-        f"WITH {parts}, {sql.strip()[5:]}")
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.strip().upper().startswith(start):
+            return f"{start}{parts}, {sql.strip()[len(start):]}"
+    return f"WITH {parts} {sql.strip()}"
 
 
 

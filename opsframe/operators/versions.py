@@ -16,44 +16,66 @@ OPS = T.ArrayType(T.StructType([
     T.StructField("op", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
 
-def _row_above(below: np.ndarray, line: int, b: np.ndarray) -> np.ndarray:
-    """Common-subsequence lengths of one more line of ``a`` against all suffixes of ``b``, in array operations."""
-    take = np.where(b == line, below[1:] + 1, below[:-1])
-    # best of "drop a line of b" for every column at once: a running maximum from the right
-    return np.append(np.maximum.accumulate(take[::-1])[::-1], np.int32(0))
-
-
-def _middle(a: np.ndarray, b: np.ndarray, at: int) -> list[tuple[str, int | None, int | None]]:
+#: Lines that stand this often in a text have their places kept as one number; fewer places are put together when needed.
+OFTEN = 32
+
+
+def _rows(a: list[int], places: dict[int, list[int]], above: int, mask: int, masks: dict[int, int]) -> Iterator[int]:
+    """One whole number for each line of ``a`` from the last to the first: bit p is 0 where the longest common part of the
+    lines from here on with the last p + 1 lines of ``b`` is longer than with the last p.  A machine word does 64 lines."""
+    for line in reversed(a):
+        own = places.get(line)
+        if own:
+            bits = masks.get(line)
+            if bits is None:
+                bits = sum([1 << p for p in own])
+                if len(own) >= OFTEN:
+                    masks[line] = bits
+            met = above & bits
+            above = ((above + met) | (above - met)) & mask
+        yield above
+
+
+def _middle(a: list[int], b: list[int], at: int) -> list[tuple[str, int | None, int | None]]:
     """Steps of the differing middle; of equal scores the deletion comes first.
 
-    The table of lengths has a row per line of ``a``.  Only every k-th row is held (k the square root of their number);
-    the rows between are computed again where the walk needs them, so texts of any size take a narrow strip of memory.
+    Only the row of every k-th line of ``a`` is held (k the square root of their number); the rows between are computed
+    again where the walk needs them, so texts of any size take a narrow strip of memory.
     """
     n, m = len(a), len(b)
+    common = set(a) & set(b)
+    places: dict[int, list[int]] = {}
+    for j, line in enumerate(b):
+        if line in common:
+            places.setdefault(line, []).append(m - 1 - j)
+    mask, masks = (1 << m) - 1, {}
     stride = max(1, int(n ** 0.5))
-    row = np.zeros(m + 1, dtype=np.int32)
-    held = {n: row}
-    for i in range(n - 1, -1, -1):
-        row = _row_above(row, a[i], b)
+    held = {n: mask}
+    for i, row in zip(range(n - 1, -1, -1), _rows(a, places, mask, mask, masks)):
         if i % stride == 0:
             held[i] = row
+
+    def longest(row: int, j: int) -> int:
+        """Common lines from a row's line on with the lines from j on."""
+        return m - j - (row & ((1 << (m - j)) - 1)).bit_count()
+
     out, j = [], 0
+    left = longest(held[0], 0)  # common lines still to come
     for start in range(0, n, stride):
         stop = min(start + stride, n)
-        rows = {stop: held[stop]}
-        for i in range(stop - 1, start - 1, -1):
-            rows[i] = _row_above(rows[i + 1], a[i], b)
-        i = start
-        while i < stop:
+        rows = [held[stop], *_rows(a[start:stop], places, held[stop], mask, masks)][::-1]
+        for i in range(start, stop):
+            below = rows[i - start + 1]
+            without = longest(below, j)
+            while j < m and a[i] != b[j] and without < left:  # dropping line i would lose a common line
+                without -= not below >> (m - 1 - j) & 1
+                out.append(("add", None, at + j))
+                j += 1
             if j < m and a[i] == b[j]:
                 out.append(("eq", at + i, at + j))
-                i, j = i + 1, j + 1
-            elif j == m or rows[i + 1][j] >= rows[i][j + 1]:
-                out.append(("del", at + i, None))
-                i += 1
+                j, left = j + 1, left - 1
             else:
-                out.append(("add", None, at + j))
-                j += 1
+                out.append(("del", at + i, None))
     return out + [("add", None, at + k) for k in range(j, m)]
 
 
@@ -68,7 +90,7 @@ def _script(old: np.ndarray, new: np.ndarray) -> list[dict]:
     back = np.flatnonzero(a[len(a) - room:][::-1] != b[len(b) - room:][::-1])
     tail = int(back[0]) if len(back) else room
     ops = [("eq", i, i) for i in range(head)]
-    ops += _middle(a[head:len(a) - tail], b[head:len(b) - tail], head)
+    ops += _middle(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), head)
     ops += [("eq", len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
     return [{"op": op, "a": x, "b": y} for op, x, y in ops]
 
