@@ -17,9 +17,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark import TaskContext
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes per block of documents whose words are listed together.
-CHUNK = 16_000_000
+CHUNK = 32_000_000
+#: Words put together at once.
+SLICE = 500_000
 #: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
 TASK, MOST_TASKS = 2_500_000, 20_000
 #: Edges or letters of a word folded before what was found is put aside.
@@ -100,6 +104,8 @@ def words_pattern(pieces: Pieces) -> re.Pattern:
 
 def cut(word: str, pairs: frozenset[str]) -> list[str]:
     """A word cut wherever two letters stand side by side in no piece: no merge ever crosses such a border."""
+    if pairs.issuperset(map(add, word, word[1:])):
+        return [word]
     out, start = [], 0
     for i in range(1, len(word)):
         if word[i - 1:i + 1] not in pairs:
@@ -246,28 +252,56 @@ def _unpress(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-BLOCK_ROW = "block bigint, texts binary, words binary"
+BLOCK_ROW = "block bigint, texts binary, cuts binary, parts binary"
 
 
-def blocks_of_words(rows: DataFrame, pattern: re.Pattern, size: int) -> DataFrame:
+class Words:
+    """Words of texts under short keys: a word behind one blank goes by itself, one behind a line feed with it, any other whole."""
+
+    def __init__(self, pieces: Pieces):
+        self.lines, self.pairs = pieces.split_lines, pieces.pairs
+        self.pattern = re.compile(f"\n[^{BLANK}\n]*|{BLANK}+[^{BLANK}\n]*") if self.lines else words_pattern(pieces)
+
+    def keys(self, text: str) -> list[str]:
+        shown = normal(text)
+        if not self.lines or BLANK * 2 in shown:
+            found = self.pattern.findall(shown)
+            return [w[1:] if w[0] == BLANK and w[1:2] != BLANK else w for w in found] if self.lines else found
+        return shown.replace("\n", BLANK + "\n").split(BLANK)[1:]
+
+    def parts(self, key: str) -> list[str]:
+        """The word or words of a key, cut."""
+        if not self.lines or BLANK in key:
+            words = [key]
+        elif key[:1] == "\n":
+            words = ["\n", key[1:]] if len(key) > 1 else ["\n"]
+        else:
+            words = [BLANK + key]
+        return [p for w in words for p in cut(w, self.pairs)]
+
+
+def blocks_of_words(rows: DataFrame, pieces: Pieces, size: int) -> DataFrame:
     """Texts as numbers of words, block by block: one row for about ``size`` bytes of a task's texts, with the block's
-    distinct words, and for each text the numbers of its words.  The texts themselves are not moved."""
+    distinct parts of words, the parts of each word, and the numbers of each text's words.  The texts are not moved."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, 0
+        words = Words(pieces)
         numbers: dict[str, int] = {}
         doc_ids, odd, sequence, ends = [], [], array("i"), [0]
 
         def closed() -> pa.RecordBatch:
             texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": pa.array(odd, pa.bool_()),
                               "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(sequence, np.int32)))})
-            words = pa.table({"word": pa.array(list(numbers), pa.string())})
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([_press(texts)]), pa.array([_press(words)])],
-                                              names=["block", "texts", "words"])
+            parts: dict[str, int] = {}
+            cuts = [[parts.setdefault(p, len(parts)) for p in words.parts(key)] for key in numbers]
+            tables = [texts, pa.table({"cut": pa.array(cuts, pa.list_(pa.int32()))}), pa.table({"part": pa.array(list(parts), pa.string())})]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), *(pa.array([_press(t)]) for t in tables)],
+                                              names=["block", "texts", "cuts", "parts"])
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
-                sequence.extend([numbers.setdefault(w, len(numbers)) for w in pattern.findall(normal(text))])
+                sequence.extend([numbers.setdefault(w, len(numbers)) for w in words.keys(text)])
                 doc_ids.append(doc_id)
                 odd.append(BLANK in text)
                 ends.append(len(sequence))
@@ -282,12 +316,6 @@ def blocks_of_words(rows: DataFrame, pattern: re.Pattern, size: int) -> DataFram
     return rows.mapInArrow(work, BLOCK_ROW)
 
 
-def _parts(words: list[str], pairs: frozenset[str]) -> tuple[list[list[str]], list[str]]:
-    """Every word cut into parts, and the distinct parts in order."""
-    cuts = [cut(w, pairs) for w in words]
-    return cuts, sorted({p for c in cuts for p in c})
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, ids (array of int), n_pieces, round_trip of every whole text.
 
@@ -298,16 +326,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     must give its rows in the same order when a task is run again, as files do; write any other first.
     """
     pieces = load_pieces(model)
-    pattern = words_pattern(pieces)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = blocks_of_words(rows, pattern, chunk)
+    blocks = blocks_of_words(rows, pieces, chunk)
 
     def list_parts(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        parts = _parts(_unpress(table.column("words")[0].as_py()).column(0).to_pylist(), pieces.pairs)[1]
-        return pa.table({"block": pa.array(np.full(len(parts), block)), "k": pa.array(np.arange(len(parts), dtype=np.int32)),
-                         "word": pa.array(parts, pa.string())})
+        parts = _unpress(table.column("parts")[0].as_py()).column(0)
+        block = np.full(len(parts), table.column("block")[0].as_py())
+        return pa.table({"block": pa.array(block), "k": pa.array(np.arange(len(parts), dtype=np.int32)), "word": parts})
 
     words = blocks.groupBy("block").applyInArrow(list_parts, "block long, k int, word string")
     tasks = min(MOST_TASKS, max(1, -(-size // TASK)))
@@ -318,42 +344,55 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     back = _packed_codes(words.join(coded, "word").select("block", "k", "ids"))
 
     def assemble(key: tuple, texts: pa.Table, codes: pa.Table) -> pa.Table:
-        words = _unpress(texts.column("words")[0].as_py()).column(0).to_pylist()
-        cuts, parts = _parts(words, pieces.pairs)
-        number = {p: i for i, p in enumerate(parts)}
-        of_word = np.fromiter((number[p] for c in cuts for p in c), np.int64)
-        n_parts = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        n_distinct = len(parts)
-        del number, parts, cuts
-        # ids of every part, wherever they lie, then of every word
-        lists = [_unpress(b.as_py()) for b in codes.column("blob")]
-        k = np.concatenate([t.column("k").to_numpy() for t in lists]) if lists else np.zeros(0, np.int64)
-        n = np.concatenate([t.column("n").to_numpy() for t in lists]) if lists else np.zeros(0, np.int64)
-        flat = np.concatenate([np.frombuffer(x.as_py(), np.int32) for t in lists for x in t.column("ids")]) if lists else np.zeros(0, np.int32)
-        if len(k) != n_distinct:
-            raise RuntimeError("the table gave its rows in another order when it was read again; write it first")
-        length, start = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
-        length[k], start[k] = n, np.cumsum(n) - n
+        parts = _unpress(texts.column("parts")[0].as_py()).column(0).combine_chunks()
+        flat, length = _codes_in_order([b.as_py() for b in codes.column("blob")], len(parts))
+        good = _decoded_equal(parts, flat, length, pieces)
+        del parts
+        # ids of every word, from those of its parts
+        cuts = _unpress(texts.column("cuts")[0].as_py()).column(0).combine_chunks()
+        of_word, n_parts = cuts.values.to_numpy(), np.diff(cuts.offsets.to_numpy()).astype(np.int64)
+        start = np.cumsum(length) - length
         flat = gathered(flat, start[of_word], length[of_word])
+        good = _sums((~good[of_word]).astype(np.int64), n_parts) == 0
         length = _sums(length[of_word], n_parts)
         start = np.cumsum(length) - length
-        good = _decoded_equal(words, flat, length, pieces)
-        del lists, words
         own = _unpress(texts.column("texts")[0].as_py())
+        odd = own.column("odd").to_numpy(zero_copy_only=False).astype(bool)
         lists = own.column("words").combine_chunks()
         sequence, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        counts = np.diff(ends).astype(np.int64)
-        pieces_of = _sums(length[sequence], counts)
-        ids = gathered(flat, start[sequence], length[sequence])
-        trips = (_sums((~good[sequence]).astype(np.int64), counts) == 0) & ~own.column("odd").to_numpy(zero_copy_only=False).astype(bool)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(pieces_of)]).astype(np.int32))
-        return pa.table({"doc_id": own.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, pa.array(ids)),
-                         "n_pieces": pa.array(pieces_of), "round_trip": pa.array(trips)})
+        out, low = [], 0
+        while low < len(odd):  # some texts at a time
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE, side="right")) - 1)
+            words, counts = sequence[ends[low]:ends[high]], np.diff(ends[low:high + 1]).astype(np.int64)
+            n_pieces = _sums(length[words], counts)
+            bad = _sums((~good[words]).astype(np.int64), counts) > 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n_pieces)]).astype(np.int32))
+            ids = pa.array(gathered(flat, start[words], length[words]))
+            out.append(pa.table({"doc_id": own.column("doc_id").slice(low, high - low), "ids": pa.ListArray.from_arrays(offsets, ids),
+                                 "n_pieces": pa.array(n_pieces), "round_trip": pa.array(~bad & ~odd[low:high])}))
+            low = high
+        return pa.concat_tables(out)
 
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
         assemble, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
+def _codes_in_order(blobs: list[bytes], n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all parts of a block in the order of their numbers, and how many each has."""
+    k, n, ids = [], [], []
+    for blob in blobs:
+        table = _unpress(blob)
+        k.append(table.column("k").to_numpy())
+        n.append(table.column("n").to_numpy().astype(np.int64))
+        ids.append(np.frombuffer(table.column("ids")[0].as_py(), np.int32))
+    k, n, flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (k, n, ids))
+    if len(k) != n_parts:
+        raise RuntimeError("the table gave its rows in another order when it was read again; write it first")
+    order = np.argsort(k)
+    n = n.astype(np.int64)
+    return gathered(flat, (np.cumsum(n) - n)[order], n[order]), n[order]
+
+
 def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches, empty ones included."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -361,18 +400,21 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def _decoded_equal(words: list[str], ids: np.ndarray, length: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Whether the ids of each word decode to its bytes."""
+def _decoded_equal(parts: pa.Array, ids: np.ndarray, length: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Whether the ids of each part decode to its bytes."""
+    if not len(parts):
+        return np.zeros(0, bool)
     size = np.fromiter(map(len, pieces.decoded), np.int64, len(pieces.decoded))
     table = np.frombuffer(b"".join(pieces.decoded), np.uint8)
-    wanted = [w.replace(BLANK, " ").encode() for w in words]
-    n_wanted = np.fromiter(map(len, wanted), np.int64, len(wanted))
+    wanted = pc.replace_substring(parts, BLANK, " ").cast(pa.binary())
+    n_wanted = pc.binary_length(wanted).to_numpy().astype(np.int64)
     found = gathered(table, (np.cumsum(size) - size)[ids], size[ids])
     n_found = _sums(size[ids], length)
     if np.array_equal(n_found, n_wanted):
-        return _sums((found != np.frombuffer(b"".join(wanted), np.uint8)).astype(np.int64), n_wanted) == 0
+        bytes_ = np.frombuffer(b"".join(wanted.to_pylist()), np.uint8)
+        return _sums((found != bytes_).astype(np.int64), n_wanted) == 0
     ends = np.cumsum(n_found).tolist()
-    return np.array([found[e - n:e].tobytes() == w for e, n, w in zip(ends, n_found.tolist(), wanted)], bool)
+    return np.array([found[e - n:e].tobytes() == w for e, n, w in zip(ends, n_found.tolist(), wanted.to_pylist())], bool)
 
 
 def _packed_codes(rows: DataFrame) -> DataFrame:
