@@ -27,10 +27,18 @@ FIELDS = ["price", "stock", "title", "status"]
 NUMERIC = ["price", "stock"]
 
 
-def _pairs(t, stores, mode="baseline", ignore_case=False):
+def _aligned(t, stores, ignore_case=False):
     tables = {s: t.input(s) for s in stores}
     tagged = reconcile.tag_stores(tables, ["sku", *FIELDS], "row_key")
-    return reconcile.pair_rows(reconcile.align(tagged, "sku", FIELDS, stores, NUMERIC, ignore_case), stores, mode)
+    return reconcile.align(tagged, "sku", FIELDS, stores, NUMERIC, ignore_case)
+
+
+def _pairs(t, stores, ignore_case=False):
+    return reconcile.pair_rows(_aligned(t, stores, ignore_case), stores)
+
+
+def _summary(t, stores, mode="baseline"):
+    return reconcile.summary(reconcile.pair_flags(_aligned(t, stores), stores, FIELDS, NUMERIC, mode), FIELDS)
 
 
 def _uniq(store: str) -> str:
@@ -88,17 +96,17 @@ def _(t):
 
 @query("reconcile_summary", f"WITH {_TWO} {_SUMMARY}")
 def _(t):
-    return reconcile.summary(_pairs(t, ["store_a", "store_b"]), FIELDS, NUMERIC)
+    return _summary(t, ["store_a", "store_b"])
 
 
 @query("reconcile_all_pairs", f"WITH {_ALL} {_SUMMARY}")
 def _(t):
-    return reconcile.summary(_pairs(t, ["store_a", "store_b", "store_c"], "all_pairs"), FIELDS, NUMERIC)
+    return _summary(t, ["store_a", "store_b", "store_c"], "all_pairs")
 
 
 @query("reconcile_baseline", f"WITH {_diff_sql([('store_a', 'store_b'), ('store_a', 'store_c')])} {_SUMMARY}")
 def _(t):
-    return reconcile.summary(_pairs(t, ["store_a", "store_b", "store_c"]), FIELDS, NUMERIC)
+    return _summary(t, ["store_a", "store_b", "store_c"])
 
 
 @query("reconcile_top", f"""
@@ -111,7 +119,7 @@ def _(t):
 @query("reconcile_alert", f"""
 WITH {_TWO} SELECT count(*) AS total_diffs, CAST(1 AS BIGINT) AS threshold FROM diffs HAVING count(*) >= 1""")
 def _(t):
-    return reconcile.diff_alert(reconcile.summary(_pairs(t, ["store_a", "store_b"]), FIELDS, NUMERIC))
+    return reconcile.diff_alert(_summary(t, ["store_a", "store_b"]))
 
 
 @query("reconcile_field_selection", f"WITH {_TWO} SELECT * FROM diffs WHERE field IN ('price', 'title')")

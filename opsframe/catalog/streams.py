@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsframe.catalog import keyed, sales, tables
 from opsframe.catalog.registry import Tables, given, query
 from opsframe.operators import inventory, kpi
+from opsframe.plans import steps
 from opsframe.session import shared_dir
 from opsframe.sources import exports, sinks
 from opsframe.streaming import daily, health, ingest, prices
@@ -126,6 +127,28 @@ def _(t):
     return exports.rejected_files(exports.profile_files(t.spark, root, recursive=True), read, "amount")
 
 
+@query("table_steps_files", f"""
+WITH {tables._STEPS.replace("PARTITION BY phone ORDER BY row_key", "PARTITION BY phone ORDER BY row_key % 2, row_key")}
+SELECT CAST(row_key AS VARCHAR) AS row_key, name, city, product, phone, amount, CASE row_key % 2 WHEN 0 THEN 'a.csv' ELSE 'b.csv' END AS source FROM kept""")
+def _(t):
+    """Step lists from files to files: two exports merged, cleaned, deduplicated in the order of files and rows, and saved."""
+    root = fresh(t)
+    rows = t.form_rows.select("row_key", "name", "city", "product", "phone", "amount")
+    path = t.spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(root, "in"))
+    for part, name in enumerate(["a.csv", "b.csv"]):
+        sinks.save_table(rows.filter(F.col("row_key") % 2 == part).orderBy("row_key").coalesce(1), f"{root}/{part}", None, "csv")
+        system.rename(system.globStatus(path(f"{root}/{part}", "part-*"))[0].getPath(), path(f"{root}/in", name))
+    steps.run_steps([
+        {"action": "merge"}, {"action": "clean", "columns": ["name", "phone", "amount"]}, {"action": "dedupe", "key": "phone"},
+        {"action": "save", "output": "done.csv"},
+    ], spark=t.spark, input_dir=f"{root}/in", output_dir=f"{root}/out")
+    done = t.spark.read.option("header", "true").option("escape", '"').csv(f"{root}/out/done.csv")
+    return done.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("row_key", "name", "city", "product", "phone", "amount")],
+                       F.col("__source__").alias("source"))
+
+
 @query("io_history", "SELECT count(*) AS n_rows, CAST(sum(s_suppkey) AS BIGINT) AS total, CAST(0 AS BIGINT) AS n_missing FROM supplier")
 def _(t):
     root = fresh(t)

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from opsframe.session import ensure_checkpoints
+from opsframe.functions.text import named
 
-PARTITION_BITS = 33  # fixed value: monotonically_increasing_id keeps the row position in its low 33 bits
+RANGE = 1 << 20  # blocks summed in one task
+#: Rows per range of a sorted numbering, ranges at most, sampled rows per range.
+PER_RANGE, MOST_RANGES, SAMPLE = 50_000, 4096, 20
 
+NO_TIME = -(2 ** 62)  # a row without a time, or without an id, comes before all others
 
-RANGE = 1 << 20  # blocks summed in one task
+SortKey = str | tuple[str, bool]
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -24,50 +28,115 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return left.join(right.withColumnsRenamed(names), on).drop(*names.values())
 
 
-def dense_number(df: DataFrame, order_by: Sequence[Column | str], out: str,
-                 partition_by: Sequence[str] = ()) -> DataFrame:
-    """1, 2, 3, ... in the given (unique) order, over the table or per group, without a one-task window.
+def _plain_keys(df: DataFrame, order_by: Sequence[SortKey]) -> list[tuple[str, bool]]:
+    """Names and directions; a struct sorts by its fields, one after the other."""
+    out = []
+    for key in order_by:
+        name, down = (key, False) if isinstance(key, str) else key
+        kind = df.select(name).schema[0].dataType
+        fields = [f"{name}.`{f.name}`" for f in kind.fields] if isinstance(kind, T.StructType) else [name]
+        out += [(f, down) for f in fields]
+    return out
+
+
+def _splitters(df: DataFrame, keys: list[tuple[str, bool]], per_range: int) -> list[Row]:
+    """Borders of ranges of about ``per_range`` rows in the order of the keys, from a sample of at most some ten thousand rows.
+
+    They only decide how evenly the work is dealt: any borders give the same numbers.
+    """
+    keyed = df.select(*[F.col(k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
+    n = keyed.count()
+    ranges = min(MOST_RANGES, -(-n // per_range))
+    if ranges < 2:
+        return []
+    order = [F.col(f"k{i}").desc() if down else F.col(f"k{i}") for i, (_, down) in enumerate(keys)]
+    sample = keyed.sample(fraction=min(1.0, SAMPLE * ranges / n), seed=7)
+    placed = sample.withColumn("_at", F.row_number().over(Window.orderBy(*order)))  # a sample: one task is enough
+    step = max(1, min(SAMPLE, n // ranges))
+    return placed.filter(F.col("_at") % step == 0).orderBy("_at").drop("_at").collect()
+
+
+def _range_of(df: DataFrame, keys: list[tuple[str, bool]], borders: list[Row]) -> Column:
+    """Number of borders at or before a row, found by bisection; NULLs come first, and last in a falling order."""
+    if not borders:
+        return F.lit(0)
+    kinds = [f.dataType for f in df.select(*[F.col(k).alias(f"k{i}") for i, (k, _) in enumerate(keys)]).schema]
+    table = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(f"k{i}") for i, (v, kind) in enumerate(zip(b, kinds))]) for b in borders])
+
+    def precedes(border: Column) -> Column:
+        out = F.lit(False)
+        for i, (name, down) in reversed(list(enumerate(keys))):
+            c, v = F.col(name), border[f"k{i}"]
+            first = (c.isNotNull() & v.isNull()) | F.coalesce(c > v, F.lit(False)) if down else (
+                (c.isNull() & v.isNotNull()) | F.coalesce(c < v, F.lit(False)))
+            out = first | (c.eqNullSafe(v) & out)
+        return out
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        lower = precedes(F.element_at(table, middle + 1))
+        open_ = state["low"] < state["high"]
+        return F.struct(F.when(open_ & ~lower, middle + 1).otherwise(state["low"]).alias("low"),
+                        F.when(open_ & lower, middle).otherwise(state["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high")), halve, lambda s: s["low"])
+
+
+def _placed(df: DataFrame, part: Column, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_numbering_part`` and their place ``_numbering_local`` in it (per group), and the sizes ``_numbering_n`` of all parts.
+
+    Both come from one shuffle: each asks for all columns, so that neither is cut down to its own.  Should the shuffle run
+    twice, the result is the same, because parts follow from the rows' values.
+    """
+    rows = df.withColumn("_numbering_part", part).repartition("_numbering_part")
+    whole = F.xxhash64(*[named(c) for c in df.columns])
+    sizes = rows.groupBy(*keys, "_numbering_part").agg(F.count("*").alias("_numbering_n"), F.max(whole).alias("_numbering_all")).filter("_numbering_all IS NOT NULL").drop("_numbering_all")
+    w = Window.partitionBy(*keys, "_numbering_part").orderBy(*order)
+    local = rows.withColumns({"_numbering_local": F.row_number().over(w), "_numbering_all": F.max(whole).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return local.filter("_numbering_all IS NOT NULL").drop("_numbering_all"), sizes
+
 
-    Order by columns, not by costly expressions: a sort computes its keys anew for every comparison.
+def dense_number(df: DataFrame, order_by: Sequence[SortKey], out: str, partition_by: Sequence[str] = (),
+                 per_range: int = PER_RANGE) -> DataFrame:
+    """1, 2, 3, ... in the given (unique) order, over the table or per group, without a one-task window.
 
-    The rows are range-sorted once, so each partition holds a run of consecutive rows, however large one group is.  A
-    row's number is its place in the partition plus the sizes of the same group's runs before it.  The sorted rows are
-    checkpointed because both uses must see the same partition borders, also after an executor is lost.
+    ``order_by`` holds column names, or pairs of a name and whether it falls.  The order is cut into ranges at sampled
+    borders, written into the plan as values, so a row's range is the same whenever and wherever it is computed: no copy
+    of the rows is kept, and a lost executor's rows come back to the same places.  A row's number is its place in its range
+    plus the sizes of the same group's ranges before it, so one group may own most rows.
     """
-    ensure_checkpoints(df.sparkSession)
-    keys = list(partition_by)
-    placed = df.orderBy(*keys, *order_by).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    placed = placed.withColumn("_run", F.shiftright("_at", PARTITION_BITS))
-    runs = placed.groupBy(*keys, "_run").agg(F.count("*").alias("_n"), F.min("_at").alias("_start"))
-    # one row per partition and group: small, so the running total may use a plain window
-    before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = join_same(placed, offsets, [*keys, "_run"])
-    return numbered.withColumn(out, F.col("_at") - F.col("_start") + F.col("_before") + 1).drop(
-        "_at", "_run", "_start", "_before"
-    )
+    groups = list(partition_by)
+    keys = _plain_keys(df, [*groups, *order_by])
+    borders = _splitters(df, keys, per_range)
+    order = [F.col(k).desc() if down else F.col(k) for k, down in keys[len(groups):]]
+    local, sizes = _placed(df, _range_of(df, keys, borders), groups, order)
+    # one row per range and group, so the running total may use a plain window
+    before = Window.partitionBy(*groups).orderBy("_numbering_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_numbering_before", F.coalesce(F.sum("_numbering_n").over(before), F.lit(0))).drop("_numbering_n")
+    if groups:
+        numbered = join_same(local, offsets, [*groups, "_numbering_part"])
+    else:
+        numbered = local.join(F.broadcast(offsets), "_numbering_part")  # one row per range, at most MOST_RANGES + 1
+    return numbered.select(*[named(c) for c in df.columns], (F.col("_numbering_local") + F.col("_numbering_before")).alias(out))
 
 
 def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 18) -> DataFrame:
     """1, 2, 3, ... in the order of a unique whole-number id.
 
-    Ids are cut into blocks of ``width``, so no block can hold more than ``width`` rows; block sizes come from a
-    map-side combined count.  Sparse ids make as many blocks as rows, so blocks are summed within ranges of ``RANGE``
-    blocks first; the only whole-table window runs over one row per range.
+    Ids are cut into blocks of ``width``, so no block can hold more than ``width`` rows; block sizes and rows come from one
+    shuffle of the input.  Sparse ids make as many blocks as rows, so blocks are summed within ranges of ``RANGE`` blocks
+    first; the only whole-table window runs over one row per range.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(id_col) / width))
-    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_range", F.floor(F.col("_block") / RANGE))
-    inside = Window.partitionBy("_range").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_sum")).select(
-        "_range", F.coalesce(F.sum("_sum").over(above), F.lit(0)).alias("_above"))
-    within = sizes.select("_block", "_range", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_inside"))
-    offsets = join_same(within, ranges, ["_range"]).select("_block", (F.col("_inside") + F.col("_above")).alias("_before"))
-    local = blocked.withColumn("_local", F.row_number().over(Window.partitionBy("_block").orderBy(id_col)))
-    return join_same(local, offsets, ["_block"]).withColumn(out, F.col("_local") + F.col("_before")).drop(
-        "_block", "_local", "_before"
-    )
+    local, sizes = _placed(df, F.coalesce(F.floor(F.col(id_col) / width), F.lit(NO_TIME)), [], [F.col(id_col)])
+    sizes = sizes.withColumn("_numbering_range", F.floor(F.col("_numbering_part") / RANGE))
+    inside = Window.partitionBy("_numbering_range").orderBy("_numbering_part").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("_numbering_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("_numbering_range").agg(F.sum("_numbering_n").alias("_numbering_sum")).select(
+        "_numbering_range", F.coalesce(F.sum("_numbering_sum").over(above), F.lit(0)).alias("_numbering_above"))
+    within = sizes.select("_numbering_part", "_numbering_range", F.coalesce(F.sum("_numbering_n").over(inside), F.lit(0)).alias("_numbering_inside"))
+    offsets = within.join(ranges, "_numbering_range").select("_numbering_part", (F.col("_numbering_inside") + F.col("_numbering_above")).alias("_numbering_before"))
+    return local.join(offsets, "_numbering_part").select(*[named(c) for c in df.columns], (F.col("_numbering_local") + F.col("_numbering_before")).alias(out))
 
 
 def time_chunk(ts: str, seconds: int) -> Column:
@@ -75,9 +144,6 @@ def time_chunk(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
-NO_TIME = -(2 ** 62)  # a row without a time comes before all others
-
-
 def after_last(df: DataFrame, known: DataFrame, key: str, at: str, id_col: str, chunk: Column) -> DataFrame:
     """Add ``us`` (the time as a number) and ``slice``, and leave out rows at or before the last one known of their key.
 

@@ -78,6 +78,16 @@ def pair_rows(aligned: DataFrame, stores: Sequence[str], mode: str = "baseline")
     return out.filter(F.col("b").isNotNull() | F.col("o").isNotNull())
 
 
+def _differs(b: Column, o: Column, field: str, numeric: bool, tolerance: float, ignore_case: bool) -> Column:
+    """Whether two records differ in a field; never NULL."""
+    if not numeric:  # equal cells are settled without normalising them
+        raw_b, raw_o = blank_if_null(b[field]), blank_if_null(o[field])
+        return (raw_b != raw_o) & (text(raw_b, ignore_case) != text(raw_o, ignore_case))
+    nb, no = b[_parsed(field)], o[_parsed(field)]
+    far = F.coalesce(F.abs(nb - no) > F.lit(tolerance).cast("decimal(37,9)"), F.lit(False))
+    return (nb.isNull() != no.isNull()) | far
+
+
 def field_diff(field: str, numeric: bool, tolerance: float = 0.01, ignore_case: bool = False) -> Column:
     """NULL when the two values agree, else ``struct(field, kind, base, other, delta, pct)``."""
     raw_b, raw_o = F.col("b")[field], F.col("o")[field]
@@ -123,15 +133,24 @@ def detail(pairs: DataFrame, fields: Sequence[str], numeric: Sequence[str] = (),
     return diffs(pairs, fields, numeric, tolerance, ignore_case).unionByName(one_sided(pairs, title))
 
 
-def summary(pairs: DataFrame, fields: Sequence[str], numeric: Sequence[str] = (), tolerance: float = 0.01,
-            ignore_case: bool = False) -> DataFrame:
-    """Sizes, differing keys and differences per field for each pair, in one aggregation over the aligned keys."""
-    has_b, has_o = F.col("b").isNotNull(), F.col("o").isNotNull()
-    both = has_b & has_o
-    hits = {f: F.coalesce(both & field_diff(f, f in numeric, tolerance, ignore_case).isNotNull(), F.lit(False))
-            for f in fields}
-    flags = pairs.select("base_store", "other_store", has_b.alias("has_b"), has_o.alias("has_o"),
-                         *[h.alias(f"d_{f}") for f, h in hits.items()])
+def pair_flags(aligned: DataFrame, stores: Sequence[str], fields: Sequence[str], numeric: Sequence[str] = (), mode: str = "baseline",
+               tolerance: float = 0.01, ignore_case: bool = False) -> DataFrame:
+    """One row of flags per key and compared pair: which side has the key, and for each field whether the two differ.
+
+    The records are compared where they stand side by side, so no record is copied for the pairs it belongs to.
+    """
+    def flags(i: int, j: int) -> Column:
+        b, o = F.col(_column(i)), F.col(_column(j))
+        both = b.isNotNull() & o.isNotNull()
+        return F.struct(F.lit(stores[i]).alias("base_store"), F.lit(stores[j]).alias("other_store"), b.isNotNull().alias("has_b"), o.isNotNull().alias("has_o"),
+                        *[(both & _differs(b, o, f, f in numeric, tolerance, ignore_case)).alias(f"d_{f}") for f in fields])
+
+    pairs = F.array(*[flags(i, j) for i, j in store_pairs(stores, mode)])
+    return aligned.select(F.inline(pairs)).filter("has_b OR has_o")
+
+
+def summary(flags: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Sizes, differing keys and differences per field for each pair of :func:`pair_flags`, in one aggregation."""
     n_diff = sum((F.col(f"d_{f}").cast("int") for f in fields), F.lit(0))
     flags = flags.withColumn("_n", n_diff)
     count = lambda c: F.count_if(c)

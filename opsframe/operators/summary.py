@@ -64,7 +64,7 @@ def number_mixed(df: DataFrame, by: str, order_by: str, out: str, descending: bo
                  locale: str | None = None) -> DataFrame:
     """Position of every row in the order of :func:`sort_mixed`."""
     keyed = with_sort_keys(df, by, locale)
-    return dense_number(keyed, [*sort_order(descending), F.col(order_by).asc()], out).drop(*SORT_KEYS)
+    return dense_number(keyed, [*[(k, descending) for k in SORT_KEYS], order_by], out).drop(*SORT_KEYS)
 
 
 def bounded_sample(df: DataFrame, order_by: str, n: int) -> tuple[DataFrame, DataFrame]:

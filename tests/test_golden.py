@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opsframe.functions import normalize
@@ -123,8 +124,9 @@ def test_reconcile(spark):
     fields, numeric = ["price", "stock", "title", "status"], ["price", "stock"]
     tables = stores(spark)
     both = {k: tables[k] for k in "AB"}
-    pairs = reconcile.pair_rows(reconcile.align(reconcile.tag_stores(both, ["sku", *fields], "place"), "sku", fields, "AB", numeric), "AB")
-    s = reconcile.summary(pairs, fields, numeric).first()
+    aligned = reconcile.align(reconcile.tag_stores(both, ["sku", *fields], "place"), "sku", fields, "AB", numeric)
+    pairs = reconcile.pair_rows(aligned, "AB")
+    s = reconcile.summary(reconcile.pair_flags(aligned, "AB", fields, numeric), fields).first()
     assert (s.base_keys, s.other_keys, s.common_keys, s.base_only, s.other_only) == (40, 39, 35, 5, 4)
     assert (s.n_diffs, s.diff_keys, s.rate_pct) == (14, 14, 40.0)
     assert (s.diff_price, s.diff_stock, s.diff_title, s.diff_status) == (7, 4, 2, 1)
@@ -137,8 +139,8 @@ def test_reconcile(spark):
     assert [(d.key, d.n_extra) for d in dedupe.duplicate_keys(tables["A"], "sku", "place").collect()] == [("S021", 1)]
     assert quality.split_missing_key(tables["A"], "sku")[1].count() == 1
     tagged = reconcile.tag_stores(tables, ["sku", *fields], "place")
-    three = reconcile.pair_rows(reconcile.align(tagged, "sku", fields, "ABC", numeric), "ABC", "all_pairs")
-    assert reconcile.summary(three, fields, numeric).count() == 3
+    three = reconcile.pair_flags(reconcile.align(tagged, "sku", fields, "ABC", numeric), "ABC", fields, numeric, "all_pairs")
+    assert reconcile.summary(three, fields).count() == 3
 
 
 def test_web_table(spark):
@@ -214,6 +216,25 @@ def test_dense_numbers(spark):
         assert [r.n for r in sorted((r for r in grouped if r.g == g), key=lambda r: r.path)] == list(range(1, 1 + sum(r.g == g for r in grouped)))
 
 
+def test_ranges_of_any_order(spark):
+    """Small ranges, NULLs, falling and mixed orders, structs and collated text against a plain window."""
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 50, None if i % 11 == 0 else f"t{(i * 13) % 30}", i % 3 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, a int, b string, c boolean").withColumn("s", F.struct("a", "b")).withColumn("z", F.collate("b", "zh")).repartition(7)
+    for keys, groups in (([("a", True), "id"], []), (["b", ("a", True), ("id", True)], []), (["s", "id"], ["c"]), ([("z", True), "id"], ["a"]), (["id"], ["b", "c"])):
+        order = [F.col(k[0]).desc() if isinstance(k, tuple) else F.col(k) for k in keys]
+        both = dense_number(df, keys, "n", groups, per_range=64).withColumn("m", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+        assert both.count() == 2000 and both.filter("n <> m").count() == 0, keys
+    assert dense_number(df.limit(0), ["id"], "n").count() == 0
+
+
+def test_numbering_reads_its_input_once(spark):
+    df = spark.range(0, 5000, 3).withColumn("v", F.col("id") * 2)
+    numbered = dense_number_by_id(df.filter("v % 5 <> 1"), "id", "n", width=256)
+    numbered.collect()
+    final = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final and "RDDScan" not in final  # no checkpoint, one shuffle of the rows
+
+
 def test_inventory(spark):
     files = [("照片/DSC_0001.jpg", "photo-a-content"), ("照片/DSC_0002.jpg", "photo-b-content"), ("照片/DSC_0001_副本.jpg", "photo-a-content"),
              ("照片/logo.PNG", "logo-content"), ("合同/合同-张三.docx", "contract-a-content"), ("合同/扫描件.pdf", "scanned-pdf-content"),

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from opsframe.streaming import health, prices
+from opsframe.streaming import health, ingest, prices
 from opsframe.streaming.store import KeyStore
 
 DAY = dt.datetime(2024, 5, 1)
@@ -114,3 +114,29 @@ def test_store_reads_touched_buckets_only(spark, tmp_path):
     part = store.read(1, buckets)
     assert 0 < part.count() < 50 and part.where("k = 'k7'").count() == 1
     assert store.read(0).count() == 0 and store.read(1).count() == 50 == store.latest().count()
+
+
+def test_once_per_key_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    """Keys come again in later batches, also after their first row's part is far behind; a repeated batch changes nothing."""
+    schema = "id long, phone string, at timestamp, reason string"
+
+    def batch(rows):
+        return spark.createDataFrame([(i, p, at(m), "" if p.strip() else "no phone") for i, p, m in rows], schema).repartition(3)
+
+    sink = f"{tmp_path}/out"
+    write = ingest.once_writer(sink, ["phone"], ["id"], at="at", late_days=10, buckets=8)
+    day = 24 * 60
+    batches = [[(1, "a", 0), (2, " a ", 1), (3, "b", 2), (4, "", 3)], [(5, "a", day), (6, "c", day)], [(7, "c", 2 * day), (8, "b", 2 * day), (9, "d", 2 * day)],
+               [(10, "d", 13 * day), (11, "a", 13 * day)]]  # "d" and "c" were last written 11 days before, "a" longer
+    for n, rows in enumerate(batches):
+        write(batch(rows), n)
+    write(batch(batches[3]), 3)
+    got = spark.read.parquet(sink)
+    assert sorted(r.id for r in got.filter("reason = ''").collect()) == [1, 3, 6, 9, 10, 11]
+    assert [r.id for r in got.filter("reason <> ''").collect()] == [4]
+    read = []
+    plain = KeyStore.read
+    monkeypatch.setattr(KeyStore, "read", lambda self, batch_id, buckets=None: read.append(buckets) or plain(self, batch_id, buckets))
+    write(batch([(12, "zz", 14 * day)]), 4)
+    assert [len(b) for b in read] == [1]
+    assert not any("/batch=" in f for f in spark.read.parquet(f"{sink}-keys").inputFiles())
