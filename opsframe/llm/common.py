@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,16 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def own_names(docs: DataFrame, known: Iterable[str]) -> DataFrame:
+    """The same columns in the same order, those not among ``known`` under names of their place: they clash with nothing.
+
+    ``toDF(*docs.columns)`` gives the names back.
+    """
+    known = set(known)
+    first = {c: i for i, c in reversed(list(enumerate(docs.columns)))}
+    return docs.toDF(*[c if c in known and first[c] == i else f"other column {i}" for i, c in enumerate(docs.columns)])
+
+
 def bucket(id_col: str, buckets: int) -> Column:
     """crc32 of an id written as text, modulo ``buckets``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % buckets

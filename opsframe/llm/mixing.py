@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import WORD, keep, small_side
+from opsframe.llm.common import WORD, keep, own_names, small_side
+from opsframe.operators.order import dense_number
 
 #: Weights in turn of the sources by code point, and the mix's size as a share of all sizes.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -101,22 +102,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix itself: each document as often as it is taken, all columns as they were.
+    """The mix itself: each document as often as it is taken, all columns as they were, whatever their names.
 
     Rows that share an id (or have none) are taken as often as all of them together are, evenly, the first by hash once
-    more where that does not come out even.
+    more where that does not come out even; they are numbered in ranges, so any number of them may share an id.  Null
+    and empty texts, null sources and empty tables are as :func:`mix` has them.
     """
-    copies = keep(mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")), "copies")
-    same = F.col(parameters.get("id_col", "doc_id")).cast("long").eqNullSafe(F.col("_id"))
+    named = {k: parameters.get(k, k.removesuffix("_col")) for k in ("text_col", "source_col")}
+    ident = parameters.get("id_col", "doc_id")
+    rows = own_names(docs, [ident, *named.values()])
+    copies = keep(mix(rows, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")), "copies")
+    same = F.col(ident).cast("long").eqNullSafe(F.col("_id"))
     taken = copies.where("_all > 0").withColumnRenamed("doc_id", "_id")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in rows.columns]
     times = F.floor(F.col("_all") / F.col("_rows")).cast("int")
-    out = docs.join(small_side(taken, copies.count()), same).where(times > 0).withColumn(
+    out = rows.join(small_side(taken, copies.count()), same).where(times > 0).withColumn(
         "_turn", F.explode(F.sequence(F.lit(1), times))).select(*columns)
     uneven = taken.where("_all % _rows > 0")
     count = uneven.count()
-    if not count:
-        return out
-    place = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64(*columns)))
-    rest = docs.join(small_side(uneven, count), same).withColumn("_place", place).where("_place <= _all % _rows")
-    return out.unionByName(rest.select(*columns))
+    if count:
+        left = rows.join(small_side(uneven, count), same).withColumn("_hash", F.xxhash64(*columns))
+        rest = dense_number(keep(left, "uneven"), ["_hash"], "_place", ["_id"]).where("_place <= _all % _rows")
+        out = out.unionByName(rest.select(*columns))
+    return out.toDF(*docs.columns)

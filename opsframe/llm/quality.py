@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.common import BLANKS, bucket, keep, small_side
+from opsframe.functions.text import named
+from opsframe.llm.common import BLANKS, bucket, keep, own_names, small_side
 
 #: Upper limits of the bins of each feature (the last bin is open).
 BINS = {
@@ -128,15 +129,16 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     never learned from.  A null or empty text is one with no words; null hosts and paths are a site and a path of their
     own; null ids are scored and not learned from; contradicting labels count as bad; without labels of both kinds the
     evidence is nothing and only priors speak; repeated rows are scored each; an empty table gives no rows.
-    Existing columns of these names are replaced.
+    Existing columns of the names above are replaced; all others stay as they are, whatever their names.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
+    sited = docs.select("*", host.cast("string").alias("host of it"), path.cast("string").alias("path of it"))
+    plain = own_names(sited, ["doc_id", "text"])
+    plain = plain.toDF(*plain.columns[:-2], "host", "path")
     given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("good"))
     names = ["host", "path", "host_posterior", "path_posterior", "evidence", "quality", "kept", "held_out"]
-    plain = docs.drop(*names, "bins")
-    scored = binned(plain.withColumns({"host": host.cast("string"), "path": path.cast("string"),
-                                       "held_out": bucket("doc_id", folds) == held_fold}))
+    scored = binned(plain.withColumn("held_out", bucket("doc_id", folds) == held_fold))
     narrow = keep(scored.select("doc_id", "host", "path", "held_out", "bins"), "bins")
     train = narrow.where(~F.col("held_out")).join(given, F.col("doc_id") == F.col("_id")).select("bins", "good")
     ratios = likelihoods(train)
@@ -149,4 +151,6 @@ def quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path
     out = scored.withColumn("evidence", said).join(
         known, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left")
     score = _sigmoid(F.col("evidence") + _logit(F.col("path_posterior")))
-    return out.withColumn("quality", score).withColumn("kept", F.col("quality") >= threshold).drop("_h", "_p", "bins")
+    out = out.withColumn("quality", score).withColumn("kept", F.col("quality") >= threshold)
+    kept = [named(c).alias(given) for c, given in zip(plain.columns, docs.columns) if given not in names]
+    return out.select(*kept, *names)

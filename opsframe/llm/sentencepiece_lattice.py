@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes per block of documents whose words are listed together.
-CHUNK = 32_000_000
+CHUNK = 24_000_000
 #: Words put together at once.
 SLICE = 500_000
 #: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
@@ -252,7 +252,17 @@ def _unpress(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
 
 
-BLOCK_ROW = "block bigint, texts binary, cuts binary, parts binary"
+def _press_numbers(values: np.ndarray) -> bytes:
+    """Whole numbers with their bytes of like weight side by side, which leaves little of the upper ones."""
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpress_numbers(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+BLOCK_ROW = "block bigint, texts binary, sequence binary, cuts binary, n_cuts binary, parts binary"
 
 
 class Words:
@@ -287,29 +297,44 @@ def blocks_of_words(rows: DataFrame, pieces: Pieces, size: int) -> DataFrame:
         part, made, held = TaskContext.get().partitionId(), 0, 0
         words = Words(pieces)
         numbers: dict[str, int] = {}
-        doc_ids, odd, sequence, ends = [], [], array("i"), [0]
+        doc_ids, odd, sequence, counts = [], [], array("i"), []
 
         def closed() -> pa.RecordBatch:
-            texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": pa.array(odd, pa.bool_()),
-                              "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(sequence, np.int32)))})
+            keys, used = list(numbers), np.frombuffer(sequence, np.int32)
+            numbers.clear()
+            # the commonest words get the smallest numbers, parts stand in order: both leave less to move
+            order = np.argsort(-np.bincount(used, minlength=len(keys)), kind="stable")
+            rank = np.empty(len(keys), np.int32)
+            rank[order] = np.arange(len(keys), dtype=np.int32)
             parts: dict[str, int] = {}
-            cuts = [[parts.setdefault(p, len(parts)) for p in words.parts(key)] for key in numbers]
-            tables = [texts, pa.table({"cut": pa.array(cuts, pa.list_(pa.int32()))}), pa.table({"part": pa.array(list(parts), pa.string())})]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), *(pa.array([_press(t)]) for t in tables)],
-                                              names=["block", "texts", "cuts", "parts"])
+            cuts, n_cuts = array("i"), array("i")
+            for i in order.tolist():
+                own = words.parts(keys[i])
+                cuts.extend([parts.setdefault(p, len(parts)) for p in own])
+                n_cuts.append(len(own))
+            del keys
+            names = sorted(parts)
+            place = np.empty(len(names), np.int32)
+            place[[parts[p] for p in names]] = np.arange(len(names), dtype=np.int32)
+            texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": pa.array(odd, pa.bool_()), "n": pa.array(counts, pa.int64())})
+            blobs = [_press(texts), _press_numbers(rank[used]), _press_numbers(place[np.frombuffer(cuts, np.int32)]),
+                     _press_numbers(np.frombuffer(n_cuts, np.int32)), _press(pa.table({"part": pa.array(names, pa.string())}))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), *(pa.array([b], pa.binary()) for b in blobs)],
+                                              names=["block", "texts", "sequence", "cuts", "n_cuts", "parts"])
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py()
-                sequence.extend([numbers.setdefault(w, len(numbers)) for w in words.keys(text)])
+                found = words.keys(text)
+                sequence.extend([numbers.setdefault(w, len(numbers)) for w in found])
                 doc_ids.append(doc_id)
                 odd.append(BLANK in text)
-                ends.append(len(sequence))
+                counts.append(len(found))
                 held += len(text)
                 if held >= size:
                     yield closed()
-                    made, held, numbers = made + 1, 0, {}
-                    doc_ids, odd, sequence, ends = [], [], array("i"), [0]
+                    made, held = made + 1, 0
+                    doc_ids, odd, sequence, counts = [], [], array("i"), []
         if doc_ids:
             yield closed()
 
@@ -349,8 +374,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         good = _decoded_equal(parts, flat, length, pieces)
         del parts
         # ids of every word, from those of its parts
-        cuts = _unpress(texts.column("cuts")[0].as_py()).column(0).combine_chunks()
-        of_word, n_parts = cuts.values.to_numpy(), np.diff(cuts.offsets.to_numpy()).astype(np.int64)
+        of_word = _unpress_numbers(texts.column("cuts")[0].as_py())
+        n_parts = _unpress_numbers(texts.column("n_cuts")[0].as_py()).astype(np.int64)
         start = np.cumsum(length) - length
         flat = gathered(flat, start[of_word], length[of_word])
         good = _sums((~good[of_word]).astype(np.int64), n_parts) == 0
@@ -358,8 +383,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         start = np.cumsum(length) - length
         own = _unpress(texts.column("texts")[0].as_py())
         odd = own.column("odd").to_numpy(zero_copy_only=False).astype(bool)
-        lists = own.column("words").combine_chunks()
-        sequence, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sequence = _unpress_numbers(texts.column("sequence")[0].as_py())
+        ends = np.concatenate([[0], np.cumsum(own.column("n").to_numpy())])
         out, low = [], 0
         while low < len(odd):  # some texts at a time
             high = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE, side="right")) - 1)

@@ -78,6 +78,20 @@ def test_stages_keep_columns_and_decide(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash", "mixing", "sentencepiece"]
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    """Names the operators use themselves, dots, and no ids at all."""
+    docs = queries.documents(spark, sf)
+    names = ["_id", "_rows", "_all", "_h", "_p", "host", "path", "bins", "a.b", "kept", "quality", "_text", "_sha", "_turn", "copies", "held_out", "size"]
+    odd = spark.createDataFrame([(None, "no id at all", "en", "s", 1)] * 3 + [(5, None, None, None, None)] * 2, docs.schema)
+    wide = docs.union(odd).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        first = got.first()
+        assert [first[n] for n in names] == [f"own {n}" for n in names] and got.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, sf).count() == wide.count()
+
+
 def test_stages_take_empty_tables(spark, sf):
     docs = queries.documents(spark, sf).limit(0)
     for _, stage in corpus_pipeline.STAGES:
