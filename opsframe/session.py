@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Settings that change results: UTC calendar days, the legacy Java charsets used by GBK exports, last of repeated JSON keys."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -35,15 +38,18 @@ def local_session(app: str = "opsframe", cores: str = "8", **conf: str) -> Spark
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster a machine-local path would be lost with its
-    executor.
+    Only a local master may fall back to a temporary folder, one for each application: on a cluster a machine-local path
+    would be lost with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="opsframe-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="opsframe-")
+    return _LOCAL[app]
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
