@@ -15,9 +15,13 @@ given("moments", """
 SELECT event_id, CASE event_id % 9 WHEN 0 THEN CAST(s AS STRING) WHEN 1 THEN CAST(s * 1000 + 123 AS STRING)
   WHEN 2 THEN ' ' || substr(CAST(s AS STRING), 1, 1) || ',' || substr(CAST(s AS STRING), 2, 3) || '_' || substr(CAST(s AS STRING), 5, 3) || ' ' || substr(CAST(s AS STRING), 8, 3)
   WHEN 3 THEN '-' || CAST(s AS STRING) WHEN 4 THEN '+' || CAST(s AS STRING) WHEN 5 THEN 'abc' WHEN 6 THEN ''
-  WHEN 7 THEN '2024-0' || CAST(1 + event_id % 8 AS STRING) || '-' || lpad(CAST(1 + event_id % 31 AS STRING), 2, '0') || ' ' || CAST(event_id % 26 AS STRING) || ':05:09'
-  ELSE '2023/' || CAST(1 + event_id % 12 AS STRING) || '/' || CAST(1 + event_id % 31 AS STRING) || 'T7:' || CAST(event_id % 60 AS STRING) END AS moment
-FROM (SELECT event_id, 1704067200 + event_id * 137 AS s FROM events) q""")
+  WHEN 7 THEN CAST(y AS STRING) || '-' || lpad(CAST(m AS STRING), 2, '0') || '-' || lpad(CAST(1 + event_id % 31 AS STRING), 2, '0') || ' ' || CAST(event_id % 26 AS STRING) || ':05:09'
+  ELSE CAST(y AS STRING) || '/' || CAST(1 + event_id % 12 AS STRING) || '/' || CAST(d AS STRING) || 'T7:' || CAST(i AS STRING) END AS moment
+FROM (SELECT *, (CAST(d + FLOOR((153 * mm + 2) / 5) + 365 * yy + FLOOR(yy / 4) - FLOOR(yy / 100) + FLOOR(yy / 400) AS BIGINT) - 32045 - 2440588) * 86400
+    + h * 3600 + i * 60 + c AS s
+  FROM (SELECT *, y + 4800 - a AS yy, m + 12 * a - 3 AS mm FROM (
+    SELECT event_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m, CAST(day(ts) AS BIGINT) AS d, CAST(hour(ts) AS BIGINT) AS h,
+      CAST(minute(ts) AS BIGINT) AS i, CAST(second(ts) AS BIGINT) AS c, CAST(FLOOR((14 - month(ts)) / 12) AS BIGINT) AS a FROM events) p) q) r""")
 
 
 def _epoch_sql(x: str) -> str:
