@@ -80,7 +80,8 @@ def _range_of(df: DataFrame, keys: list[tuple[str, bool]], borders: list[Row]) -
                         F.when(open_ & lower, middle).otherwise(state["high"]).alias("high"))
 
     steps = F.sequence(F.lit(1), F.lit(len(borders).bit_length()))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high")), halve, lambda s: s["low"])
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high")), halve, lambda s: s["low"])
+    return F.coalesce(found, F.lit(0))  # never NULL, or a join's test for it would be pushed below the keys and compute them at each step
 
 
 def _placed(df: DataFrame, part: Column, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
