@@ -4,10 +4,13 @@ A token (a word closed by a blank, or the end mark) is a string of bytes, and ev
 the Huffman tree of the byte before it.  Four predictors count the outcomes of decisions in hashed contexts over the
 whole training text: the last byte, the last two, the last three, and the whole word so far.  Their log odds are
 combined by weights that a gate picks (depth of the decision, and how often the longest context was seen), fitted by
-Newton steps whose sums go over the whole training text.  As all contexts lie inside the token, the walk is made once per distinct token of the corpus, not once per
-occurrence.  Along each text the result is refined adaptively: two sharpenings of the mixed odds, the token's own
-frequency, and its recency in the text share each token's probability, and the shares follow how well each has done so
-far.  All of these are probabilities over byte strings, so the score is one too: total bits, hence bits per byte.
+Newton steps whose sums go over the whole training text.  The contexts of bytes are those of the running text: they reach
+over the blank into the token before.  What they see of it changes only the first three bytes of a token, so a token is
+walked in two entries: its head (three bytes of running text, then its first three) and its rest, each once per distinct
+entry of the corpus, not once per occurrence.  Along each text the result is refined adaptively: two sharpenings of the
+mixed odds, the token's own frequency, its recency in the text, and what followed the same token before in the text share
+each token's probability, and the shares follow how well each has done so far.  All of these are probabilities over byte
+strings, so the score is one too: total bits, hence bits per byte.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ GATE_DEPTH, GATE_SEEN = 6, (2, 8, 40, 400)
 SHARPEN = (0.85, 1.1)
 #: Starting shares of the sharpenings, the frequency and the recency; tokens per adaptive step; how fast shares move.
 SHARES, STEP, MOVE = (0.1, 0.1, 0.75, 0.05), 32, 0.15
+#: The same with a share for what followed the token before.
+FOLLOWED = (0.1, 0.1, 0.7, 0.05, 0.05)
 #: Passes over the training tokens that fit the weights, at most, and the share of the loss that is too little for another one.
 ROUNDS, ENOUGH = 8, 1e-4
 #: Text bytes per group of documents scored together.
@@ -38,8 +44,9 @@ CHUNK = 32_000_000
 #: Bytes worked on at once.
 PIECE = 1 << 20
 END = b"\n"
-#: Stands before a token; a zero byte inside a word only shortens the context of what follows it.
-PAD = b"\x00\x00\x00"
+#: Bytes of an entry that are only the context of its others, and what stands there before a text's first token.
+LEAD = 3
+START = b" " * LEAD
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -101,26 +108,64 @@ def make_codes(pairs: np.ndarray) -> Codes:
     return Codes(length, nodes, bits)
 
 
-def lay_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of tokens, each behind a pad and closed by a blank; the places to predict; the token of each place."""
-    parts = [PAD + w if w == END else PAD + w + b" " for w in words]
-    data = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+def closed(word: bytes) -> bytes:
+    """A token as it is written: a word ends in a blank."""
+    return word if word == END else word + b" "
+
+
+def edges(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, as halves of a head's key: what the next token sees of it, and its own first bytes."""
+    data = np.frombuffer(b"".join([b"  " + w + b"  " for w in words]), np.uint8).astype(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 4)
+    begins = ends - np.diff(ends, prepend=0)
+    after = (data[ends - 4] << 16 | data[ends - 3] << 8 | 32) << (8 * LEAD)
+    first = data[begins + 2] << 16 | data[begins + 3] << 8 | data[begins + 4]
+    return after, first
+
+
+def head_keys(ids: np.ndarray, begins: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys of the heads of running tokens (places in ``after`` and ``first``); texts begin at ``begins``."""
+    before = np.empty(len(ids), np.int64)
+    before[1:] = after[ids[:-1]]
+    before[begins] = int.from_bytes(START, "big") << (8 * LEAD)
+    return before | first[ids]
+
+
+def head_entry(key: int) -> bytes:
+    """Bytes of a head: its context, then the token's first bytes, no further than the token's end."""
+    data = key.to_bytes(2 * LEAD, "big")
+    if data[LEAD:LEAD + 1] == END:
+        return data[:LEAD + 1]
+    blank = data.find(b" ", LEAD)
+    return data if blank < 0 else data[:blank + 1]
+
+
+def head_key(entry: bytes) -> int:
+    return int.from_bytes(entry.ljust(2 * LEAD), "big")
+
+
+def lay_out(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of entries, each behind a zero; the places to predict, all but an entry's first three; the entry of each place."""
+    data = np.frombuffer(b"".join([b"\x00" + e for e in entries]), np.uint8)
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) + 1
+    owner = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
     begins = np.cumsum(sizes) - sizes
-    places = np.flatnonzero(np.arange(len(data)) - begins[owner] >= len(PAD))
+    places = np.flatnonzero(np.arange(len(data)) - begins[owner] > LEAD)
     return data, places, owner[places]
 
 
 def decisions(data: np.ndarray, places: np.ndarray, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], int]]:
-    """For each depth: the places (as numbers into ``places``) that decide there, the outcomes, the predictors' slots."""
+    """For each depth: the places (as numbers into ``places``) that decide there, the outcomes, the predictors' slots.
+
+    A word begins behind a blank, or behind the zero before an entry; a zero inside a word only shortens its context.
+    """
     wide = data.astype(np.uint32)
     one, two, three = wide[places - 1], wide[places - 2], wide[places - 3]
     pair = (one << np.uint32(8) | wide[places]).astype(np.int32)
     power = np.cumprod(np.full(len(data), 0x01000193, np.uint32), dtype=np.uint32)
     inverse = np.cumprod(np.full(len(data), pow(0x01000193, -1, 1 << 32), np.uint32), dtype=np.uint32)
     total = np.cumsum((wide + np.uint32(1)) * power, dtype=np.uint32)
-    start = np.maximum.accumulate(np.where(data == PAD[0], np.arange(len(data)), 0))[places - 1]
+    start = np.maximum.accumulate(np.where((data == 0) | (data == 32), np.arange(len(data)), 0))[places - 1]
     word = (total[places - 1] - total[start]) * inverse[start]
     h2 = one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77)
     h3 = h2 + three * np.uint32(0xC2B2AE3D)
@@ -161,10 +206,14 @@ class Model:
     weights: np.ndarray
 
     def costs(self, words: list[bytes]) -> np.ndarray:
-        """Natural-log cost of each token (row) under each sharpening."""
-        out = np.zeros((len(words), len(SHARPEN)))
-        for part in pieces(words):
-            data, places, owner = lay_out(words[part])
+        """Natural-log cost of each token (row), as a text's first, under each sharpening."""
+        return self.entry_costs([START + closed(w) for w in words])
+
+    def entry_costs(self, entries: list[bytes]) -> np.ndarray:
+        """Natural-log cost of the bytes of each entry (row) behind its context, under each sharpening."""
+        out = np.zeros((len(entries), len(SHARPEN)))
+        for part in pieces(entries):
+            data, places, owner = lay_out(entries[part])
             for alive, bits, slots, depth in decisions(data, places, self.codes):
                 weights = self.weights[min(depth, GATE_DEPTH - 1)][self.seen[slots[-1]]]
                 z = weights[:, 4].copy()
@@ -178,14 +227,41 @@ class Model:
         return out
 
 
-def adapt(costs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def earlier(keys: np.ndarray) -> np.ndarray:
+    """How often each key came before in the array."""
+    n = len(keys)
+    bits = n.bit_length()
+    packed = np.sort(pd.factorize(keys)[0] << bits | np.arange(n))
+    ranked, order = packed >> bits, packed & (1 << bits) - 1
+    firsts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    out = np.empty(n, np.int64)
+    out[order] = np.arange(n) - np.repeat(firsts, np.diff([*firsts, n]))
+    return out
+
+
+def recall(ids: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each token among the tokens before it in its text, and among those that followed the same token there."""
+    begins = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(ids)) - begins[text]
+    before = np.empty(len(ids), np.int64)
+    before[1:] = ids[:-1]
+    before[begins] = words
+    seen = earlier(text * (words + 1) + ids)
+    led = np.zeros(len(ids), np.int64)  # the token before came so often before, and each time something followed it
+    led[1:] = seen[:-1]
+    led[begins] = 0
+    return seen / np.maximum(place, 1), earlier((text * (words + 1) + before) * (words + 1) + ids) / np.maximum(led, 1)
+
+
+def adapt(costs: np.ndarray, sizes: np.ndarray, shares: tuple[float, ...] = SHARES) -> np.ndarray:
     """Natural-log cost of texts of the given numbers of tokens.  costs: of each token (row) under each expert.
 
     Within a step of tokens the experts' shares are fixed; then they move toward what each expert has explained.
     """
     offset = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
-    share = np.tile(np.array(SHARES), (len(sizes), 1))
+    share = np.tile(np.array(shares), (len(sizes), 1))
     total = np.zeros(len(sizes))
     chance = np.exp(-costs)
     longest = int(sizes.max(initial=0))
@@ -199,7 +275,7 @@ def adapt(costs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         starts = np.cumsum(length) - length
         total[own] -= np.add.reduceat(np.log(mass), starts)
         explained = np.add.reduceat(part / mass[:, None], starts, axis=0) / length[:, None]
-        moved = (1 - MOVE) * share[own] + MOVE * (explained + 0.01) / (1 + 0.01 * len(SHARES))
+        moved = (1 - MOVE) * share[own] + MOVE * (explained + 0.01) / (1 + 0.01 * len(shares))
         share[own] = moved
     return total
 
@@ -208,14 +284,14 @@ def _seen(n: np.ndarray) -> np.ndarray:
     return np.digitize(n, GATE_SEEN).astype(np.uint8)
 
 
-def fit_sums(codes: Codes, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Per gate (depth, seen): the loss of the tokens' decisions under the weights, its falling gradient (5) and its curvature (25).
+def fit_sums(codes: Codes, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray, entries: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Per gate (depth, seen): the loss of the entries' decisions under the weights, its falling gradient (5) and its curvature (25).
 
-    Every decision weighs as often as its token occurs, and has its own outcome taken out of the counts.
+    Every decision weighs as often as its entry occurs, and has its own outcome taken out of the counts.
     """
     out = np.zeros((*weights.shape[:2], 31))
-    for part in pieces(words):
-        data, places, owner = lay_out(words[part])
+    for part in pieces(entries):
+        data, places, owner = lay_out(entries[part])
         often = counts[part].astype(np.float32)
         for alive, bits, slots, depth in decisions(data, places, codes):
             d, c = min(depth, GATE_DEPTH - 1), often[owner[alive]]
@@ -269,14 +345,14 @@ def make_model(codes: Codes, zeros: np.ndarray, ones: np.ndarray, words: list[by
                sums: Callable[[np.ndarray], np.ndarray] | None = None) -> Model:
     """Log odds of all slots, and the weights fitted on the given tokens, or by ``sums`` where they are not at hand."""
     odds = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
-    once = np.ones(len(words))
-    weights = fit(sums or (lambda w: fit_sums(codes, zeros, ones, w, words, once)))
+    entries, once = [START + closed(w) for w in words], np.ones(len(words))
+    weights = fit(sums or (lambda w: fit_sums(codes, zeros, ones, w, entries, once)))
     return Model(codes, odds, _seen(zeros + ones), weights)
 
 
 def train(totals: DataFrame) -> Model:
-    """Counts and weights over all training tokens (word, c: how often).  The tables are of fixed size."""
-    used = totals.where("c > 0").select("word", "c")
+    """Counts and weights over all training text as entries (entry, c: how often).  The tables are of fixed size."""
+    used = totals.where("c > 0").select("entry", "c")
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(65536)
@@ -305,6 +381,8 @@ def train(totals: DataFrame) -> Model:
                 occurs.append(weight[owner[alive]])
                 for k, slot in enumerate(slots):
                     own[k].append((slot - np.int32(STARTS[k])) * 2 + bits)
+            if not occurs:
+                return
             occurs = np.concatenate(occurs)
             for k, parts in enumerate(own):
                 held[2 * STARTS[k]:2 * STARTS[k + 1]] += np.bincount(np.concatenate(parts), weights=occurs, minlength=2 * SIZES[k])
@@ -354,8 +432,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
           chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text.
 
-    Counts come from the documents outside one fold.  The words of a group of documents are listed once with their
-    training counts, summed over all groups and sent back to the groups that have the word; the texts meet these lists.
+    Counts come from the documents outside one fold.  The words of a group of documents, and the heads its tokens have
+    there, are listed once with their training counts, summed over all groups and sent back to the groups that have them;
+    the texts meet these lists.
     A null text is empty: one token, the end.  Null ids count as empty text for the fold; repeated rows are learned and
     scored each; without training texts every count is zero; an empty table gives no rows; other columns are ignored.
     """
@@ -365,66 +444,71 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def list_words(table: pa.Table) -> pa.Table:
-        counts: dict[bytes, int] = {}
-        for held, text in zip(table.column("held_out").to_pylist(), table.column("text")):
-            step = 0 if held else 1
-            for w in tokens(text.as_py()):
-                counts[w] = counts.get(w, 0) + step
-            counts[END] = counts.get(END, 0) + step
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()] * len(counts), pa.int32()),
-                         "word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
-
-    words = keep(dealt.groupBy("chunk").applyInArrow(list_words, "chunk int, word binary, n long"), "chunk-words")
-    totals = keep(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    known = totals.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+        place: dict[bytes, int] = {}
+        running, sizes = [], []
+        for text in table.column("text"):
+            ids = [place.setdefault(w, len(place)) for w in tokens(text.as_py())]
+            ids.append(place.setdefault(END, len(place)))
+            running.append(np.array(ids, np.int32))
+            sizes.append(len(ids))
+        ids, sizes = np.concatenate(running), np.array(sizes)
+        learned = np.repeat(~table.column("held_out").to_numpy(), sizes)
+        which, keys = pd.factorize(head_keys(ids, np.cumsum(sizes) - sizes, *edges(list(place))))
+        n = np.concatenate([np.bincount(at[learned], minlength=size) for at, size in ((ids, len(place)), (which, len(keys)))])
+        entries = [closed(w) for w in place] + [head_entry(k) for k in keys.tolist()]
+        return pa.table({"chunk": pa.array(np.full(len(n), table.column("chunk")[0].as_py(), np.int32)), "entry": pa.array(entries, pa.binary()),
+                         "head": pa.array(np.arange(len(n)) >= len(place)), "n": pa.array(n.astype(np.int64))})
+
+    words = keep(dealt.groupBy("chunk").applyInArrow(list_words, "chunk int, entry binary, head boolean, n long"), "chunk-words")
+    totals = keep(words.groupBy("entry", "head").agg(F.sum("n").alias("c")), "words")
+    known = totals.where("NOT head").agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n_train = known["n"] or 0
     base = float(np.log10(n_train + (known["v"] or 0) + 1))
     model = train(totals)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            costs = model.costs(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(costs.tolist(), pa.list_(pa.float32()))],
-                                             names=["word", "c", "costs"])
+            costs = model.entry_costs(batch.column(0).to_pylist()).astype(np.float32)
+            offsets = np.arange(0, costs.size + 1, len(SHARPEN), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, costs.ravel())],
+                                             names=["entry", "head", "c", "costs"])
 
-    costed = totals.mapInArrow(walk, "word binary, c long, costs array<float>")
-    back = words.select("chunk", "word").join(costed, "word").select("chunk", "word", "c", "costs")
+    costed = totals.mapInArrow(walk, "entry binary, head boolean, c long, costs array<float>")
+    back = words.select("chunk", "entry", "head").join(costed, ["entry", "head"]).select("chunk", "entry", "head", "c", "costs")
 
     def score_chunk(key: tuple, texts: pa.Table, lists: pa.Table) -> pa.Table:
         if texts.num_rows == 0:
             return empty.slice(0, 0)
-        place = {w: i for i, w in enumerate(lists.column("word").to_pylist())}
-        c_of = lists.column("c").to_numpy().astype(float)
+        is_head = lists.column("head").to_numpy()
         cost_of = np.concatenate([x.flatten().to_numpy() for x in lists.column("costs").chunks]).reshape(-1, len(SHARPEN)).astype(float)
+        keys = pd.Index([head_key(e) for e in lists.column("entry").filter(lists.column("head")).to_pylist()], dtype=np.int64)
+        head_cost = cost_of[is_head]
+        own = [e if e == END else e[:-1] for e in lists.column("entry").filter(pa.array(~is_head)).to_pylist()]
+        place = {w: i for i, w in enumerate(own)}
+        after, first = edges(own)
+        length_of = np.fromiter(map(len, own), np.int64, len(own))
+        c_of, cost_of = lists.column("c").to_numpy()[~is_head].astype(float), cost_of[~is_head]
         logs_of = np.log10(c_of + 1)
         frequency = np.where(c_of > 0, -np.log(np.maximum(c_of, 1) / max(n_train, 1)), 700.0)
         n_tokens, n_known, logs, costs, sizes = [], [], [], [], []
         column = texts.column("text")
         for at in range(0, texts.num_rows, 128):
-            block, lengths, recency = [], [], []
-            for text in column.slice(at, 128).to_pylist():
-                words_of = [*tokens(text), END]
-                ids = np.array([place[w] for w in words_of])
-                order = np.argsort(ids, kind="stable")  # how often each token came before in this text
-                ranked = ids[order]
-                before = np.empty(len(ids))
-                before[order] = np.arange(len(ids)) - np.searchsorted(ranked, ranked)
-                recency.append(before / np.maximum(np.arange(len(ids)), 1))
-                block.append(ids)
-                lengths.append(len(ids))
-                n_tokens.append(len(ids))
-                n_known.append(int((c_of[ids] > 0).sum()))
-                logs.append(float(logs_of[ids].sum() - len(ids) * base))
-                sizes.append(sum(map(len, words_of)) + len(words_of) - 1)
-            ids = np.concatenate(block)
+            block = [np.array([place[w] for w in (*tokens(text), END)]) for text in column.slice(at, 128).to_pylist()]
+            lengths = np.array([len(x) for x in block])
+            ids, begins = np.concatenate(block), np.cumsum(lengths) - lengths
+            heads = keys.get_indexer(head_keys(ids, begins, after, first))
             with np.errstate(divide="ignore"):
-                recent = np.minimum(-np.log(np.concatenate(recency)), 700.0)
-            experts = np.column_stack([cost_of[ids], frequency[ids], recent])
-            costs.append(adapt(experts, np.array(lengths)))
-        cost = np.concatenate(costs)
+                recent, followed = (np.minimum(-np.log(x), 700.0) for x in recall(ids, lengths, len(own)))
+            experts = np.column_stack([cost_of[ids] + head_cost[heads], frequency[ids], recent, followed])
+            costs.append(adapt(experts, lengths, FOLLOWED))
+            n_tokens.append(lengths)
+            n_known.append(np.add.reduceat((c_of[ids] > 0).astype(np.int64), begins))
+            logs.append(np.add.reduceat(logs_of[ids], begins) - lengths * base)
+            sizes.append(np.add.reduceat(length_of[ids], begins) + lengths - 1)
+        n_tokens, n_known, logs, cost, sizes = (np.concatenate(x) for x in (n_tokens, n_known, logs, costs, sizes))
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()),
                          "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(logs, pa.float64()),
-                         "score": pa.array(-cost / np.log(10)), "bits_per_byte": pa.array(cost / np.log(2) / np.array(sizes))})
+                         "score": pa.array(-cost / np.log(10)), "bits_per_byte": pa.array(cost / np.log(2) / sizes)})
 
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
               ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]

@@ -241,3 +241,48 @@ def test_mixing_weights_are_of_least_loss():
             moved = weights.copy()
             moved[:, :, k] += move
             assert loss(moved) > least
+
+
+def test_contexts_reach_into_the_token_before():
+    """Heads and rests of tokens cost what a walk over the running text costs."""
+    rng = np.random.default_rng(4)
+    codes = mixing_lm.make_codes(rng.integers(0, 50, (256, 256)))
+    zeros, ones = rng.integers(0, 9, (2, int(mixing_lm.STARTS[-1]))).astype(np.float32)
+    model = mixing_lm.make_model(codes, zeros, ones, [])
+    for text in ["", "a", "a b cd", "the cat sat on the mat, aéx ñ", "x y z " * 3, "longer wordings entirely a"]:
+        words = [*mixing_lm.tokens(text), mixing_lm.END]
+        own = list(dict.fromkeys(words))
+        ids = np.array([own.index(w) for w in words])
+        keys = mixing_lm.head_keys(ids, np.array([0]), *mixing_lm.edges(own)).tolist()
+        heads = [mixing_lm.head_entry(k) for k in keys]
+        assert [mixing_lm.head_key(h) for h in heads] == keys
+        parts = model.entry_costs(heads).sum(axis=0) + model.entry_costs([mixing_lm.closed(w) for w in words]).sum(axis=0)
+        whole = model.entry_costs([mixing_lm.START + b"".join(mixing_lm.closed(w) for w in words)])[0]
+        assert np.allclose(parts, whole, rtol=1e-5) and (whole > 0).all()
+
+
+def test_score_knows_the_token_before(spark, docs):
+    """A word begins with the letter that the word before ends in; the same words in another order are less likely."""
+    rng = np.random.default_rng(5)
+
+    def chain(n):
+        out, last = [], "a"
+        for _ in range(n):
+            out.append(last + "".join(rng.choice(list("abcdefgh"), 4)))
+            last = out[-1][-1]
+        return out
+
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    text = chain(300)
+    other = next(i for i in range(held + 1, 3000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, " ".join(chain(300))) for i in range(300)] + [(held, " ".join(text)), (other, " ".join(sorted(text, key=lambda w: w[::-1])))]
+    got = {r.doc_id: r for r in mixing_lm.score(docs(rows)).collect()}
+    assert got[held].base_score == pytest.approx(got[other].base_score)
+    assert got[held].bits_per_byte < 0.95 * got[other].bits_per_byte
+
+
+def test_recall_of_what_followed():
+    ids = np.array([0, 1, 0, 1, 0, 2, 0, 0, 1])
+    seen, followed = mixing_lm.recall(ids, np.array([6, 3]), 3)
+    assert seen.tolist() == [0, 0, 1 / 2, 1 / 3, 2 / 4, 0, 0, 1, 0]
+    assert followed.tolist() == [0, 0, 0, 1, 1, 0, 0, 0, 0]
