@@ -20,12 +20,15 @@ SortKey = str | tuple[str, bool]
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join in which NULL keys meet each other; the keys come from the left."""
+    """Inner join in which NULL keys meet each other; the keys come from the left.
+
+    Both sides grow with the input, and sizes guessed from packed files are far too low, so neither is ever broadcast.
+    """
     names = {k: f"_same{i}" for i, k in enumerate(keys)}
     on = F.lit(True)
     for k, n in names.items():
         on = on & F.col(k).eqNullSafe(F.col(n))
-    return left.join(right.withColumnsRenamed(names), on).drop(*names.values())
+    return left.join(right.withColumnsRenamed(names).hint("merge"), on).drop(*names.values())
 
 
 def _plain_keys(df: DataFrame, order_by: Sequence[SortKey]) -> list[tuple[str, bool]]:
@@ -136,8 +139,8 @@ def dense_number_by_id(df: DataFrame, id_col: str, out: str, width: int = 1 << 1
     ranges = sizes.groupBy("_numbering_range").agg(F.sum("_numbering_n").alias("_numbering_sum")).select(
         "_numbering_range", F.coalesce(F.sum("_numbering_sum").over(above), F.lit(0)).alias("_numbering_above"))
     within = sizes.select("_numbering_part", "_numbering_range", F.coalesce(F.sum("_numbering_n").over(inside), F.lit(0)).alias("_numbering_inside"))
-    offsets = within.join(ranges, "_numbering_range").select("_numbering_part", (F.col("_numbering_inside") + F.col("_numbering_above")).alias("_numbering_before"))
-    return local.join(offsets, "_numbering_part").select(*[named(c) for c in df.columns], (F.col("_numbering_local") + F.col("_numbering_before")).alias(out))
+    offsets = within.join(ranges.hint("merge"), "_numbering_range").select("_numbering_part", (F.col("_numbering_inside") + F.col("_numbering_above")).alias("_numbering_before"))
+    return local.join(offsets.hint("merge"), "_numbering_part").select(*[named(c) for c in df.columns], (F.col("_numbering_local") + F.col("_numbering_before")).alias(out))
 
 
 def time_chunk(ts: str, seconds: int) -> Column:
@@ -194,7 +197,7 @@ def attach_by_key(df: DataFrame, lookup: DataFrame, key: str, rows_col: str, spr
     """Join a one-row-per-key lookup whose ``rows_col`` tells how many rows of ``df`` carry the key.
 
     Keys above ``hot_rows`` are salted.  There can be at most ``rows / hot_rows`` of them, which bounds the broadcast
-    list of hot keys; every other key takes the ordinary join.
+    list of hot keys; every other key takes the ordinary join, by a shuffle: the lookup may hold a row for each row of ``df``.
     """
     salts = F.ceil(F.col(rows_col) / hot_rows).cast("int")
     hot = lookup.filter(F.col(rows_col) > hot_rows).select(key, salts.alias("_salts"))
@@ -202,4 +205,4 @@ def attach_by_key(df: DataFrame, lookup: DataFrame, key: str, rows_col: str, spr
         "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"))
     ).drop("_salts")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")

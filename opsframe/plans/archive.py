@@ -83,5 +83,5 @@ def resolve_collisions(plan: DataFrame, path: str, conflict: str = "rename") ->
         if contested.isEmpty():
             return placed.drop("_wanted", "_try")
         lost = F.col("_holder").isNotNull() & (F.col(path) != F.col("_holder"))
-        placed = placed.join(contested, "target", "left").withColumn(
+        placed = placed.join(contested.hint("merge"), "target", "left").withColumn(
             "_try", F.when(lost, F.col("_try") + 1).otherwise(F.col("_try"))).drop("_holder", "target")

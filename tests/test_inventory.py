@@ -4,7 +4,9 @@ import datetime
 import hashlib
 import os
 
-from opsframe.operators import inventory
+from pyspark.sql import functions as F
+
+from opsframe.operators import inventory, order
 from opsframe.plans import archive
 
 
@@ -37,3 +39,17 @@ def test_archive_names_by_file_time(spark, tmp_path):
     assert plan["a.txt"] == "文档/文档_20240305_002.txt" and plan["sub/b.TXT"] == "_重复文件/sub__b.TXT"
     every = {r.rel_path: r.target for r in archive.archive_plan(files, dedupe=False).collect()}
     assert every["sub/b.TXT"] == "文档/文档_20240305_003.txt"
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Only the bounded list of hot keys goes through the driver, however small the sides look."""
+    rows = spark.range(1000).selectExpr("id % 100 AS k", "id AS v")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+    same = order.join_same(rows, sizes, ["k"])
+    assert broadcasts(same) == 0 and same.count() == 1000
+    attached = order.attach_by_key(rows, sizes, "k", "n", F.col("v"))
+    assert broadcasts(attached) == 1 and attached.count() == 1000
