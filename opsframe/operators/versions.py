@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,11 @@ OPS = T.ArrayType(T.StructType([
     T.StructField("op", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
 
+#: Steps as numbers.
+DEL, ADD, EQ = 1, 2, 3
+#: Texts of at most so many lines are compared side by side, their rows being machine words; texts compared at once.
+SHORT, SIDE_BY_SIDE = 62, 4096
+
 #: Lines that stand this often in a text have their places kept as one number; fewer places are put together when needed.
 OFTEN = 32
 
@@ -79,27 +84,113 @@ def _middle(a: list[int], b: list[int], at: int) -> list[tuple[str, int | None,
     return out + [("add", None, at + k) for k in range(j, m)]
 
 
-def _script(old: np.ndarray, new: np.ndarray) -> list[dict]:
-    codes = {s: k for k, s in enumerate(dict.fromkeys([*old, *new]))}
-    a = np.array([codes[s] for s in old], dtype=np.int64)
-    b = np.array([codes[s] for s in new], dtype=np.int64)
+def _script(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Steps between two texts of any length, as numbers."""
     short = min(len(a), len(b))
     differs = np.flatnonzero(a[:short] != b[:short])
     head = int(differs[0]) if len(differs) else short
     room = short - head
     back = np.flatnonzero(a[len(a) - room:][::-1] != b[len(b) - room:][::-1])
     tail = int(back[0]) if len(back) else room
-    ops = [("eq", i, i) for i in range(head)]
-    ops += _middle(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), head)
-    ops += [("eq", len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
-    return [{"op": op, "a": x, "b": y} for op, x, y in ops]
-
-
-@F.pandas_udf(OPS)
-def edit_script(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    codes = {"del": DEL, "add": ADD, "eq": EQ}
+    middle = [codes[op] for op, _, _ in _middle(a[head:len(a) - tail].tolist(), b[head:len(b) - tail].tolist(), head)]
+    return np.concatenate([np.full(head, EQ, np.int8), np.array(middle, np.int8), np.full(tail, EQ, np.int8)])
+
+
+def _leading(met: np.ndarray) -> np.ndarray:
+    """How many of a row's first cells hold."""
+    return np.argmin(np.hstack([met, np.zeros((len(met), 1), bool)]), axis=1)
+
+
+def _short_scripts(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Steps of many short texts, one text a row, 0 where there is none.  ``a`` and ``b``: lines as numbers, n and m of them
+    in each row, then fillers that are equal to nothing.  The same steps as ``_script``, all texts going forward together."""
+    texts, width = np.arange(len(a)), a.shape[1]
+    across = np.arange(width)
+    head = _leading(a == b)
+    room = np.minimum(n, m) - head
+    from_end = lambda x, size: np.take_along_axis(x, np.maximum(size[:, None] - 1 - across, 0), axis=1)
+    tail = _leading((from_end(a, n) == from_end(b, m)) & (across < room[:, None]))
+    n, m = n - head - tail, m - head - tail
+    inner = lambda x, size, filler: np.where(across < size[:, None], np.take_along_axis(x, np.minimum(head[:, None] + across, width - 1), axis=1), filler)
+    a, b = inner(a, n, -1), inner(b, m, -2)
+    high, wide = int(n.max(initial=0)), int(m.max(initial=0))
+    one = np.uint64(1)
+    mask = (one << m.astype(np.uint64)) - one
+    place = np.where(across < m[:, None], one << np.maximum(m[:, None] - 1 - across, 0).astype(np.uint64), np.uint64(0))[:, :wide]
+    rows = np.empty((high + 1, len(a)), np.uint64)
+    rows[high] = mask
+    for i in range(high - 1, -1, -1):
+        met = rows[i + 1] & np.where(a[:, i:i + 1] == b[:, :wide], place, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        rows[i] = ((rows[i + 1] + met) | (rows[i + 1] - met)) & mask
+
+    def longest(row: np.ndarray, j: np.ndarray) -> np.ndarray:
+        still = m - j
+        return still - np.bitwise_count(row & ((one << still.astype(np.uint64)) - one)).astype(np.int64)
+
+    i, j = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    left = longest(rows[0], j)
+    steps = np.zeros((int((n + m).max(initial=0)), len(a)), np.int8)
+    for k in range(len(steps)):
+        more_a, more_b = i < n, j < m
+        same = more_a & more_b & (a[texts, np.minimum(i, width - 1)] == b[texts, np.minimum(j, width - 1)])
+        add = more_b & ~same & (~more_a | (longest(rows[np.minimum(i + 1, high), texts], j) < left))
+        drop = more_a & ~same & ~add
+        steps[k] = EQ * same + ADD * add + DEL * drop
+        i += same | drop
+        j += same | add
+        left -= same
+    same = lambda size: (across < size[:, None]).astype(np.int8) * np.int8(EQ)
+    return np.hstack([same(head), steps.T, same(tail)])
+
+
+def scripts(old: pa.ListArray, new: pa.ListArray) -> pa.ListArray:
+    """Edit scripts of texts as lists of lines."""
+    n, m = (x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in (old, new))
+    lines_of = pa.concat_arrays([old.flatten(), new.flatten()]).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+    a, b = lines_of[:n.sum()], lines_of[n.sum():]
+    first_a, first_b = np.cumsum(n) - n, np.cumsum(m) - m
+    longer = np.maximum(n, m)
+    found, which, lengths = [], [], []
+    for low, high in ((-1, 8), (8, 16), (16, 32), (32, SHORT)):
+        group = np.flatnonzero((longer > low) & (longer <= high))
+        for at in range(0, len(group), SIDE_BY_SIDE):
+            own = group[at:at + SIDE_BY_SIDE]
+            across = np.arange(high)
+            sides = [np.where(across < size[own, None], lines[np.minimum(first[own, None] + across, len(lines) - 1)] if len(lines) else -3, filler)
+                     for lines, first, size, filler in ((a, first_a, n, -1), (b, first_b, m, -2))]
+            steps = _short_scripts(*sides, n[own], m[own])
+            found.append(steps[steps > 0])
+            which.append(own)
+            lengths.append((steps > 0).sum(axis=1))
+    for t in np.flatnonzero(longer > SHORT):
+        found.append(_script(a[first_a[t]:first_a[t] + n[t]], b[first_b[t]:first_b[t] + m[t]]))
+        which.append([t])
+        lengths.append([len(found[-1])])
+    size = np.zeros(len(n), np.int64)
+    if which:
+        which, lengths, found = np.concatenate(which), np.concatenate(lengths), np.concatenate(found)
+        size[which] = lengths
+        begins = np.cumsum(size) - size
+        steps = np.empty(len(found), np.int8)
+        steps[np.repeat(begins[which] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(found))] = found
+    else:
+        steps = np.empty(0, np.int8)
+    own = np.repeat(np.arange(len(n)), size)
+    sides = []
+    for other, first in ((ADD, first_a), (DEL, first_b)):
+        has = steps != other
+        sides.append(pa.array((np.cumsum(has) - 1 - first[own]).astype(np.int32), mask=~has))
+    names = pa.array([None, "del", "add", "eq"]).take(pa.array(steps))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                    pa.StructArray.from_arrays([names, *sides], names=["op", "a", "b"]))
+
+
+@F.arrow_udf(OPS)
+def edit_script(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Edit script of two arrays of (already folded) lines; indices are 0-based."""
     for old, new in batches:
-        yield pd.Series([_script(a, b) for a, b in zip(old, new)])
+        yield scripts(old, new)
 
 
 def diff_versions(old: DataFrame, new: DataFrame, doc: str, body: str, ignore_case: bool = False,
@@ -114,11 +205,15 @@ def diff_versions(old: DataFrame, new: DataFrame, doc: str, body: str, ignore_ca
         F.coalesce(doc, "_doc").alias(doc), F.coalesce("_a", none).alias("_a"), F.coalesce("_b", none).alias("_b"))
     fold = lambda c: fold_lines(F.col(c), ignore_case, ignore_space)
     folded = sides.withColumns({"_fa": fold("_a"), "_fb": fold("_b")}).withColumn("_same", F.col("_fa") == F.col("_fb"))
-    # equal texts send nothing to Python: their script is one eq per line
-    sent = lambda c: F.when(F.col("_same"), F.array().cast("array<string>")).otherwise(F.col(c))
-    kept = F.transform("_a", lambda x, i: F.struct(F.lit("eq").alias("op"), i.alias("a"), i.alias("b")))
+    # texts that are equal, or have no lines on one side, send nothing to Python: their script is the same step for each line
+    plain = F.col("_same") | (F.size("_a") == 0) | (F.size("_b") == 0)
+    sent = lambda c: F.when(plain, none).otherwise(F.col(c))
+    nowhere = F.lit(None).cast("int")
+    each = lambda c, op, a, b: F.transform(c, lambda x, i: F.struct(
+        F.lit(op).alias("op"), (i if a else nowhere).alias("a"), (i if b else nowhere).alias("b")))
     scripted = folded.select(doc, "_a", "_b", "_same", edit_script(sent("_fa"), sent("_fb")).alias("_script"))
-    ops = F.when(F.col("_same"), kept).otherwise(F.col("_script"))
+    ops = F.when(F.col("_same"), each("_a", "eq", True, True)).when(F.size("_b") == 0, each("_a", "del", True, False)).when(
+        F.size("_a") == 0, each("_b", "add", False, True)).otherwise(F.col("_script"))
     both = scripted.select(doc, "_a", "_b", F.posexplode(ops).alias("op_no", "_op"))
     a, b = F.col("_op.a"), F.col("_op.b")
     return both.select(

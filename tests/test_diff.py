@@ -3,6 +3,8 @@
 import random
 import time
 
+import pyarrow as pa
+
 from opsframe.operators import versions
 
 
@@ -49,3 +51,51 @@ def test_hundred_thousand_lines_in_seconds(spark):
     assert time.time() - began < 60
     assert counts.unchanged + counts.removed == 100_000 and counts.unchanged + counts.added == 100_001
     assert 50_000 < counts.unchanged < 60_500
+
+
+def trimmed_steps(a, b):
+    """The plain table between the lines that both texts begin and end with."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    middle = plain_steps(a[head:len(a) - tail], b[head:len(b) - tail])
+    shift = lambda x: None if x is None else x + head
+    return ([("eq", i, i) for i in range(head)] + [(op, shift(i), shift(j)) for op, i, j in middle]
+            + [("eq", len(a) - tail + k, len(b) - tail + k) for k in range(tail)])
+
+
+def test_many_texts_at_once_equal_the_plain_table():
+    rng = random.Random(3)
+    sizes = [0, 1, 2, 5, 8, 9, 16, 30, 61, 62, 63, 80]
+    old, new = [], []
+    for _ in range(1500):
+        kinds = rng.choice([1, 2, 3, 5, 50])
+        a = [str(rng.randrange(kinds)) for _ in range(rng.choice(sizes))]
+        b = [str(rng.randrange(kinds)) for _ in range(rng.choice(sizes))] if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
+        old.append(a)
+        new.append(b)
+    got = versions.scripts(pa.array(old, pa.list_(pa.string())), pa.array(new, pa.list_(pa.string()))).to_pylist()
+    for a, b, steps in zip(old, new, got):
+        assert [(s["op"], s["a"], s["b"]) for s in steps] == trimmed_steps(a, b), (a, b)
+    none = pa.array([], pa.list_(pa.string()))
+    assert versions.scripts(none, none).to_pylist() == []
+
+
+def test_one_sided_texts_do_not_reach_python(spark, monkeypatch):
+    def fail(batches):
+        for old, new in batches:
+            if len(old.flatten()) + len(new.flatten()):
+                raise ValueError("lines were sent to Python")
+            yield pa.array([[]] * len(old), pa.list_(pa.struct([("op", pa.string()), ("a", pa.int32()), ("b", pa.int32())])))
+
+    from collections.abc import Iterator
+    fail.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    monkeypatch.setattr(versions, "edit_script", versions.F.arrow_udf(fail, versions.OPS))
+    old = spark.createDataFrame([(1, "a\nb"), (2, "same"), (4, "")], "doc int, body string")
+    new = spark.createDataFrame([(2, "same"), (3, "c\n\nd"), (4, "e")], "doc int, body string")
+    got = [tuple(r) for r in versions.diff_versions(old, new, "doc", "body").orderBy("doc", "op_no").collect()]
+    assert got == [(1, 1, "del", 1, None, "a"), (1, 2, "del", 2, None, "b"), (2, 1, "eq", 1, 1, "same"), (3, 1, "add", None, 1, "c"),
+                   (3, 2, "add", None, 2, ""), (3, 3, "add", None, 3, "d"), (4, 1, "add", None, 1, "e")]
