@@ -141,6 +141,36 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def best_paths(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
+    """``best_path`` of many texts, whose words are rows from ``starts`` on: the n-th words of all texts are taken together.
+
+    The paths stand one after the other.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    begins = (np.cumsum(sizes) - sizes)[order]
+    starts, sizes = starts[order], sizes[order]
+    k, stay = scores.shape[1], np.arange(scores.shape[1])
+    alive = np.searchsorted(-sizes, -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")  # texts with so many words
+    value = scores[starts].astype(float)
+    came = []
+    for i in range(1, len(alive)):
+        n = alive[i]
+        own = value[:n]
+        top = own.argmax(axis=1)
+        switched = own[np.arange(n), top][:, None] - penalty
+        change = switched > own
+        came.append(np.where(change, top[:, None], stay).astype(np.int16))
+        value[:n] = np.where(change, switched, own) + scores[starts[:n] + i]
+    path = np.empty(int(sizes.sum()), np.int16)
+    at = value.argmax(axis=1)
+    path[begins + sizes - 1] = at
+    for i in range(len(alive) - 1, 0, -1):
+        n = alive[i]
+        at[:n] = came[i - 1][np.arange(n), at[:n]]
+        path[begins[:n] + i - 1] = at[:n]
+    return path
+
+
 def label_words(scores: np.ndarray, owner: np.ndarray, texts: int, penalty: float) -> np.ndarray:
     """Best path of every text.  Where no stretch of words gains more than half a penalty over the text's best language,
     that language throughout is the best path, which needs no word-by-word walk: a path with k changes has k + 1
@@ -157,9 +187,11 @@ def label_words(scores: np.ndarray, owner: np.ndarray, texts: int, penalty: floa
     walls = place[:, None] * -1e9  # later texts lie far lower, so a running minimum never reaches back
     stretch = gain - (np.minimum.accumulate(lowest + walls, axis=0) - walls)
     mixed = np.maximum.reduceat(stretch.max(axis=1), starts) > penalty / 2 - 0.01  # rounding of long sums
-    for j in np.flatnonzero(mixed):
-        a, b = starts[j], starts[j + 1] if j + 1 < len(starts) else len(owner)
-        path[a:b] = best_path(scores[a:b], penalty)
+    walked = np.flatnonzero(mixed)
+    if len(walked):
+        sizes = np.diff([*starts, len(owner)])[walked]
+        rows = np.repeat(starts[walked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        path[rows] = best_paths(scores, starts[walked], sizes, penalty)
     return path
 
 

@@ -286,3 +286,13 @@ def test_recall_of_what_followed():
     seen, followed = mixing_lm.recall(ids, np.array([6, 3]), 3)
     assert seen.tolist() == [0, 0, 1 / 2, 1 / 3, 2 / 4, 0, 0, 1, 0]
     assert followed.tolist() == [0, 0, 0, 1, 1, 0, 0, 0, 0]
+
+
+def test_paths_of_many_texts_are_the_single_ones():
+    rng = np.random.default_rng(6)
+    sizes = np.array([1, 7, 30, 2, 30, 1, 200])
+    scores = np.round(rng.normal(size=(sizes.sum(), 4)) * 3).astype(np.float32)  # with ties
+    starts = np.cumsum(sizes) - sizes
+    for some in (np.arange(7), np.array([1, 3, 6]), np.array([5])):
+        want = np.concatenate([language.best_path(scores[a:a + n], 4.0) for a, n in zip(starts[some], sizes[some])])
+        assert language.best_paths(scores, starts[some], sizes[some], 4.0).tolist() == want.tolist()
