@@ -13,11 +13,8 @@ merge trees of both sides tell (their outer spines come with the piece table).
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Text bytes per block of documents whose words are listed together.
 CHUNK = 24_000_000
+#: Text bytes cut into words at once.
+CUT = 4_000_000
 #: Words put together at once.
 SLICE = 500_000
 #: Text bytes per task that folds distinct words, so that a task groups its lattice in memory; and tasks at most.
@@ -98,27 +97,6 @@ def load_pieces(model: str = MODEL) -> Pieces:
                   frozenset(r[0][k:k + 2] for r in rows for k in range(len(r[0]) - 1)))
 
 
-def words_pattern(pieces: Pieces) -> re.Pattern:
-    return re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n+" if pieces.split_lines else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-
-
-def cut(word: str, pairs: frozenset[str]) -> list[str]:
-    """A word cut wherever two letters stand side by side in no piece: no merge ever crosses such a border."""
-    if pairs.issuperset(map(add, word, word[1:])):
-        return [word]
-    out, start = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1:i + 1] not in pairs:
-            out.append(word[start:i])
-            start = i
-    return [*out, word[start:]]
-
-
-def normal(text: str | None) -> str:
-    """A text as it is segmented: a blank in front, blanks visible; empty stays empty."""
-    return BLANK + text.replace(" ", BLANK) if text else ""
-
-
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, edges of each distinct word, by end and start.  A letter that is no piece is an edge without id."""
     spark = words.sparkSession
@@ -132,7 +110,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     found = spans.join(table, "piece", "left").where("id IS NOT NULL OR size = 1").select(
         "word", F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), "id", F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("heads", one).alias("heads"),
                                  F.coalesce("tails", one).alias("tails")).alias("edge"))
-    return found.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    return found.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def _named(value: Column, use) -> Column:
@@ -144,12 +122,12 @@ def best_edges(edges: Column, longest: int) -> Column:
     """The fold: for each prefix of a word the number of the edge that ends its segmentation.
 
     Edges come by their ends, so those that may cross the border before an edge stand between the edge chosen for that
-    border and the edge itself.  The state holds the choices of the last prefixes only; all choices are gathered piece by
-    piece, so a long word is not copied at every step.
+    border and the edge itself.  The state holds the choices of the piece at hand, behind those of the last prefixes before
+    it; all choices are gathered piece by piece, so a long word is not copied at every step.
     """
     def step(acc: Column, e: Column) -> Column:
-        place, j, recent = acc["place"], e["start"], acc["recent"]
-        at = F.element_at(recent, F.greatest(j - acc["done"] + F.size(recent), F.lit(1)))
+        place, j, out = acc["place"], e["start"], acc["out"]
+        at = F.element_at(out, F.greatest(j - acc["done"] + F.size(out), F.lit(1)))
 
         def crossed(chosen: Column) -> Column:
             before = chosen["edge"]
@@ -160,19 +138,22 @@ def best_edges(edges: Column, longest: int) -> Column:
 
         free = (j == 0) | ~_named(F.struct(at.alias("at"), F.element_at(edges, at).alias("edge")), crossed)
         follows = (acc["done"] < e["end"]) & (F.size(e["heads"]) > 0) & free
-        kept = F.when(F.size(recent) < 2 * longest, recent).otherwise(F.slice(recent, -longest, F.lit(longest)))
-        return F.when(follows, F.struct((place + 1).alias("place"), (acc["done"] + 1).alias("done"), F.array_append(kept, place).alias("recent"),
-                                        F.array_append(acc["out"], place).alias("out"))).otherwise(
-            F.struct((place + 1).alias("place"), acc["done"].alias("done"), recent.alias("recent"), acc["out"].alias("out")))
-
-    none = F.array().cast("array<int>")
+        return F.when(follows, F.struct((place + 1).alias("place"), (acc["done"] + 1).alias("done"), F.array_append(out, place).alias("out"))).otherwise(
+            F.struct((place + 1).alias("place"), acc["done"].alias("done"), out.alias("out")))
 
     def piece(acc: Column, k: Column) -> Column:
-        start = F.struct(acc["place"].alias("place"), acc["done"].alias("done"), acc["recent"].alias("recent"), none.alias("out"))
+        start = F.struct(acc["place"].alias("place"), acc["done"].alias("done"), acc["recent"].alias("out"))
         done = F.aggregate(F.slice(edges, k * PIECE + 1, F.lit(PIECE)), start, step)
-        return _named(done, lambda d: F.struct(d["place"].alias("place"), d["done"].alias("done"), d["recent"].alias("recent"),
-                                               F.array_append(acc["out"], d["out"]).alias("out")))
 
+        def kept(d: Column) -> Column:
+            n, recent = F.size(d["out"]), F.size(acc["recent"])
+            return F.struct(d["place"].alias("place"), d["done"].alias("done"),
+                            F.slice(d["out"], F.greatest(n - longest + 1, F.lit(1)), F.lit(longest)).alias("recent"),
+                            F.array_append(acc["out"], F.slice(d["out"], recent + 1, n - recent)).alias("out"))
+
+        return _named(done, kept)
+
+    none = F.array().cast("array<int>")
     start = F.struct(F.lit(1).alias("place"), F.lit(0).alias("done"), none.alias("recent"), F.array().cast("array<array<int>>").alias("out"))
     pieces = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / PIECE).cast("int"))
     return F.flatten(F.aggregate(pieces, start, piece, lambda s: s["out"]))
@@ -265,29 +246,58 @@ def _unpress_numbers(blob: bytes) -> np.ndarray:
 BLOCK_ROW = "block bigint, texts binary, sequence binary, cuts binary, n_cuts binary, parts binary"
 
 
+def _letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Buffer]:
+    """Ends of texts (with a zero in front) and their bytes, as an array and as a buffer."""
+    offsets, data = (x or pa.py_buffer(b"") for x in texts.buffers()[1:])
+    ends = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    return ends, np.frombuffer(data, np.uint8)[:ends[-1]], data
+
+
+def _stretches(starts: np.ndarray, data: np.ndarray, buffer: pa.Buffer) -> pa.DictionaryArray:
+    """The stretches of text from each start to the next."""
+    offsets = np.append(starts, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), buffer).dictionary_encode()
+
+
 class Words:
-    """Words of texts under short keys: a word behind one blank goes by itself, one behind a line feed with it, any other whole."""
+    """Words of many texts at a time, and the parts they are cut into: wherever two letters stand side by side in no piece,
+    which no merge ever crosses."""
 
     def __init__(self, pieces: Pieces):
-        self.lines, self.pairs = pieces.split_lines, pieces.pairs
-        self.pattern = re.compile(f"\n[^{BLANK}\n]*|{BLANK}+[^{BLANK}\n]*") if self.lines else words_pattern(pieces)
-
-    def keys(self, text: str) -> list[str]:
-        shown = normal(text)
-        if not self.lines or BLANK * 2 in shown:
-            found = self.pattern.findall(shown)
-            return [w[1:] if w[0] == BLANK and w[1:2] != BLANK else w for w in found] if self.lines else found
-        return shown.replace("\n", BLANK + "\n").split(BLANK)[1:]
-
-    def parts(self, key: str) -> list[str]:
-        """The word or words of a key, cut."""
-        if not self.lines or BLANK in key:
-            words = [key]
-        elif key[:1] == "\n":
-            words = ["\n", key[1:]] if len(key) > 1 else ["\n"]
-        else:
-            words = [BLANK + key]
-        return [p for w in words for p in cut(w, self.pairs)]
+        self.lines = pieces.split_lines
+        letters = sorted({ord(c) for pair in pieces.pairs for c in pair})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        first, second = (np.array([ord(pair[k]) for pair in sorted(pieces.pairs)], np.int64) for k in (0, 1))
+        self.pairs = self._pair(self.letter[first], self.letter[second])
+
+    def _pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * np.int64(self.letter.max(initial=0) + 1) + second
+
+    def listed(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words of all texts, and how many each has: a run of blanks (one more stands in front of a text) with what follows
+        it, and a line feed with what follows it where no piece holds one."""
+        shown = pc.replace_substring(texts, BLANK, " ")
+        shown = pc.binary_join_element_wise(pc.if_else(pc.equal(shown, ""), "", " "), shown, "")
+        ends, data, buffer = _letters(shown)
+        begins = data == 32
+        begins[1:] &= data[:-1] != 32
+        if self.lines:
+            begins |= data == 10
+        begins[ends[:-1][ends[:-1] < ends[1:]]] = True
+        starts = np.flatnonzero(begins)
+        return _stretches(starts, data, buffer), np.diff(np.searchsorted(starts, ends))
+
+    def parts(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Parts of all words, and how many each has."""
+        ends, data, buffer = _letters(pc.replace_substring(words, " ", BLANK))
+        places = np.flatnonzero((data & 0xC0) != 0x80)
+        letters = self.letter[np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)]
+        cut = np.ones(len(places), bool)
+        cut[1:] = ~np.isin(self._pair(letters[:-1], letters[1:]), self.pairs)
+        cut[np.searchsorted(places, ends[:-1])] = True
+        starts = places[cut]
+        return _stretches(starts, data, buffer), np.diff(np.searchsorted(starts, ends))
 
 
 def blocks_of_words(rows: DataFrame, pieces: Pieces, size: int) -> DataFrame:
@@ -296,45 +306,44 @@ def blocks_of_words(rows: DataFrame, pieces: Pieces, size: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, 0
         words = Words(pieces)
-        numbers: dict[str, int] = {}
-        doc_ids, odd, sequence, counts = [], [], array("i"), []
+        doc_ids, odd, listed, counts = [], [], [], []
 
         def closed() -> pa.RecordBatch:
-            keys, used = list(numbers), np.frombuffer(sequence, np.int32)
-            numbers.clear()
+            found = pa.chunked_array(listed).unify_dictionaries().chunks
+            keys, used = found[0].dictionary, np.concatenate([x.indices.to_numpy() for x in found])
             # the commonest words get the smallest numbers, parts stand in order: both leave less to move
             order = np.argsort(-np.bincount(used, minlength=len(keys)), kind="stable")
             rank = np.empty(len(keys), np.int32)
             rank[order] = np.arange(len(keys), dtype=np.int32)
-            parts: dict[str, int] = {}
-            cuts, n_cuts = array("i"), array("i")
-            for i in order.tolist():
-                own = words.parts(keys[i])
-                cuts.extend([parts.setdefault(p, len(parts)) for p in own])
-                n_cuts.append(len(own))
-            del keys
-            names = sorted(parts)
-            place = np.empty(len(names), np.int32)
-            place[[parts[p] for p in names]] = np.arange(len(names), dtype=np.int32)
-            texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": pa.array(odd, pa.bool_()), "n": pa.array(counts, pa.int64())})
-            blobs = [_press(texts), _press_numbers(rank[used]), _press_numbers(place[np.frombuffer(cuts, np.int32)]),
-                     _press_numbers(np.frombuffer(n_cuts, np.int32)), _press(pa.table({"part": pa.array(names, pa.string())}))]
+            cuts, n_cuts = words.parts(keys.take(pa.array(order)))
+            by_name = pc.sort_indices(cuts.dictionary)
+            place = np.empty(len(by_name), np.int32)
+            place[by_name.to_numpy()] = np.arange(len(by_name), dtype=np.int32)
+            texts = pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "odd": np.concatenate(odd), "n": np.concatenate(counts)})
+            blobs = [_press(texts), _press_numbers(rank[used]), _press_numbers(place[cuts.indices.to_numpy()]), _press_numbers(n_cuts),
+                     _press(pa.table({"part": cuts.dictionary.take(by_name)}))]
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), *(pa.array([b], pa.binary()) for b in blobs)],
                                               names=["block", "texts", "sequence", "cuts", "n_cuts", "parts"])
 
         for batch in batches:
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = value.as_py()
-                found = words.keys(text)
-                sequence.extend([numbers.setdefault(w, len(numbers)) for w in found])
-                doc_ids.append(doc_id)
-                odd.append(BLANK in text)
-                counts.append(len(found))
-                held += len(text)
+            ids, texts = batch.column(0), batch.column(1).cast(pa.string())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            low = 0
+            while low < len(texts):  # up to the text that fills the block
+                before = int(ends[low - 1]) if low else 0
+                high = min(int(np.searchsorted(ends, before + min(size - held, CUT))) + 1, len(texts))
+                own = texts.slice(low, high - low)
+                found, n = words.listed(own)
+                listed.append(found)
+                counts.append(n)
+                doc_ids.extend(ids.slice(low, high - low).to_pylist())
+                odd.append(pc.match_substring(own, BLANK).to_numpy(zero_copy_only=False))
+                held += int(ends[high - 1]) - before
+                low = high
                 if held >= size:
                     yield closed()
                     made, held = made + 1, 0
-                    doc_ids, odd, sequence, counts = [], [], array("i"), []
+                    doc_ids, odd, listed, counts = [], [], [], []
         if doc_ids:
             yield closed()
 

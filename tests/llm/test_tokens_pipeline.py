@@ -1,7 +1,9 @@
 """SentencePiece ids against the library, and the pipeline's stages."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -33,6 +35,23 @@ def test_words_of_any_length(docs):
     assert all(list(got[i].ids) == library.encode(t) and got[i].round_trip for i, t in enumerate(texts))
 
 
+def test_words_of_many_texts_are_those_of_each():
+    pieces, rng = lattice.load_pieces(), random.Random(1)
+    words, blank = lattice.Words(pieces), lattice.BLANK
+    texts = ["", "\n\n", "a \nb", "a▁b", "日本🙂x", " a ", *("".join(rng.choice("etao  ,.▁E日🙂\n") for _ in range(rng.randrange(40))) for _ in range(500))]
+    for column in (pa.array(texts), pa.array(["before", *texts]).slice(1), pa.array(["", ""]), pa.array([], pa.string())):
+        found, n = words.listed(column)
+        want = [re.findall(f"\n[^{blank}\n]*|{blank}+[^{blank}\n]*", blank + t.replace(" ", blank) if t else "") for t in column.to_pylist()]
+        assert n.tolist() == [len(w) for w in want]
+        assert [w.replace(" ", blank) for w in found.to_pylist()] == [w for own in want for w in own]
+        parts, n = words.parts(found.dictionary)
+        cuts = []
+        for w in found.dictionary.to_pylist():
+            w = w.replace(" ", blank)
+            cuts.append("".join(c if i == 0 or w[i - 1:i + 1] in pieces.pairs else "\0" + c for i, c in enumerate(w)).split("\0"))
+        assert n.tolist() == [len(c) for c in cuts] and parts.to_pylist() == [p for c in cuts for p in c]
+
+
 def test_decode(spark):
     pieces = lattice.load_pieces()
     library = sentencepiece.SentencePieceProcessor(model_file=lattice.MODEL)
