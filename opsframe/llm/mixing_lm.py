@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ FOLLOWED = (0.1, 0.1, 0.7, 0.05, 0.05)
 ROUNDS, ENOUGH = 8, 1e-4
 #: Text bytes per group of documents scored together.
 CHUNK = 32_000_000
-#: Bytes worked on at once.
-PIECE = 1 << 20
+#: Bytes worked on at once, and text bytes cut into tokens at once.
+PIECE, CUT = 1 << 20, 1 << 20
 END = b"\n"
 #: Bytes of an entry that are only the context of its others, and what stands there before a text's first token.
 LEAD = 3
@@ -54,6 +55,34 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def running(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Tokens of texts and their ends, in columns: the distinct ones, the numbers of the running ones, how many each text has."""
+    found, counts = [], []
+    for chunk in texts.chunks:
+        sizes = np.cumsum(pc.binary_length(chunk).to_numpy(zero_copy_only=False), dtype=np.int64)
+        low = 0
+        while low < len(chunk):
+            high = min(int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + CUT)) + 1, len(chunk))
+            shown = pc.binary_join_element_wise(pc.ascii_lower(chunk.slice(low, high - low).cast(pa.string())), END.decode(), "")
+            ends = np.frombuffer(shown.buffers()[1], np.int32)[:len(shown) + 1]
+            data = np.frombuffer(shown.buffers()[2], np.uint8)[:ends[-1]]
+            blank = (data == 32) | (data - np.uint8(9) < 5)
+            begins = ~blank
+            begins[1:] &= blank[:-1]
+            begins[ends[1:] - 1] = True
+            kept = ~blank
+            kept[ends[1:] - 1] = True
+            starts = np.flatnonzero(begins)
+            places = np.append(np.cumsum(kept, dtype=np.int32)[starts] - np.int32(1), np.int32(np.count_nonzero(kept)))
+            words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[kept])])
+            found.append(words.dictionary_encode())
+            counts.append(np.diff(np.searchsorted(starts, ends)))
+            low = high
+    parts = pa.chunked_array(found).unify_dictionaries().chunks
+    pa.default_memory_pool().release_unused()  # the pieces' memory, so that it does not stay beside what follows
+    return parts[0].dictionary, np.concatenate([x.indices.to_numpy() for x in parts]), np.concatenate(counts)
+
+
 @dataclass
 class Codes:
     """The walk of each (byte before, byte): its length, and at each depth the tree node and the outcome."""
@@ -113,13 +142,16 @@ def closed(word: bytes) -> bytes:
     return word if word == END else word + b" "
 
 
-def edges(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def edges(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each token, as halves of a head's key: what the next token sees of it, and its own first bytes."""
-    data = np.frombuffer(b"".join([b"  " + w + b"  " for w in words]), np.uint8).astype(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 4)
-    begins = ends - np.diff(ends, prepend=0)
-    after = (data[ends - 4] << 16 | data[ends - 3] << 8 | 32) << (8 * LEAD)
-    first = data[begins + 2] << 16 | data[begins + 3] << 8 | data[begins + 4]
+    words = pa.array(words, pa.binary())
+    data = np.frombuffer(pc.binary_join_element_wise(b"  ", words, b"  ", b"").buffers()[2], np.uint8)
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64) + 4
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    at = lambda places: data[places].astype(np.int64)
+    after = (at(ends - 4) << 16 | at(ends - 3) << 8 | 32) << (8 * LEAD)
+    first = at(begins + 2) << 16 | at(begins + 3) << 8 | at(begins + 4)
     return after, first
 
 
@@ -231,7 +263,9 @@ def earlier(keys: np.ndarray) -> np.ndarray:
     """How often each key came before in the array."""
     n = len(keys)
     bits = n.bit_length()
-    packed = np.sort(pd.factorize(keys)[0] << bits | np.arange(n))
+    if bits + int(keys.max(initial=0)).bit_length() > 63:
+        keys = pd.factorize(keys)[0]
+    packed = np.sort(keys << bits | np.arange(n))
     ranked, order = packed >> bits, packed & (1 << bits) - 1
     firsts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     out = np.empty(n, np.int64)
@@ -444,20 +478,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def list_words(table: pa.Table) -> pa.Table:
-        place: dict[bytes, int] = {}
-        running, sizes = [], []
-        for text in table.column("text"):
-            ids = [place.setdefault(w, len(place)) for w in tokens(text.as_py())]
-            ids.append(place.setdefault(END, len(place)))
-            running.append(np.array(ids, np.int32))
-            sizes.append(len(ids))
-        ids, sizes = np.concatenate(running), np.array(sizes)
+        own, ids, sizes = running(table.column("text"))
         learned = np.repeat(~table.column("held_out").to_numpy(), sizes)
-        which, keys = pd.factorize(head_keys(ids, np.cumsum(sizes) - sizes, *edges(list(place))))
-        n = np.concatenate([np.bincount(at[learned], minlength=size) for at, size in ((ids, len(place)), (which, len(keys)))])
-        entries = [closed(w) for w in place] + [head_entry(k) for k in keys.tolist()]
-        return pa.table({"chunk": pa.array(np.full(len(n), table.column("chunk")[0].as_py(), np.int32)), "entry": pa.array(entries, pa.binary()),
-                         "head": pa.array(np.arange(len(n)) >= len(place)), "n": pa.array(n.astype(np.int64))})
+        which, keys = pd.factorize(head_keys(ids, np.cumsum(sizes) - sizes, *edges(own)))
+        n = np.concatenate([np.bincount(at[learned], minlength=size) for at, size in ((ids, len(own)), (which, len(keys)))])
+        words = pc.if_else(pc.equal(own, END), own, pc.binary_join_element_wise(own, b" ", b""))
+        entries = pa.chunked_array([words, pa.array([head_entry(k) for k in keys.tolist()], pa.binary())])
+        return pa.table({"chunk": pa.array(np.full(len(n), table.column("chunk")[0].as_py(), np.int32)), "entry": entries,
+                         "head": pa.array(np.arange(len(n)) >= len(own)), "n": pa.array(n.astype(np.int64))})
 
     words = keep(dealt.groupBy("chunk").applyInArrow(list_words, "chunk int, entry binary, head boolean, n long"), "chunk-words")
     totals = keep(words.groupBy("entry", "head").agg(F.sum("n").alias("c")), "words")
@@ -483,19 +511,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         cost_of = np.concatenate([x.flatten().to_numpy() for x in lists.column("costs").chunks]).reshape(-1, len(SHARPEN)).astype(float)
         keys = pd.Index([head_key(e) for e in lists.column("entry").filter(lists.column("head")).to_pylist()], dtype=np.int64)
         head_cost = cost_of[is_head]
-        own = [e if e == END else e[:-1] for e in lists.column("entry").filter(pa.array(~is_head)).to_pylist()]
-        place = {w: i for i, w in enumerate(own)}
+        own = lists.column("entry").filter(pa.array(~is_head)).combine_chunks()
+        own = pc.if_else(pc.equal(own, END), own, pc.binary_slice(own, 0, -1))
         after, first = edges(own)
-        length_of = np.fromiter(map(len, own), np.int64, len(own))
+        length_of = pc.binary_length(own).to_numpy().astype(np.int64)
+        distinct, all_ids, all_lengths = running(texts.column("text"))
+        all_ids = pc.index_in(distinct, value_set=own).to_numpy()[all_ids]
+        all_ends = np.cumsum(all_lengths)
         c_of, cost_of = lists.column("c").to_numpy()[~is_head].astype(float), cost_of[~is_head]
         logs_of = np.log10(c_of + 1)
         frequency = np.where(c_of > 0, -np.log(np.maximum(c_of, 1) / max(n_train, 1)), 700.0)
         n_tokens, n_known, logs, costs, sizes = [], [], [], [], []
-        column = texts.column("text")
         for at in range(0, texts.num_rows, 128):
-            block = [np.array([place[w] for w in (*tokens(text), END)]) for text in column.slice(at, 128).to_pylist()]
-            lengths = np.array([len(x) for x in block])
-            ids, begins = np.concatenate(block), np.cumsum(lengths) - lengths
+            lengths, ends = all_lengths[at:at + 128], all_ends[at:at + 128]
+            begins = np.cumsum(lengths) - lengths
+            ids = all_ids[ends[0] - lengths[0]:ends[-1]]
             heads = keys.get_indexer(head_keys(ids, begins, after, first))
             with np.errstate(divide="ignore"):
                 recent, followed = (np.minimum(-np.log(x), 700.0) for x in recall(ids, lengths, len(own)))

@@ -1,9 +1,11 @@
 """Scorers and scans: held-out accuracy on the given tables, brute force and edge cases on small ones."""
 
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opsframe.llm import language, licenses, mixing, mixing_lm, quality, queries, toxicity
@@ -281,6 +283,25 @@ def test_score_knows_the_token_before(spark, docs):
     assert got[held].bits_per_byte < 0.95 * got[other].bits_per_byte
 
 
+def test_running_tokens_in_columns(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", " ", "\n", "A\x0b\x0cb\x1f c\x00", "É A日", "\x85a\xa0b c"] + [
+        "".join(rng.choice("eTA ,.É日🙂\n\t\r\x0b\x0c\x0e\x08") for _ in range(rng.randrange(40))) for _ in range(300)]
+    for cut in (50, mixing_lm.CUT):
+        monkeypatch.setattr(mixing_lm, "CUT", cut)
+        for column in (pa.chunked_array([texts]), pa.chunked_array([pa.array(texts).slice(3, 100), pa.array(texts).slice(50)]), pa.chunked_array([["", ""]])):
+            own, ids, sizes = mixing_lm.running(column)
+            want = [[*mixing_lm.tokens(t), mixing_lm.END] for t in column.to_pylist()]
+            assert sizes.tolist() == [len(w) for w in want] and len(own) == len(set(own.to_pylist()))
+            assert own.take(pa.array(ids)).to_pylist() == [w for words in want for w in words]
+
+
+def test_earlier_with_keys_of_any_size():
+    keys = np.array([5, 1, 5, 5, 1, 0])
+    for far in (1, 1 << 40, 1 << 60):
+        assert mixing_lm.earlier(keys * far).tolist() == [0, 0, 1, 2, 1, 0]
+
+
 def test_recall_of_what_followed():
     ids = np.array([0, 1, 0, 1, 0, 2, 0, 0, 1])
     seen, followed = mixing_lm.recall(ids, np.array([6, 3]), 3)
