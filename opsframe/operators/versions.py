@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ OPS = T.ArrayType(T.StructType([
 DEL, ADD, EQ = 1, 2, 3
 #: Texts of at most so many lines are compared side by side, their rows being machine words; texts compared at once.
 SHORT, SIDE_BY_SIDE = 62, 4096
+#: Bytes of lines compared at once; a text above it is compared by itself.
+AT_ONCE = 2_000_000
 
 #: Lines that stand this often in a text have their places kept as one number; fewer places are put together when needed.
 OFTEN = 32
@@ -186,11 +189,27 @@ def scripts(old: pa.ListArray, new: pa.ListArray) -> pa.ListArray:
                                     pa.StructArray.from_arrays([names, *sides], names=["op", "a", "b"]))
 
 
+def portions(old: pa.ListArray, new: pa.ListArray, size: int = AT_ONCE) -> Iterator[tuple[pa.ListArray, pa.ListArray]]:
+    """The same texts, some at a time: up to the one that brings their lines to ``size`` bytes."""
+    def ends(texts: pa.ListArray) -> np.ndarray:
+        lengths = pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False)
+        so_far = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        return so_far[np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]
+
+    total, low = ends(old) + ends(new), 0
+    while low < len(old):
+        high = min(int(np.searchsorted(total, (total[low - 1] if low else 0) + size)) + 1, len(old))
+        yield old.slice(low, high - low), new.slice(low, high - low)
+        low = high
+
+
 @F.arrow_udf(OPS)
 def edit_script(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Edit script of two arrays of (already folded) lines; indices are 0-based."""
     for old, new in batches:
-        yield scripts(old, new)
+        for sides in portions(old, new):
+            yield scripts(*sides)
+        pa.default_memory_pool().release_unused()
 
 
 def diff_versions(old: DataFrame, new: DataFrame, doc: str, body: str, ignore_case: bool = False,

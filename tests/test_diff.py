@@ -84,6 +84,23 @@ def test_many_texts_at_once_equal_the_plain_table():
     assert versions.scripts(none, none).to_pylist() == []
 
 
+def test_texts_are_compared_some_at_a_time(spark):
+    texts = pa.array([["a" * 50] * n for n in (3, 0, 1, 90, 0, 0, 2, 4, 0)], pa.list_(pa.string()))
+    old, new = texts, texts.take(pa.array([2, 1, 0, 4, 3, 5, 6, 7, 8]))
+    for size in (1, 200, 1000, 10**6):
+        parts = list(versions.portions(old, new, size))
+        assert [x for a, _ in parts for x in a.to_pylist()] == old.to_pylist()
+        assert [x for _, b in parts for x in b.to_pylist()] == new.to_pylist()
+        for a, b in parts:  # without its last text a portion is below the size
+            assert sum(len(line) for side in (a, b) for text in side.to_pylist()[:-1] for line in text) < size
+    assert len(list(versions.portions(old, new, 200))) > 3
+    assert list(versions.portions(old.slice(0, 0), new.slice(0, 0))) == []
+    rows = spark.createDataFrame([(i, "x\n" * 70_000 + str(i)) for i in range(40)], "doc int, body string").coalesce(1)
+    changed = rows.selectExpr("doc", "concat('first\n', body, '!') AS body")
+    counts = {tuple(r) for r in versions.diff_counts(versions.diff_versions(rows, changed, "doc", "body"), "doc").select("added", "removed", "unchanged").collect()}
+    assert counts == {(2, 1, 70_000)}
+
+
 def test_one_sided_texts_do_not_reach_python(spark, monkeypatch):
     def fail(batches):
         for old, new in batches:
