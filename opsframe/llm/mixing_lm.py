@@ -157,10 +157,12 @@ def edges(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def head_keys(ids: np.ndarray, begins: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Keys of the heads of running tokens (places in ``after`` and ``first``); texts begin at ``begins``."""
-    before = np.empty(len(ids), np.int64)
-    before[1:] = after[ids[:-1]]
-    before[begins] = int.from_bytes(START, "big") << (8 * LEAD)
-    return before | first[ids]
+    out = np.empty(len(ids), np.int64)
+    for low in range(0, len(ids), PIECE):  # a piece at a time, so that the texts' tokens stand in memory once
+        high = min(low + PIECE, len(ids))
+        out[max(low, 1):high] = after[ids[max(low - 1, 0):high - 1]] | first[ids[max(low, 1):high]]
+    out[begins] = int.from_bytes(START, "big") << (8 * LEAD) | first[ids[begins]]
+    return out
 
 
 def head_entry(key: int) -> bytes:
